@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality_lines, token_counts
+from . import ctph, mixing, quality_lines, simhash, token_counts, warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -20,6 +20,10 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.normalised_pages(load(spark, sf_dir, "pages"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(load(spark, sf_dir, "documents"))
 
@@ -32,10 +36,21 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(load(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op8_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctph.edited_neighbours(load(spark, sf_dir, "documents"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc": op2_warc,
     "op3_mixing": op3_mixing,
     "op4_quality_lines": op4_quality_lines,
     "op7_token_counts": op7_token_counts,
+    "op8_ctph": op8_ctph,
+    "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op2_warc": warc.ORACLE, "op3_mixing": mixing.ORACLE}
