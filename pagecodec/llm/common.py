@@ -132,4 +132,32 @@ def broadcast_if(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if small_enough(df, most) else df
 
 
+KEYS_TO_BROADCAST = 1_000_000
+
+
+def keyed(df: DataFrame, id_col: str) -> DataFrame:
+    """Columns by position as ``c0..``, then ``key_id`` and ``key_hash`` (of all columns): equal keys, equal rows."""
+    names = list(df.columns)
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
+    return plain.select("*", F.col(f"c{names.index(id_col)}").alias("key_id"), F.xxhash64(*plain.columns).alias("key_hash"))
+
+
+def emit(rows: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Emit keyed ``rows`` as often as ``decisions`` say: ``key_id, key_hash, n`` (equal rows) and ``copies`` (of all n).
+
+    Decisions that change nothing aren't joined; the others are broadcast only if few enough. Each key's decision is
+    one row, and equal rows (n over 1), if there are any, are reduced to one before they are repeated.
+    """
+    cells = [c for c in rows.columns if c not in ("key_id", "key_hash")]
+    changed = table(decisions.where("copies <> 1 or n <> 1").select(F.col("key_id").alias("i"), F.col("key_hash").alias("h"), "n", "copies"), "decisions")
+    same = rows["key_id"].eqNullSafe(changed["i"]) & (rows["key_hash"] == changed["h"])
+    joined = rows.join(broadcast_if(changed, KEYS_TO_BROADCAST), same, "left")
+    out = joined.where("copies is null or (n = 1 and copies > 0)").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    several = changed.where("n > 1 and copies > 0")
+    if several.limit(1).count():
+        again = rows.join(broadcast_if(several, KEYS_TO_BROADCAST), rows["key_id"].eqNullSafe(several["i"]) & (rows["key_hash"] == several["h"]))
+        out = out.unionByName(again.dropDuplicates(["key_id", "key_hash"]).select(*out.columns))
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*cells)
+
+
 BLANKS = re.compile(rb"[\x20\x09-\x0D]+")

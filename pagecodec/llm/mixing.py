@@ -71,6 +71,15 @@ def mix(df: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_repeat: int =
     return joined.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies")).withColumn("taken", F.col("size") * F.col("copies")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def mixed(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of the mix, repeated as often as it takes them, with the columns of ``df``."""
+    rows, names = common.keyed(df, id_col), list(df.columns)
+    cell = lambda c: F.col(f"c{names.index(c)}")
+    sized = rows.select(F.struct("key_id", "key_hash").alias("doc_id"), cell(source_col).alias("source"), cell(text_col).alias("text"))
+    taken = mix(sized, **options).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("copies"))
+    return common.emit(rows, taken.select("doc_id.key_id", "doc_id.key_hash", "n", "copies")).toDF(*names)
+
+
 ORACLE = """
 with sized as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size from documents),
 s as (select source, sum(size)::bigint as source_size, (row_number() over (order by source nulls last) - 1) as rank from sized group by source),

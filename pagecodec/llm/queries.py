@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctph, langid, mixing, quality_lines, simhash, token_counts, toxicity, warc
+from . import ctph, langid, lm_scoring, mixing, quality_lines, sentencepiece_backend, simhash, token_counts, toxicity, warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -38,6 +38,10 @@ def op4_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_lines.quality_lines(load(spark, sf_dir, "documents"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_backend.encode(load(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     out = langid.identify(docs, langid.fit_sample(docs))
@@ -60,6 +64,11 @@ def op8_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.edited_neighbours(load(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = load(spark, sf_dir, "labels").where("quality = 1").selectExpr("doc_id as id")
+    return lm_scoring.score(load(spark, sf_dir, "documents"), good)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents"))
 
@@ -69,9 +78,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_mixing": op3_mixing,
     "op4_quality_lines": op4_quality_lines,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_langid": op6_langid,
     "op7_token_counts": op7_token_counts,
     "op8_ctph": op8_ctph,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_simhash": op10_simhash,
     "langid_pages": langid_pages,
 }

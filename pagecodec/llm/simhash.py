@@ -129,19 +129,48 @@ def _odd_links(nodes: DataFrame) -> DataFrame:
     return links.distinct()
 
 
-def near_duplicates(df: DataFrame, *, radius: int = 3, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fingerprint, component_id`` of each row."""
+def fingerprint_components(nodes: DataFrame, radius: int = 3) -> DataFrame:
+    """``fp, comp`` of each distinct fingerprint of ``nodes`` (fp): components under ``radius`` differing bits."""
     if radius not in (2, 3):
         raise ValueError("radius must be 2 or 3")
-    docs = common.table(fingerprints(df, width=width, seed=seed, id_col=id_col, text_col=text_col), "op10-docs")
-    nodes = common.table(docs.groupBy("fp").agg(F.min("doc_id").alias("low")), "op10-nodes")
+    nodes = common.table(nodes.select("fp").distinct(), "op10-nodes")
     near = components(_near_links(nodes)).withColumnRenamed("u", "fp").withColumnRenamed("v", "root")
-    placed = nodes.join(near, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("comp"))
+    placed = nodes.join(near, "fp", "left").select("fp", F.coalesce("root", "fp").alias("comp"))
     if radius == 3:
         placed = common.table(placed, "op10-placed")
         odd = components(_odd_links(placed)).withColumnRenamed("u", "comp").withColumnRenamed("v", "top")
-        placed = placed.join(odd, "comp", "left").select("fp", "low", F.coalesce("top", "comp").alias("comp"))
-    placed = common.table(placed, "op10-comps")
-    lows = placed.groupBy("comp").agg(F.min("low").alias("component_id"))
+        placed = placed.join(odd, "comp", "left").select("fp", F.coalesce("top", "comp").alias("comp"))
+    return common.table(placed, "op10-comps")
+
+
+def near_duplicates(df: DataFrame, *, radius: int = 3, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, fingerprint, component_id`` of each row."""
+    docs = common.table(fingerprints(df, width=width, seed=seed, id_col=id_col, text_col=text_col), "op10-docs")
+    placed = fingerprint_components(docs, radius)
+    lows = docs.groupBy("fp").agg(F.min("doc_id").alias("low")).join(placed, "fp").groupBy("comp").agg(F.min("low").alias("component_id"))
     named = common.table(placed.join(lows, "comp").select("fp", "component_id"), "op10-named")
     return docs.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(df: DataFrame, *, radius: int = 3, width: int = 5, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, with the columns of ``df``: that of least (id, row hash), null ids last.
+
+    Rows are known by id and a hash of all columns; only ids, hashes and fingerprints are shuffled. Rows to drop are
+    removed by an anti-join, broadcast only if few enough; rows equal in every column are reduced to one.
+    """
+    keyed = common.keyed(df, id_col)
+    text = keyed.columns[list(df.columns).index(text_col)]
+    kinds = dict(keyed.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.slices(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([signed(fingerprint(t, width, seed)) for t in b.column(2).to_pylist()], pa.int64())], names=["key_id", "key_hash", "fp"])
+
+    docs = common.table(common.map_arrow(keyed.select("key_id", "key_hash", text), run, f"key_id {kinds['key_id']}, key_hash long, fp long"), "op10-keys")
+    placed = docs.join(fingerprint_components(docs, radius), "fp")
+    order = F.struct(F.col("key_id").isNull().alias("none"), F.col("key_id").alias("i"), F.col("key_hash").alias("h"))
+    best = placed.groupBy("comp").agg(F.min(order).alias("best"))
+    keys = placed.groupBy("comp", "key_id", "key_hash").agg(F.count(F.lit(1)).alias("n")).join(best, "comp")
+    stays = F.col("key_id").eqNullSafe(F.col("best.i")) & (F.col("key_hash") == F.col("best.h"))
+    judged = common.table(keys.select("key_id", "key_hash", "n", stays.alias("stays")), "op10-judged")
+    return common.emit(keyed, judged.select("key_id", "key_hash", "n", F.col("stays").cast("long").alias("copies"))).toDF(*df.columns)
