@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,12 +59,14 @@ def unzigzag(z: Column) -> Column:
     return F.shiftrightunsigned(z, 1).bitwiseXOR(-(z.bitwiseAND(F.lit(1).cast("bigint"))))
 
 
-@F.pandas_udf("bigint")
-def float_bits(v: pd.Series) -> pd.Series:
+@F.arrow_udf(T.LongType())
+def float_bits(v: pa.Array) -> pa.Array:
     """IEEE-754 bits of doubles (null stays null); Spark has no expression for it."""
-    return pd.Series(v.to_numpy("float64").view("int64"), index=v.index).where(v.notna() | (v != v)).astype("Int64")
+    bits = v.fill_null(0.0).to_numpy(zero_copy_only=False).astype("float64").view("int64")
+    return pa.array(bits, mask=np.asarray(v.is_null()))
 
 
-@F.pandas_udf("double")
-def bits_float(b: pd.Series) -> pd.Series:
-    return pd.Series(b.to_numpy("int64").view("float64"), index=b.index)
+@F.arrow_udf(T.DoubleType())
+def bits_float(b: pa.Array) -> pa.Array:
+    """The double of IEEE-754 bits."""
+    return pa.array(b.fill_null(0).to_numpy(zero_copy_only=False).astype("int64").view("float64"), mask=np.asarray(b.is_null()))

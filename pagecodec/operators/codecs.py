@@ -9,7 +9,8 @@ from ..functions import bit_length, packed_bytes, unzigzag, zigzag
 from .paging import by_page
 from .stats import bitwidth_histogram, sequence_stats, with_change
 
-_PAGE = Window.partitionBy("page_id")
+def _page() -> Window:
+    return Window.partitionBy("page_id")
 
 
 # -- const, sequence ------------------------------------------------------------------------------------------------
@@ -39,7 +40,7 @@ def for_frames(p: DataFrame) -> DataFrame:
 
 def for_encode(p: DataFrame) -> DataFrame:
     """``page_id, pos, ref_min, residual``."""
-    low = F.min("v").over(_PAGE)
+    low = F.min("v").over(_page())
     return p.select("page_id", "pos", low.alias("ref_min"), (F.col("v") - low).alias("residual"))
 
 
@@ -72,7 +73,7 @@ def bitpack_widths(p: DataFrame, width_bytes: int = 8) -> DataFrame:
     """
     h = bitwidth_histogram(p)
     upto = Window.partitionBy("page_id").orderBy("bit_width").rowsBetween(Window.unboundedPreceding, 0)
-    n = F.sum("cnt").over(_PAGE)
+    n = F.sum("cnt").over(_page())
     x = h.select("page_id", "bit_width", n.alias("n"), (n - F.sum("cnt").over(upto)).alias("exceptions"))
     x = x.withColumn("cost", packed_bytes(F.col("n"), F.col("bit_width")) + F.col("exceptions") * (width_bytes + 4))
     best = Window.partitionBy("page_id").orderBy("cost", "bit_width")

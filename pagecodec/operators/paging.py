@@ -30,7 +30,9 @@ def exact_pages(df: DataFrame, value: Column | str, *, order_by: Sequence[str],
     v = F.expr(value) if isinstance(value, str) else value
     keys = [f"__o{i}" for i in range(len(order_by))]
     src = df.select(v.alias("v"), *[F.col(c).alias(k) for c, k in zip(order_by, keys, strict=True)])
-    placed = src.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id()).checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else src.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id()).persist()
+    placed = src.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id())
+    # two jobs read it: a written copy where the session has a shared folder, else a cached one
+    placed = placed.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else placed.persist()
     part = F.shiftright("at", 33)
     counts = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("low"))
     starts = counts.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("low")).select("part", "start")

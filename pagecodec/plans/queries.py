@@ -162,3 +162,45 @@ add("scheme_estimates", est.scheme_estimates, LINENO, _EST + " select page_id, c
 add("raw_fallback", est.raw_fallback, LINENO, _EST + ", b as (select * from cand qualify row_number() over (partition by page_id order by after_bytes, cand_idx, codec) = 1) select i.page_id, case when after_bytes < 44 + 8 * n then codec else 'raw' end as codec, (case when after_bytes < 44 + 8 * n then after_bytes else 44 + 8 * n end)::bigint as bytes from i left join b using (page_id)")
 QUERIES["exclusions"] = lambda spark, sf_dir: est.exclusions(spark)
 ORACLES["exclusions"] = "select * from (values " + ", ".join(f"('{p}', {i}::int, '{x}')" for (p, i), xs in est.EXCLUSIONS.items() for x in xs) + ") t(parent, child_idx, excluded)"
+
+# -- binary pages ----------------------------------------------------------------------------------------------------
+from ..sources import pages as sealed  # noqa: E402
+from ..wire import nodes  # noqa: E402
+from . import report  # noqa: E402
+
+_PAGE_COUNTS = " select page_id, count(*) as n_rows, 44 + 8 * count(*) as raw_bytes from p group by page_id"
+LINEITEM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+def compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every column of lineitem as sealed pages."""
+    key, by = ORDERS["lineitem"]
+    return report.compress(load(spark, sf_dir, "lineitem"), LINEITEM, key=key, order_by=by)
+
+
+def compression_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.compression_report(compressed(spark, sf_dir))
+
+
+add("page_write", lambda p: sealed.seal(p).drop("blob"), PART, None)
+add("page_load", lambda p: sealed.load(sealed.seal(p), "int64", "bigint"), PART, SAME)
+add("page_load_nullable", lambda p: sealed.load(sealed.seal(p), "int64", "bigint"), MANY_NULLS, SAME)
+add("page_load_float", lambda p: sealed.load(sealed.seal(p), "float64", "double"), "l_extendedprice", SAME)
+add("page_load_string", lambda p: sealed.load(sealed.seal(p), "string", "string"), "props", SAME, "events")
+add("page_header_scan", lambda p: sealed.headers(sealed.seal(p)).select("page_id", "version", "ptype", "n_rows"), PART, " select page_id, 1::bigint as version, 'int64' as ptype, count(*) as n_rows from p group by page_id")
+add("page_load_prefix", lambda p: sealed.load_prefixes(sealed.join_blobs(sealed.seal(p), sealed.seal(p)), ["int64", "int64"]).select("page_id", "part", "row_count"), PART, ", c as (select page_id, count(*) as row_count from p group by page_id) select page_id, part::bigint as part, row_count from c, (values (0), (1)) t(part)")
+add("read_limits", lambda p: sealed.check(sealed.seal(p), "int64", nodes.Limits(max_length=10)).select("page_id", F.col("error").isNotNull().alias("refused")), PART, " select page_id, count(*) > 10 as refused from p group by page_id")
+add("decoded_bytes", lambda p: sealed.seal(p).select("page_id", "decoded_bytes"), PART, None)
+add("roundtrip_fsst", lambda p: sealed.load(sealed.seal(p, options=_only_fsst()), "string", "string"), "text", SAME, "documents")
+add("choose_scheme", lambda p: sealed.seal(p).select("page_id", "root_codec", "tree", "encoded_bytes"), LINENO, None)
+add("explain_selection", report.explain_selection, "l_extendedprice", None)
+add("sample_rows", report.sample_rows, PART, None)
+add("sampled_ratio", lambda p: report.explain_selection(p).where("kind = 'sample'").select("page_id", "codec", "bytes", "ratio"), "l_extendedprice", None)
+QUERIES["ptype_map"] = lambda spark, sf_dir: report.ptype_map(spark)
+QUERIES["compression_report"] = compression_report
+
+
+def _only_fsst():
+    from ..wire.planner import Options
+
+    return Options(exclude=frozenset({"dict", "runend", "sparse"}))
