@@ -126,7 +126,15 @@ class Chain:
 
 def fit_chain(texts: list[str | None], labels: dict[str, np.ndarray], ids: list[int], folds: int = FOLDS) -> tuple[Chain, np.ndarray]:
     """The chain, and its out-of-fold probabilities on the training rows."""
-    docs = [feature_set(t) for t in texts]
+    # a model only chooses features of three positive rows or more, so no others need be held
+    common_ones: Counter = Counter()
+    first = next(iter(labels.values()))
+    any_label = np.any([y != 0 for y in labels.values()], axis=0) if len(first) else first
+    for t, y in zip(texts, any_label, strict=True):
+        if y:
+            common_ones.update(feature_set(t))
+    candidates = {f: f for f, n in common_ones.items() if n >= 3}
+    docs = [{candidates[f] for f in feature_set(t) & candidates.keys()} for t in texts]
     fold = np.array([zlib.crc32(str(i).encode()) % folds for i in ids], np.int64)
     oof, models = np.zeros((len(docs), 0)), []
     for y in labels.values():
@@ -145,10 +153,14 @@ def categories(texts: list[str | None], toxic: np.ndarray) -> dict[str, np.ndarr
     pervasive (telling words in at least half of the lines). Telling words are found in at least three toxic
     training rows and in toxic rows only, or all but so."""
     pos, neg = Counter(), Counter()
-    docs = [feature_set(t) for t in texts]
-    for d, t in zip(docs, toxic, strict=True):
-        (pos if t else neg).update(d)
-    telling = {f for f, c in pos.items() if c >= 3 and c / (c + neg[f]) > 0.9}
+    for t, y in zip(texts, toxic, strict=True):
+        if y:
+            pos.update(feature_set(t))
+    pos = Counter({f: c for f, c in pos.items() if c >= 3})
+    for t, y in zip(texts, toxic, strict=True):
+        if not y:
+            neg.update(feature_set(t) & pos.keys())
+    telling = {f for f, c in pos.items() if c / (c + neg[f]) > 0.9}
     has = lambda s: any(f in telling for t in s.split() for f in features(t))
     density = np.array([sum(map(has, (t or "").split())) / max(1, len((t or "").split())) if y else 0.0 for t, y in zip(texts, toxic, strict=True)])
     half = np.median(density[toxic == 1]) if (toxic == 1).any() else 0.0
