@@ -7,11 +7,8 @@ executors on a cluster). Only where that setting is absent (tests) a temporary l
 from __future__ import annotations
 
 import atexit
-import os
-import re
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -19,36 +16,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shipping import ship
+
 #: ASCII blanks that separate words in every contract: space, \t \n \v \f \r. ``bytes.split()`` uses exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows converted to Python objects at a time inside an Arrow batch; bounds worker memory with very long texts.
 ROWS_AT_ONCE = 256
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Make this package importable by Python workers, whatever their working directory (once per application)."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    if not os.path.isdir(root):  # this is already a shipped copy
-        _shipped.add(app)
-        return
-    folder = tempfile.mkdtemp(prefix="pagecodec-ship-")
-    path = os.path.join(folder, "pagecodec_src.zip")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for d, _, names in os.walk(root):
-            for n in names:
-                if n.endswith(".py"):
-                    full = os.path.join(d, n)
-                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
-    spark.sparkContext.addPyFile(path)
-    _shipped.add(app)
-
-
 def shared_root(spark: SparkSession) -> str:
     """The shared folder of the session; sets a local one only if the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
@@ -159,5 +134,3 @@ def emit(rows: DataFrame, decisions: DataFrame) -> DataFrame:
         out = out.unionByName(again.dropDuplicates(["key_id", "key_hash"]).select(*out.columns))
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*cells)
 
-
-BLANKS = re.compile(rb"[\x20\x09-\x0D]+")

@@ -37,7 +37,9 @@ HOSTS_TO_BROADCAST = 100_000
 MEMO = 500_000
 LETTERS = re.compile(r"[^\W\d_]+")
 MARKUP = re.compile(r"<html[^>]*?\slang\s*=\s*[\"']?([a-zA-Z]{2,3})", re.I)
-TAGS = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>|&\w+;")
+UNSEEN = re.compile(r"<(script|style)\b", re.I)
+CLOSING = {k: re.compile(rf"</{k}\s*>", re.I) for k in ("script", "style")}
+TAGS = re.compile(r"<[^>]*>|&\w+;")
 SUFFIXES = {"fr": "fr", "de": "de", "at": "de", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl"}
 
 
@@ -100,6 +102,24 @@ def fit_sample(df: DataFrame, *, train_rows: int = TRAIN_ROWS, id_col: str = "do
     return fit([(r.label, r.text) for r in rows])
 
 
+def visible(html: str) -> str:
+    """Text between the tags, without scripts and styles; linear in the length, however odd the markup."""
+    parts, at, closed = [], 0, set(CLOSING)
+    for m in UNSEEN.finditer(html):
+        kind = m[1].lower()
+        if m.start() < at or kind not in closed:
+            continue
+        end = CLOSING[kind].search(html, m.end())
+        if end is None:
+            closed.discard(kind)
+            continue
+        parts.append(html[at : m.start()])
+        at = end.end()
+    text = " ".join([*parts, html[at:]])
+    last = text.rfind(">") + 1
+    return TAGS.sub(" ", text[:last]) + text[last:]
+
+
 def host_of(url: str | None) -> tuple[str | None, str | None, str | None]:
     """Host, domain (last two labels) and the suffix's language of an address."""
     try:
@@ -131,7 +151,7 @@ def _evidence(cols: Columns, names: list[str], b: pa.RecordBatch) -> Iterator[tu
         else:
             h, domain, suffix = host_of(url)
             found = MARKUP.search(text or "")
-            yield TAGS.sub(" ", text or ""), found and found[1].lower(), h, domain, suffix
+            yield visible(text or ""), found and found[1].lower(), h, domain, suffix
 
 
 def _prior(counts: np.ndarray, parent: np.ndarray, strength: float) -> np.ndarray:

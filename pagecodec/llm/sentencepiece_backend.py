@@ -31,6 +31,8 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
 MEMO = 300_000
+#: Characters of the longest cut that stays in the memo.
+LONGEST_KEPT = 64
 SCHEMA = "doc_id long, n_tokens long, parity boolean, roundtrip boolean, ids array<int>"
 
 
@@ -204,7 +206,13 @@ class Codec:
         if new:
             self.learn(sorted(new))
         get, fine = self.memo.__getitem__, not self.bad and not self.lossy
-        return [(list(chain.from_iterable(map(get, c))), fine or self.bad.isdisjoint(c), fine or self.lossy.isdisjoint(c)) for c in cuts]
+        out = [(list(chain.from_iterable(map(get, c))), fine or self.bad.isdisjoint(c), fine or self.lossy.isdisjoint(c)) for c in cuts]
+        for c in new:
+            if len(c) > LONGEST_KEPT:
+                del self.memo[c]
+                self.bad.discard(c)
+                self.lossy.discard(c)
+        return out
 
 
 _codecs: dict[str, Codec] = {}

@@ -152,7 +152,7 @@ def near_duplicates(df: DataFrame, *, radius: int = 3, width: int = 3, seed: int
     return docs.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(df: DataFrame, *, radius: int = 3, width: int = 5, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(df: DataFrame, *, radius: int = 3, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, with the columns of ``df``: that of least (id, row hash), null ids last.
 
     Rows are known by id and a hash of all columns; only ids, hashes and fingerprints are shuffled. Rows to drop are

@@ -30,6 +30,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 TRUSTED = "\x00-՗Ḁ-₎₠-₿←-⏳─-⛿ぁ-ゖァ-ヺ一-龥가-힣\U0001f300-\U0001f5ff"
 #: Distinct merged pre-tokens remembered per worker; when full the memo starts anew.
 MEMO = 400_000
+#: Characters of the longest merged pre-token that stays in the memo.
+LONGEST_KEPT = 64
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
@@ -125,10 +127,14 @@ class Counter:
             pass
         new = [p for p in set(pieces) if p not in memo]
         if len(memo) + len(new) > MEMO + len(self.whole):
-            memo = self.memo = dict(self.whole)
+            self.memo = memo = dict(self.whole)
             new = [p for p in set(pieces) if p not in memo]
         memo.update(zip(new, map(self.merged, new), strict=True))
-        return sum(map(memo.__getitem__, pieces))
+        n = sum(map(memo.__getitem__, pieces))
+        for p in new:
+            if len(p) > LONGEST_KEPT:
+                del memo[p]
+        return n
 
 
 _counters: dict[str, Counter] = {}

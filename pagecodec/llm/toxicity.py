@@ -1,9 +1,9 @@
 """Toxicity by a classifier chain.
 
-Categories are predicted one after another by logistic regressions on word and word-prefix presence; each later model
-also gets the probabilities of the earlier categories. Those are out-of-fold predictions in training (every row's come
-from models that have not seen it), so later models learn from probabilities as they will meet them; the models that
-score the corpus are then fitted on all training rows.
+Categories are predicted one after another by logistic regressions on the presence of words and on the share of words
+with the same beginning; each later model also gets the probabilities of the earlier categories. Those are out-of-fold
+predictions in training (every row's come from models that have not seen it), so later models learn from probabilities
+as they will meet them; the models that score the corpus are then fitted on all training rows.
 
 The training set is bounded by ``train_rows`` labelled rows (those of least id hash): a documented parameter. Every
 row of the corpus is scored, over its whole text.
@@ -34,16 +34,32 @@ TRAIN_ROWS = 6000
 FOLDS = 5
 MAX_FEATURES = 5000
 MEMO = 500_000
+#: Characters of the longest token that a memo keeps; longer ones are looked at anew.
+LONGEST_KEPT = 64
 EDGE = re.compile(r"^\W+|\W+$")
-PREFIX = 5
+PREFIXES = (3, 5, 7)
+#: Distinct words added to a text's own before shares are taken, so that one word of a short text doesn't weigh too much.
+CALM = 20
 
 
 def features(token: str) -> tuple[str, ...]:
-    """Features of one blank-separated token: its word, and the beginning of a long word."""
+    """Features of one blank-separated token: its word, and the beginnings of a longer word (marked by a star)."""
     w = EDGE.sub("", token.lower())
-    if not w:
-        return ()
-    return (w, w[:PREFIX] + "*") if len(w) > PREFIX else (w,)
+    return (w, *(w[:k] + "*" for k in PREFIXES if len(w) > k)) if w else ()
+
+
+def values(of_tokens: list[tuple[str, ...]]) -> dict[str, float]:
+    """Feature values of the distinct tokens of a text: 1 for a word, for a beginning the per cent of tokens that have it."""
+    out: dict[str, float] = {}
+    share = 100 / (len(of_tokens) + CALM)
+    for found in of_tokens:
+        for f in found:
+            out[f] = out.get(f, 0.0) + share if f[-1] == "*" else 1.0
+    return out
+
+
+def feature_values(text: str | None) -> dict[str, float]:
+    return values([features(t) for t in sorted(set((text or "").split()))])
 
 
 def feature_set(text: str | None) -> set[str]:
@@ -62,32 +78,35 @@ class Linear:
     earlier: list[float] = field(default_factory=list)
     bias: float = -35.0
 
-    def logits(self, docs: list[set[str]], given: np.ndarray) -> np.ndarray:
+    def logits(self, docs: list[dict[str, float]], given: np.ndarray) -> np.ndarray:
         w = self.weights
-        z = np.array([sum(w[f] for f in d & w.keys()) for d in docs], float)
+        z = np.array([sum(w[f] * d[f] for f in sorted(d.keys() & w.keys())) for d in docs], float)
         return z + self.bias + (given @ np.array(self.earlier) if self.earlier else 0.0)
 
 
-def train(docs: list[set[str]], y: np.ndarray, given: np.ndarray, steps: int = 300, l2: float = 1e-4) -> Linear:
+def train(docs: list[dict[str, float]], y: np.ndarray, given: np.ndarray, steps: int = 1000, l2: float = 3e-6) -> Linear:
     """Fit on the features most telling for the category, by full-batch Adam with a fixed number of steps."""
     if not len(y) or y.min() == y.max():
         return Linear(earlier=[0.0] * given.shape[1])
-    pos, neg = Counter(), Counter()
+    pos, neg, holders = Counter(), Counter(), Counter()
     for d, t in zip(docs, y, strict=True):
         (pos if t else neg).update(d)
+        if t:
+            holders.update(d.keys())
     n_pos, n_neg = y.sum(), len(y) - y.sum()
-    odds = {f: np.log((c + 0.5) / (n_pos + 1)) - np.log((neg[f] + 0.5) / (n_neg + 1)) for f, c in pos.items() if c >= 3}
+    odds = {f: np.log((pos[f] + 0.5) / (n_pos + 1)) - np.log((neg[f] + 0.5) / (n_neg + 1)) for f, c in holders.items() if c >= 3}
     chosen = sorted((f for f, o in odds.items() if o > 1.5), key=lambda f: (-pos[f] * odds[f], f))[:MAX_FEATURES]
     place = {f: i for i, f in enumerate(chosen)}
-    hits = [[place[f] for f in d & place.keys()] for d in docs]
+    hits = [sorted((place[f], d[f]) for f in d.keys() & place.keys()) for d in docs]
     rows = np.repeat(np.arange(len(docs)), [len(h) for h in hits])
-    cols = np.array([c for h in hits for c in h], np.int64)
+    cols = np.array([c for h in hits for c, _ in h], np.int64)
+    x = np.array([v for h in hits for _, v in h], float)
     w, a, b = np.zeros(len(chosen)), np.zeros(given.shape[1]), float(np.log(n_pos / n_neg))
-    state = [[np.zeros_like(x), np.zeros_like(x)] for x in (w, a, np.zeros(1))]
+    state = [[np.zeros_like(v), np.zeros_like(v)] for v in (w, a, np.zeros(1))]
     for t in range(1, steps + 1):
-        z = np.bincount(rows, w[cols], len(docs)) + given @ a + b
+        z = np.bincount(rows, w[cols] * x, len(docs)) + given @ a + b
         err = (_sigmoid(z) - y) / len(y)
-        grads = [np.bincount(cols, err[rows], len(chosen)) + l2 * w, given.T @ err + l2 * a, np.array([err.sum()])]
+        grads = [np.bincount(cols, err[rows] * x, len(chosen)) + l2 * w, given.T @ err + l2 * a, np.array([err.sum()])]
         moves = []
         for (m, v), g in zip(state, grads, strict=True):
             m += 0.1 * (g - m)
@@ -108,16 +127,17 @@ class Chain:
         memo, known = self.memo, set().union(*(m.weights for m in self.models))
         docs = []
         for text in texts:
-            found: set[str] = set()
+            tokens = []
             for t in set((text or "").split()):
                 f = memo.get(t)
                 if f is None:
                     if len(memo) > MEMO:
                         memo.clear()
-                    f = memo[t] = tuple(x for x in features(t) if x in known)
-                if f:
-                    found.update(f)
-            docs.append(found)
+                    f = tuple(x for x in features(t) if x in known)
+                    if len(t) <= LONGEST_KEPT:
+                        memo[t] = f
+                tokens.append(f)
+            docs.append(values(tokens))
         out = np.zeros((len(texts), 0))
         for m in self.models:
             out = np.column_stack([out, _sigmoid(m.logits(docs, out))])
@@ -134,7 +154,7 @@ def fit_chain(texts: list[str | None], labels: dict[str, np.ndarray], ids: list[
         if y:
             common_ones.update(feature_set(t))
     candidates = {f: f for f, n in common_ones.items() if n >= 3}
-    docs = [{candidates[f] for f in feature_set(t) & candidates.keys()} for t in texts]
+    docs = [{candidates[f]: v for f, v in feature_values(t).items() if f in candidates} for t in texts]
     fold = np.array([zlib.crc32(str(i).encode()) % folds for i in ids], np.int64)
     oof, models = np.zeros((len(docs), 0)), []
     for y in labels.values():
