@@ -22,7 +22,8 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import lru_cache
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -34,8 +35,10 @@ from . import common
 
 TRAIN_ROWS = 2000
 HOSTS_TO_BROADCAST = 100_000
-MEMO = 500_000
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Characters looked at together; bounds memory with long texts.
+STRETCH = 1 << 16
+#: Trigrams over an alphabet up to which their rows are looked up in a dense table, else by binary search.
+DENSE = 1 << 23
 MARKUP = re.compile(r"<html[^>]*?\slang\s*=\s*[\"']?([a-zA-Z]{2,3})", re.I)
 UNSEEN = re.compile(r"<(script|style)\b", re.I)
 CLOSING = {k: re.compile(rf"</{k}\s*>", re.I) for k in ("script", "style")}
@@ -43,55 +46,87 @@ TAGS = re.compile(r"<[^>]*>|&\w+;")
 SUFFIXES = {"fr": "fr", "de": "de", "at": "de", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl"}
 
 
+@lru_cache(maxsize=1)
+def letters() -> np.ndarray:
+    """Whether each code point is a letter (``[^\\W\\d_]``)."""
+    return np.fromiter((c.isalnum() and not c.isdecimal() for c in map(chr, range(0x110000))), bool, 0x110000)
+
+
+def points(text: str) -> np.ndarray:
+    return np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
+
+
 @dataclass
 class TextModel:
-    """log P(trigram | language) as an array of one row per trigram; the last row stands for unseen ones."""
+    """log P(trigram | language), a row per known trigram and one for all others.
+
+    Letters are numbered by ``alphabet`` from 1, unknown ones alike; whatever stands between words is 0. A trigram is
+    the number of its three characters to the base of the letters' count; the middle one is a letter.
+    """
 
     languages: list[str]
-    index: dict[str, int]
+    alphabet: np.ndarray
+    trigrams: np.ndarray
     logp: np.ndarray
-    memo: dict[str, np.ndarray] = field(default_factory=dict)
-
-    def word(self, w: str) -> np.ndarray:
-        s, unseen = f"_{w}_", len(self.index)
-        return self.logp[[self.index.get(s[i : i + 3], unseen) for i in range(len(s) - 2)]].sum(0)
+    number: np.ndarray | None = None
+    place: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"number": None, "place": None}
+
+    @property
+    def base(self) -> int:
+        return len(self.alphabet) + 2
+
+    def codes(self, text: str) -> Iterator[tuple[int, np.ndarray]]:
+        """Words that begin, and trigrams, in each stretch of the text."""
+        if self.number is None:
+            self.number = np.where(letters(), self.base - 1, 0).astype(np.int32)
+            self.number[self.alphabet] = np.arange(1, self.base - 1)
+        ids = np.concatenate(([0], self.number[points(text)], [0]))
+        for at in range(0, len(ids) - 2, STRETCH):
+            x = ids[at : at + STRETCH + 2].astype(np.int64)
+            before, own = x[:-2], x[1:-1]
+            inside = own > 0
+            yield int((inside & (before == 0)).sum()), ((before * self.base + own) * self.base + x[2:])[inside]
+
+    def rows(self, codes: np.ndarray) -> np.ndarray:
+        """Where trigrams stand in ``logp``."""
+        unseen = len(self.trigrams)
+        if self.base**3 <= DENSE:
+            if self.place is None:
+                self.place = np.full(self.base**3, unseen, np.int32)
+                self.place[self.trigrams] = np.arange(unseen)
+            return self.place[codes]
+        at = np.minimum(np.searchsorted(self.trigrams, codes), max(0, unseen - 1))
+        return np.where(self.trigrams[at] == codes, at, unseen) if unseen else np.zeros(len(codes), np.int64)
 
     def text(self, text: str | None, effective_words: int) -> tuple[int, np.ndarray]:
         """Words, and the log likelihood of each language, tempered to that of ``effective_words`` words."""
-        counts = Counter(LETTERS.findall(text.lower())) if text else {}
-        n = sum(counts.values())
-        if not n:
-            return 0, np.zeros(len(self.languages))
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        rows = []
-        for w in counts:
-            v = memo.get(w)
-            if v is None:
-                v = memo[w] = self.word(w)
-            rows.append(v)
-        return n, (np.fromiter(counts.values(), float, len(counts)) @ np.array(rows)) * min(1.0, effective_words / n)
+        n, total = 0, np.zeros(max(1, len(self.languages)))
+        for found, codes in self.codes(text or ""):
+            n += found
+            total += np.bincount(self.rows(codes), minlength=len(self.logp)) @ self.logp if len(codes) > len(self.logp) else self.logp[self.rows(codes)].sum(0)
+        return n, total * min(1.0, effective_words / n) if n else total
 
 
 def fit(rows: list[tuple[str, str]], smoothing: float = 0.5) -> TextModel:
     """From (language, text) pairs."""
     languages = sorted({r[0] for r in rows})
-    words: list[Counter] = [Counter() for _ in languages]
+    used = np.unique(np.concatenate([np.zeros(0, np.uint32), *(np.unique(points(t)) for _, t in rows)]))
+    model = TextModel(languages, used[letters()[used]], np.zeros(0, np.int64), np.zeros((1, max(1, len(languages)))))
+    counted: list[Counter] = [Counter() for _ in languages]
     for lang, text in rows:
-        words[languages.index(lang)].update(LETTERS.findall(text.lower()))
-    counts: list[Counter] = [Counter() for _ in languages]
-    for c, found in zip(counts, words, strict=True):
-        for w, n in found.items():
-            s = f"_{w}_"
-            for i in range(len(s) - 2):
-                c[s[i : i + 3]] += n
-    index = {g: i for i, g in enumerate(sorted(set().union(*counts)))} if counts else {}
-    table = np.full((len(index) + 1, max(1, len(languages))), smoothing)
-    for k, c in enumerate(counts):
-        for g, n in c.items():
-            table[index[g], k] += n
-    return TextModel(languages, index, np.log(table / table.sum(0)))
+        for _, codes in model.codes(text):
+            at, n = np.unique(codes, return_counts=True)
+            counted[languages.index(lang)].update(dict(zip(at.tolist(), n.tolist(), strict=True)))
+    model.trigrams = np.array(sorted(set().union(*counted)), np.int64)
+    table = np.full((len(model.trigrams) + 1, max(1, len(languages))), smoothing)
+    for k, c in enumerate(counted):
+        if c:
+            table[np.searchsorted(model.trigrams, np.array(list(c), np.int64)), k] += np.array(list(c.values()), float)
+    model.logp = np.log(table / table.sum(0))
+    return model
 
 
 def fit_sample(df: DataFrame, *, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> TextModel:
