@@ -23,8 +23,8 @@ null ids keep their row (a component's id is its least non-null id); repeated ro
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import accumulate
+from collections.abc import Iterable, Iterator
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +41,8 @@ _BYTE_AT = (np.arange(8) * 256)[None, :]
 _POWERS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 #: Lowest and one past the highest bit of each wildcard block.
 BLOCKS = ((0, 22), (22, 43), (43, 64))
+#: Shingles counted together; bounds memory with long texts.
+STRETCH = 1 << 14
 #: Surviving words that may be broadcast; beyond it the join shuffles both sides.
 WORDS_TO_BROADCAST = 200_000
 
@@ -52,13 +54,18 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
         return 0
     joined = b" ".join(tokens)
     if len(tokens) <= width:
-        h = np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
-    else:
-        at = list(accumulate((len(t) + 1 for t in tokens), initial=0))
-        digest = xxhash.xxh64_intdigest
-        h = np.array([digest(joined[a : b - 1], seed) for a, b in zip(at, at[width:], strict=False)], np.uint64)
-    n = len(h)
-    histogram = np.bincount((h.view(np.uint8).reshape(n, 8) + _BYTE_AT).ravel(), minlength=2048).reshape(8, 256)
+        return _bits_of([xxhash.xxh64_intdigest(joined, seed)])
+    at = list(accumulate((len(t) + 1 for t in tokens), initial=0))
+    digest = xxhash.xxh64_intdigest
+    return _bits_of(digest(joined[a : b - 1], seed) for a, b in zip(at, at[width:], strict=False))
+
+
+def _bits_of(hashes: Iterable[int]) -> int:
+    """The bits set in more than half of the hashes, which are counted ``STRETCH`` at a time."""
+    n, histogram, source = 0, np.zeros((8, 256), np.int64), iter(hashes)
+    while len(h := np.fromiter(islice(source, STRETCH), np.uint64)):
+        n += len(h)
+        histogram += np.bincount((h.view(np.uint8).reshape(len(h), 8) + _BYTE_AT).ravel(), minlength=2048).reshape(8, 256)
     return int(_POWERS[(histogram @ _BITS).ravel() * 2 > n].sum(dtype=np.uint64))
 
 
@@ -86,9 +93,14 @@ def _xor(a: str | Column, b: str | Column) -> Column:
     return (F.col(a) if isinstance(a, str) else a).bitwiseXOR(F.col(b) if isinstance(b, str) else b)
 
 
+def _spread(nodes: DataFrame) -> DataFrame:
+    """Nodes over all shuffle partitions: their table is small and lies in few files, what they emit isn't."""
+    return nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+
+
 def _near_links(nodes: DataFrame) -> DataFrame:
     """Links that connect all nodes at 2 bits or fewer: nodes that share a word are chained."""
-    words = nodes.select("fp", F.explode(_flips(list(range(64)))).alias("flip")).select("fp", _xor("fp", "flip").alias("word"))
+    words = _spread(nodes).select("fp", F.explode(_flips(list(range(64)))).alias("flip")).select("fp", _xor("fp", "flip").alias("word"))
     previous = F.lag("fp").over(Window.partitionBy("word").orderBy("fp"))
     return words.select("fp", previous.alias("v")).where("v is not null").select(F.col("fp").alias("u"), "v")
 
@@ -105,6 +117,7 @@ def _wild_words(nodes: DataFrame, block: int) -> DataFrame:
 
 def _odd_links(nodes: DataFrame) -> DataFrame:
     """Links between components that connect all nodes at exactly 3 bits; ``nodes``: fp, comp."""
+    nodes = _spread(nodes)
     emitted = _wild_words(nodes, 0).unionByName(_wild_words(nodes, 1)).unionByName(_wild_words(nodes, 2))
     shared = emitted.groupBy("block", "word").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("block", "word")
     shared = common.table(shared, "op10-shared")
