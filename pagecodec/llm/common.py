@@ -23,6 +23,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows converted to Python objects at a time inside an Arrow batch; bounds worker memory with very long texts.
 ROWS_AT_ONCE = 256
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 def shared_root(spark: SparkSession) -> str:
     """The shared folder of the session; sets a local one only if the session names none."""
@@ -82,8 +83,11 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Itera
 
 
 def map_arrow(df: DataFrame, fn: Callable, schema: T.StructType | str) -> DataFrame:
-    """``mapInArrow`` with the package shipped to the workers."""
-    ship(df.sparkSession)
+    """``mapInArrow`` with the package shipped to the workers; batches of texts are kept short unless the session says otherwise."""
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get(BATCH_ROWS) == "10000":  # Spark's default, meant for rows of numbers
+        spark.conf.set(BATCH_ROWS, str(4 * ROWS_AT_ONCE))
     return df.mapInArrow(fn, schema)
 
 

@@ -30,7 +30,7 @@ from . import common
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
-MEMO = 300_000
+MEMO = 100_000
 #: Characters of the longest cut that stays in the memo.
 LONGEST_KEPT = 64
 SCHEMA = "doc_id long, n_tokens long, parity boolean, roundtrip boolean, ids array<int>"

@@ -29,7 +29,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Code points on which the library's and ``regex``'s classes agree (tests/llm checks every one).
 TRUSTED = "\x00-՗Ḁ-₎₠-₿←-⏳─-⛿ぁ-ゖァ-ヺ一-龥가-힣\U0001f300-\U0001f5ff"
 #: Distinct merged pre-tokens remembered per worker; when full the memo starts anew.
-MEMO = 400_000
+MEMO = 150_000
 #: Characters of the longest merged pre-token that stays in the memo.
 LONGEST_KEPT = 64
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
