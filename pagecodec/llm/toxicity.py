@@ -33,7 +33,7 @@ from . import common
 TRAIN_ROWS = 6000
 FOLDS = 5
 MAX_FEATURES = 5000
-MEMO = 500_000
+MEMO = 100_000
 #: Characters of the longest token that a memo keeps; longer ones are looked at anew.
 LONGEST_KEPT = 64
 EDGE = re.compile(r"^\W+|\W+$")
@@ -70,102 +70,141 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
+@dataclass
+class Sparse:
+    """Feature values of texts, row after row; columns are numbered in the order of the features' names."""
+
+    row: np.ndarray
+    col: np.ndarray
+    value: np.ndarray
+    n_rows: int
+    n_cols: int
+
+    def take(self, rows: np.ndarray) -> Sparse:
+        place = np.full(self.n_rows, -1, np.int64)
+        place[rows] = np.arange(len(rows))
+        mine = place[self.row] >= 0
+        return Sparse(place[self.row[mine]], self.col[mine], self.value[mine], len(rows), self.n_cols)
+
+    def times(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights[self.col] * self.value, self.n_rows)
+
+    def sums(self, of_rows: np.ndarray) -> np.ndarray:
+        """Sum of each column over rows of the given weights."""
+        return np.bincount(self.col, of_rows[self.row] * self.value, self.n_cols)
+
+
+def sparse(texts: list[str | None], positive: np.ndarray) -> tuple[list[str], Sparse]:
+    """Names and values of the features that three positive texts or more hold, and positive texts oftener than others."""
+    held: Counter = Counter()
+    for t, y in zip(texts, positive, strict=True):
+        if y:
+            held.update(feature_set(t))
+    held = Counter({f: n for f, n in held.items() if n >= 3})
+    others: Counter = Counter()
+    for t, y in zip(texts, positive, strict=True):
+        if not y:
+            others.update(feature_set(t) & held.keys())
+    n_pos = int(np.count_nonzero(positive))
+    names = sorted(f for f, n in held.items() if (n + 0.5) / (n_pos + 1) > (others[f] + 0.5) / (len(texts) - n_pos + 1))
+    place = {f: i for i, f in enumerate(names)}
+    rows, cols, kept = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    for k, t in enumerate(texts):
+        found = sorted((place[f], v) for f, v in feature_values(t).items() if f in place)
+        rows.append(np.full(len(found), k, np.int64))
+        cols.append(np.array([c for c, _ in found], np.int64))
+        kept.append(np.array([v for _, v in found], float))
+    return names, Sparse(np.concatenate(rows), np.concatenate(cols), np.concatenate(kept), len(texts), len(names))
+
+
 @dataclass
 class Linear:
     """A logistic regression: feature weights, weights of earlier categories and an intercept."""
 
-    weights: dict[str, float] = field(default_factory=dict)
-    earlier: list[float] = field(default_factory=list)
+    weights: np.ndarray
+    earlier: np.ndarray
     bias: float = -35.0
 
-    def logits(self, docs: list[dict[str, float]], given: np.ndarray) -> np.ndarray:
-        w = self.weights
-        z = np.array([sum(w[f] * d[f] for f in sorted(d.keys() & w.keys())) for d in docs], float)
-        return z + self.bias + (given @ np.array(self.earlier) if self.earlier else 0.0)
+    def probabilities(self, x: Sparse, given: np.ndarray) -> np.ndarray:
+        return _sigmoid(x.times(self.weights) + given @ self.earlier + self.bias)
 
 
-def train(docs: list[dict[str, float]], y: np.ndarray, given: np.ndarray, steps: int = 1000, l2: float = 3e-6) -> Linear:
+def train(x: Sparse, y: np.ndarray, given: np.ndarray, steps: int = 1000, l2: float = 3e-6) -> Linear:
     """Fit on the features most telling for the category, by full-batch Adam with a fixed number of steps."""
-    if not len(y) or y.min() == y.max():
-        return Linear(earlier=[0.0] * given.shape[1])
-    pos, neg, holders = Counter(), Counter(), Counter()
-    for d, t in zip(docs, y, strict=True):
-        (pos if t else neg).update(d)
-        if t:
-            holders.update(d.keys())
-    n_pos, n_neg = y.sum(), len(y) - y.sum()
-    odds = {f: np.log((pos[f] + 0.5) / (n_pos + 1)) - np.log((neg[f] + 0.5) / (n_neg + 1)) for f, c in holders.items() if c >= 3}
-    chosen = sorted((f for f, o in odds.items() if o > 1.5), key=lambda f: (-pos[f] * odds[f], f))[:MAX_FEATURES]
-    place = {f: i for i, f in enumerate(chosen)}
-    hits = [sorted((place[f], d[f]) for f in d.keys() & place.keys()) for d in docs]
-    rows = np.repeat(np.arange(len(docs)), [len(h) for h in hits])
-    cols = np.array([c for h in hits for c, _ in h], np.int64)
-    x = np.array([v for h in hits for _, v in h], float)
-    w, a, b = np.zeros(len(chosen)), np.zeros(given.shape[1]), float(np.log(n_pos / n_neg))
-    state = [[np.zeros_like(v), np.zeros_like(v)] for v in (w, a, np.zeros(1))]
+    n = len(y)
+    if not n or y.min() == y.max():
+        return Linear(np.zeros(x.n_cols), np.zeros(given.shape[1]))
+    pos, neg = x.sums(y.astype(float)), x.sums(1.0 - y)
+    holders = np.bincount(x.col[y[x.row] != 0], minlength=x.n_cols)
+    odds = np.log((pos + 0.5) / (y.sum() + 1)) - np.log((neg + 0.5) / (n - y.sum() + 1))
+    telling = np.flatnonzero((holders >= 3) & (odds > 1.5))
+    chosen = np.sort(telling[np.argsort(-pos[telling] * odds[telling], kind="stable")][:MAX_FEATURES])
+    place = np.full(x.n_cols, -1, np.int64)
+    place[chosen] = np.arange(len(chosen))
+    mine = place[x.col] >= 0
+    own = Sparse(x.row[mine], place[x.col[mine]], x.value[mine], n, len(chosen))
+    w, a, b = np.zeros(len(chosen)), np.zeros(given.shape[1]), np.full(1, np.log(y.sum() / (n - y.sum())))
+    state = [[np.zeros_like(v), np.zeros_like(v)] for v in (w, a, b)]
     for t in range(1, steps + 1):
-        z = np.bincount(rows, w[cols] * x, len(docs)) + given @ a + b
-        err = (_sigmoid(z) - y) / len(y)
-        grads = [np.bincount(cols, err[rows] * x, len(chosen)) + l2 * w, given.T @ err + l2 * a, np.array([err.sum()])]
-        moves = []
-        for (m, v), g in zip(state, grads, strict=True):
+        err = (_sigmoid(own.times(w) + given @ a + b) - y) / n
+        for (m, v), g, param in zip(state, (own.sums(err) + l2 * w, given.T @ err + l2 * a, err.sum(keepdims=True)), (w, a, b), strict=True):
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
-            moves.append(0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9))
-        w, a, b = w - moves[0], a - moves[1], b - float(moves[2][0])
-    return Linear({f: float(x) for f, x in zip(chosen, w, strict=True)}, a.tolist(), b)
+            param -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+    weights = np.zeros(x.n_cols)
+    weights[chosen] = w
+    return Linear(weights, a, float(b[0]))
 
 
 @dataclass
 class Chain:
+    """The models of the categories in turn; ``names`` are the features' names, of which only used ones are kept."""
+
     categories: list[str]
+    names: list[str]
     models: list[Linear]
     memo: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         """Probabilities, a row per text and a column per category."""
-        memo, known = self.memo, set().union(*(m.weights for m in self.models))
-        docs = []
-        for text in texts:
+        memo, place = self.memo, {f: i for i, f in enumerate(self.names)}
+        rows, cols, kept = [], [], []
+        for k, text in enumerate(texts):
             tokens = []
             for t in set((text or "").split()):
                 f = memo.get(t)
                 if f is None:
                     if len(memo) > MEMO:
                         memo.clear()
-                    f = tuple(x for x in features(t) if x in known)
+                    f = tuple(x for x in features(t) if x in place)
                     if len(t) <= LONGEST_KEPT:
                         memo[t] = f
                 tokens.append(f)
-            docs.append(values(tokens))
+            for f, v in values(tokens).items():
+                rows.append(k)
+                cols.append(place[f])
+                kept.append(v)
+        x = Sparse(np.array(rows, np.int64), np.array(cols, np.int64), np.array(kept, float), len(texts), len(self.names))
         out = np.zeros((len(texts), 0))
         for m in self.models:
-            out = np.column_stack([out, _sigmoid(m.logits(docs, out))])
+            out = np.column_stack([out, m.probabilities(x, out)])
         return out
 
 
 def fit_chain(texts: list[str | None], labels: dict[str, np.ndarray], ids: list[int], folds: int = FOLDS) -> tuple[Chain, np.ndarray]:
     """The chain, and its out-of-fold probabilities on the training rows."""
-    # a model only chooses features of three positive rows or more, so no others need be held
-    common_ones: Counter = Counter()
-    first = next(iter(labels.values()))
-    any_label = np.any([y != 0 for y in labels.values()], axis=0) if len(first) else first
-    for t, y in zip(texts, any_label, strict=True):
-        if y:
-            common_ones.update(feature_set(t))
-    candidates = {f: f for f, n in common_ones.items() if n >= 3}
-    docs = [{candidates[f]: v for f, v in feature_values(t).items() if f in candidates} for t in texts]
+    names, x = sparse(texts, np.any([y != 0 for y in labels.values()], axis=0))
     fold = np.array([zlib.crc32(str(i).encode()) % folds for i in ids], np.int64)
-    oof, models = np.zeros((len(docs), 0)), []
+    oof, models = np.zeros((len(texts), 0)), []
     for y in labels.values():
-        p = np.zeros(len(docs))
+        p = np.zeros(len(texts))
         for k in range(folds):
             rest, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-            m = train([docs[i] for i in rest], y[rest], oof[rest])
-            p[own] = _sigmoid(m.logits([docs[i] for i in own], oof[own]))
-        models.append(train(docs, y, oof))
+            p[own] = train(x.take(rest), y[rest], oof[rest]).probabilities(x.take(own), oof[own])
+        models.append(train(x, y, oof))
         oof = np.column_stack([oof, p])
-    return Chain(list(labels), models), oof
+    used = np.flatnonzero(np.any([m.weights != 0 for m in models], axis=0))
+    return Chain(list(labels), [names[i] for i in used], [Linear(m.weights[used], m.earlier, m.bias) for m in models]), oof
 
 
 def categories(texts: list[str | None], toxic: np.ndarray) -> dict[str, np.ndarray]:
