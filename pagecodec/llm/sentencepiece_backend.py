@@ -3,7 +3,7 @@
 The model's protobuf is parsed here; normaliser, metaspace marker, scores (unigram) or merges (BPE, rebuilt from the
 piece scores) and byte fallback are rebuilt as a tokenizers pipeline. Texts are cut before every run of markers and
 around line breaks, which is exact when no piece has a marker after another character and none holds a line break
-(checked on the vocabulary; else texts are encoded whole). Each new distinct cut is encoded in a multithreaded batch,
+(checked on the vocabulary; else texts are encoded whole). New distinct cuts are encoded in multithreaded batches,
 compared with the sentencepiece library (``parity``) and decoded again (``roundtrip``), so both hold for whole texts.
 
 Cases: null and empty texts have no tokens, with parity and round trip true; strings that look like special pieces
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -30,7 +31,9 @@ from . import common
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
-MEMO = 100_000
+MEMO = 150_000
+#: New cuts that are encoded in one string.
+TOGETHER = 500
 #: Characters of the longest cut that stays in the memo.
 LONGEST_KEPT = 64
 SCHEMA = "doc_id long, n_tokens long, parity boolean, roundtrip boolean, ids array<int>"
@@ -140,7 +143,7 @@ def build(m: Model, *, normalise: bool = True):
 
 
 class Codec:
-    """Encodes texts; lives in a Python worker."""
+    """Encodes texts; lives in a Python worker. Ids of cuts are remembered as bytes, four for each id."""
 
     def __init__(self, data: bytes, threads: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
@@ -152,9 +155,11 @@ class Codec:
         self.whole, self.inner = build(self.model), build(self.model, normalise=False)
         self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.plain = not self.model.charsmap and not self.model.squeeze
-        self.exact = self.model.splits and self.plain and self.model.dummy_prefix
+        self.line = self.inner.encode("\n", add_special_tokens=False).ids
+        alone = len(self.line) == 1 and self.line[0] != self.model.unk_id
+        self.exact = self.model.splits and self.plain and self.model.dummy_prefix and alone
         self.cut = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n").findall
-        self.memo: dict[str, list[int]] = {}
+        self.memo: dict[str, bytes] = {}
         self.bad: set[str] = set()
         self.lossy: set[str] = set()
         self.threads = threads or 1
@@ -171,42 +176,56 @@ class Codec:
             out += bytes([int(p[3:5], 16)]) if t == BYTE else p.encode()
         return out.decode(errors="replace")
 
-    def _expected(self, cuts: list[str]) -> list[list[int]]:
-        """The sentencepiece library's ids of cuts, which it only gives behind its dummy prefix or a line break."""
+    def _one_by_one(self, cuts: list[str]) -> None:
+        """Learn cuts singly. The library gives their ids only behind its dummy prefix or a line break."""
         alone = self.library.encode("\n")
-        marked = [c.startswith(MARK) for c in cuts]
-        asked = [c[1:] if m else "\n" + c for c, m in zip(cuts, marked, strict=True)]
-        got = self.library.encode(asked, num_threads=self.threads)
-        return [alone[:1] if c == MARK else g if m else g[len(alone) :] for c, m, g in zip(cuts, marked, got, strict=True)]
-
-    def learn(self, cuts: list[str]) -> None:
-        if len(self.memo) + len(cuts) > MEMO:
-            self.memo.clear()
-            self.bad.clear()
-            self.lossy.clear()
-        got = [e.ids for e in self.inner.encode_batch_fast(cuts, add_special_tokens=False)]
-        for c, ids, expected in zip(cuts, got, self._expected(cuts), strict=True):
-            self.memo[c] = ids
+        for c, e in zip(cuts, self.inner.encode_batch_fast(cuts, add_special_tokens=False), strict=True):
+            ids = e.ids
+            expected = alone[:1] if c == MARK else self.library.encode(c[1:]) if c.startswith(MARK) else self.library.encode("\n" + c)[len(alone) :]
+            self.memo[c] = np.array(ids, np.int32).tobytes()
             if ids != expected:
                 self.bad.add(c)
             if self._surface(ids) != c:
                 self.lossy.add(c)
 
-    def encode(self, texts: list[str | None]) -> list[tuple[list[int], bool, bool]]:
-        """Ids, parity and round trip of each text."""
+    def learn(self, cuts: list[str]) -> None:
+        """Encode new cuts, many in a string with line breaks between, on several threads; check and undo them together.
+
+        Where a string's ids aren't the library's, or don't give its text again, its cuts are looked at one by one.
+        """
+        if len(self.memo) + len(cuts) > MEMO:
+            self.memo, self.bad, self.lossy = {}, set(), set()
+        self.memo["\n"] = np.array(self.line, np.int32).tobytes()
+        cuts = [c for c in cuts if c != "\n"]
+        groups = [cuts[i : i + TOGETHER] for i in range(0, len(cuts), TOGETHER)]
+        strings = ["\n" + "\n".join(g) for g in groups]
+        found = [e.ids for e in self.inner.encode_batch_fast(strings, add_special_tokens=False)]
+        expected = self.library.encode(strings, num_threads=self.threads)
+        surfaces = self.library.decode(expected, num_threads=self.threads)
+        for group, s, ids, e, surface in zip(groups, strings, found, expected, surfaces, strict=True):
+            flat = np.array(ids, np.int32)
+            at = np.flatnonzero(flat == self.line[0])
+            if e[1:] != ids or len(at) != len(group) or surface != s.replace(MARK, " "):
+                self._one_by_one(group)
+                continue
+            data, ends = flat.tobytes(), (4 * np.append(at, len(flat))).tolist()
+            self.memo.update((c, data[i + 4 : j]) for c, i, j in zip(group, ends, ends[1:], strict=False))
+
+    def packed(self, texts: list[str | None]) -> list[tuple[bytes, bool, bool]]:
+        """Ids as bytes, parity and round trip of each text."""
         if not self.exact:
             filled = [t or "" for t in texts]
             got = [e.ids if t else [] for t, e in zip(filled, self.whole.encode_batch(filled, add_special_tokens=False), strict=True)]
-            return [(ids, ids == e, self.decode(ids) == t) for t, ids, e in zip(filled, got, self.library.encode(filled), strict=True)]
+            return [(np.array(ids, np.int32).tobytes(), ids == e, self.decode(ids) == t) for t, ids, e in zip(filled, got, self.library.encode(filled), strict=True)]
         cuts = [self.cut(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = set(chain.from_iterable(cuts)) - self.memo.keys()
+        distinct = set(chain.from_iterable(cuts))
+        new = distinct - self.memo.keys()
         if len(self.memo) + len(new) > MEMO:
-            self.memo, self.bad, self.lossy = {}, set(), set()
-            new = set(chain.from_iterable(cuts))
+            self.memo, self.bad, self.lossy, new = {}, set(), set(), distinct
         if new:
-            self.learn(sorted(new))
+            self.learn(list(new))
         get, fine = self.memo.__getitem__, not self.bad and not self.lossy
-        out = [(list(chain.from_iterable(map(get, c))), fine or self.bad.isdisjoint(c), fine or self.lossy.isdisjoint(c)) for c in cuts]
+        out = [(b"".join(map(get, c)), fine or self.bad.isdisjoint(c), fine or self.lossy.isdisjoint(c)) for c in cuts]
         for c in new:
             if len(c) > LONGEST_KEPT:
                 del self.memo[c]
@@ -214,6 +233,10 @@ class Codec:
                 self.lossy.discard(c)
         return out
 
+    def encode(self, texts: list[str | None]) -> list[tuple[list[int], bool, bool]]:
+        """Ids, parity and round trip of each text."""
+        return [(np.frombuffer(ids, np.int32).tolist(), parity, back) for ids, parity, back in self.packed(texts)]
+
 
 _codecs: dict[str, Codec] = {}
 
@@ -234,11 +257,12 @@ def encode(df: DataFrame, model_path: str, *, threads: int | None = 2, id_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(data, threads)
         for b in common.slices(batches):
-            out = c.encode(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([
-                b.column(0).cast(pa.int64()), pa.array([len(x[0]) for x in out], pa.int64()), pa.array([x[1] for x in out], pa.bool_()),
-                pa.array([x[2] for x in out], pa.bool_()), pa.array([x[0] for x in out], pa.list_(pa.int32())),
-            ], names=["doc_id", "n_tokens", "parity", "roundtrip", "ids"])
+            out = c.packed(b.column(1).to_pylist())
+            sizes = np.array([len(x[0]) // 4 for x in out], np.int64)
+            ends = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
+            ids = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(x[0] for x in out), np.int32)))
+            cells = [b.column(0).cast(pa.int64()), pa.array(sizes), pa.array([x[1] for x in out], pa.bool_()), pa.array([x[2] for x in out], pa.bool_()), ids]
+            yield pa.RecordBatch.from_arrays(cells, names=["doc_id", "n_tokens", "parity", "roundtrip", "ids"])
 
     return common.map_arrow(common.pick(df, doc_id=id_col, text=text_col), run, SCHEMA)
 
