@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -55,8 +55,17 @@ def vocabulary(df: DataFrame, size: int = VOCABULARY, text_col: str = "text") ->
                 counts.clear()
         yield page()
 
-    found = common.map_arrow(common.pick(df, text=text_col), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in found.orderBy(F.desc("n"), "word").limit(size).collect()]
+    counted = common.map_arrow(common.pick(df, text=text_col), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = common.table(counted, "op9-words")
+    # the count at which the vocabulary ends, from how many words have each count: a top-k would send the driver k words of every task
+    above = F.sum("words").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1))
+    ends = found.groupBy("n").agg(F.count(F.lit(1)).alias("words")).withColumn("above", F.coalesce(above, F.lit(0)))
+    end = ends.where(F.col("above") < size).orderBy("n").first()
+    if end is None:
+        return []
+    sure = sorted(found.where(F.col("n") > end.n).collect(), key=lambda r: (-r.n, r.word.encode()))
+    ties = found.where(F.col("n") == end.n).orderBy("word").limit(size - end.above).collect()
+    return [r.word for r in (*sure, *ties)]
 
 
 def token_ids(text: str | None, index: dict[str, int]) -> np.ndarray:
