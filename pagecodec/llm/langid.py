@@ -253,7 +253,7 @@ def identify(
             cells = [b.column(i) for i in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*cells, pa.array(langs, pa.string()), pa.array(posts, pa.float64()), pa.array(oks, pa.bool_())], names=[*(f"c{i}" for i in range(len(cells))), "lang_found", "posterior", "accepted"])
 
-    schema = plain.selectExpr("*", "'' as lang_found", "0d as posterior", "true as accepted").schema
+    schema = plain.selectExpr("*", "cast(null as string) as lang_found", "0d as posterior", "true as accepted").schema
     return common.map_arrow(joined, second, schema)
 
 

@@ -87,7 +87,7 @@ class Inflater:
     """Buffered reading of a gzip file of one or many members, inflated front to back once."""
 
     def __init__(self, raw: BinaryIO):
-        self.raw, self.buffer, self.at, self.z, self.over = raw, bytearray(), 0, zlib.decompressobj(31), False
+        self.raw, self.buffer, self.at, self.z, self.over, self.begun = raw, bytearray(), 0, zlib.decompressobj(31), False, False
 
     def more(self) -> bool:
         if self.at > CHUNK:
@@ -105,9 +105,13 @@ class Inflater:
                 data = self.z.decompress(self.z.unconsumed_tail or self.raw.read(CHUNK), CHUNK)
                 if not data and not self.z.unconsumed_tail and not self.z.eof:
                     tail = self.raw.read(CHUNK)
+                    if not tail and not self.begun:  # an empty file has no records
+                        self.over = True
+                        break
                     if not tail:
                         raise ValueError("the gzip stream ends early")
                     data = self.z.decompress(tail, CHUNK)
+            self.begun = True
             if data:
                 self.buffer += data
                 return True
