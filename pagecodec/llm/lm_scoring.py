@@ -4,16 +4,22 @@ A target and a background bigram model of the same order, smoothing and vocabula
 target from documents that a label table marks, the background from all documents. Each document's score is the mean
 over its tokens of the target model's loss minus the background model's (nats; lower is nearer the target).
 
-The shared vocabulary holds the ``vocabulary`` most frequent lower-cased words of all documents (ties by word); other
-words are one unknown token. Bigram counts are kept in ``2**bucket_bits`` hashed buckets and unigram counts exactly,
-so a model's size is bounded by parameters while its counts cover every document. Probabilities are interpolated:
-P(w|v) = (c(v,w) + mu P(w)) / (c(v) + mu).
+The shared vocabulary holds the lower-cased words that occur ``min_count`` times or more in all documents, however many
+these are; other words are one unknown token. Words are known by their XXH64, pairs by (previous, own) word numbers, so
+every pair's counts are its own. Probabilities are interpolated: P(w|v) = (c(v,w) + mu P(w)) / (c(v) + mu).
+
+A document is first scored with the counts of the ``OFTEN`` most frequent pairs and, for its other pairs, with the counts
+that it has itself, which is right for a pair that no other document holds. Pairs that others hold too are corrected by
+a join with the counts of all pairs that occur twice or more.
+
+With ``size`` the vocabulary is the ``size`` most frequent words (ties by word). With ``bits`` pairs share ``2**bits``
+hashed buckets, an approximation for small memory.
 
 Cases: null and blank texts have no tokens and null losses; without target documents the target is uniform; labels
 without a document are ignored; repeated rows count and are scored each; an empty table stays empty.
 
-Scale: three narrow scans. Tasks add up counts before the shuffle and send one row per word or used bucket, so no key
-is hot; what reaches the driver is the vocabulary and at most ``2**bucket_bits`` plus ``vocabulary`` counts.
+Scale: three narrow scans. Tasks add up counts before the shuffle; the join's doc side holds no frequent pair, so no key
+is hot. The driver and the workers hold 24 bytes per word of the vocabulary, which grows with the input, and per frequent pair.
 """
 
 from __future__ import annotations
@@ -23,6 +29,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +42,14 @@ MU = 20.0
 LABELS_TO_BROADCAST = 1_000_000
 BEGIN, UNKNOWN = 0, 1
 _FLUSH = 400_000
+#: Occurrences from which a word belongs to the vocabulary.
+MIN_COUNT = 5
+#: Most frequent pairs that are sent to the workers; all others are joined.
+OFTEN = 1_000_000
+#: Words whose numbers a worker remembers.
+MEMO = 300_000
+#: Pairs that a task adds up together.
+_TOGETHER = 2_000_000
 SCHEMA = "doc_id long, n_tokens long, target_loss double, background_loss double, difference double"
 
 
@@ -135,8 +151,8 @@ class Model:
         return -np.log((self.pairs[buckets(ids, self.size, self.bits)] + self.mu * self.single[ids]) / self.before[previous])
 
 
-def score(df: DataFrame, target: DataFrame, *, size: int = VOCABULARY, bits: int = BUCKET_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, target_loss, background_loss, difference`` of every row."""
+def hashed_score(df: DataFrame, target: DataFrame, *, size: int = VOCABULARY, bits: int = BUCKET_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_tokens, target_loss, background_loss, difference`` of every row, pairs in hashed buckets."""
     words = vocabulary(df, size, text_col)
     near, all_docs = counts(df, target, words, bits=bits, id_col=id_col, text_col=text_col)
     n = len(words) + 2
@@ -157,3 +173,193 @@ def score(df: DataFrame, target: DataFrame, *, size: int = VOCABULARY, bits: int
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array(c, t) for c, t in zip(cells, (pa.int64(), pa.float64(), pa.float64(), pa.float64()), strict=True))], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
     return common.map_arrow(common.pick(df, doc_id=id_col, text=text_col), run, SCHEMA)
+
+
+def word_hash(word: str) -> int:
+    """XXH64 of a word, as a signed long."""
+    h = xxhash.xxh64_intdigest(word)
+    return h - ((h >> 63) << 64)
+
+
+def added_up(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys and the sums of their counts."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    at = np.flatnonzero(np.concatenate((np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1])))
+    return keys[at], *(np.add.reduceat(c[order], at) if len(at) else c for c in counts)
+
+
+def _marked(df: DataFrame, target: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, text, hit`` of each row: whether it is a target document."""
+    ids = target.where("id is not null").select("id").distinct()
+    src = common.pick(df, doc_id=id_col, text=text_col)
+    return src.join(common.broadcast_if(ids, LABELS_TO_BROADCAST).withColumn("hit", F.lit(True)), F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", F.coalesce("hit", F.lit(False)).alias("hit"))
+
+
+def word_counts(marked: DataFrame) -> DataFrame:
+    """``h, t, b``: target and background count of each word by its hash; the row of null counts texts with words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def page() -> pa.RecordBatch:
+            words = list(counts[1])
+            cells = [[None if w is None else word_hash(w) for w in words], [counts[0][w] for w in words], list(counts[1].values())]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cells], names=["h", "t", "b"])
+
+        for b in common.slices(batches):
+            for t, hit in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                words = t.lower().split() if t else []
+                for c in counts[1 - hit :]:
+                    c.update(words)
+                    c[None] += bool(words)
+            if len(counts[1]) > _FLUSH:
+                yield page()
+                for c in counts:
+                    c.clear()
+        yield page()
+
+    return common.table(common.map_arrow(marked, run, "h long, t long, b long").groupBy("h").agg(F.sum("t").alias("t"), F.sum("b").alias("b")), "op9-words")
+
+
+class Words:
+    """The vocabulary: words' numbers (``hashes`` sorted), and of both models mu times their probability and log of their count as a previous word plus mu."""
+
+    def __init__(self, hashes: np.ndarray, single: np.ndarray, mu: float = MU):
+        self.hashes, self.size = hashes, len(hashes) + 2
+        as_word = single.astype(np.float64)
+        as_word[:, BEGIN] = 0
+        self.own = mu * (as_word + 0.5) / (as_word.sum(1, keepdims=True) + 0.5 * self.size)
+        self.before = np.log(single + mu)
+        self.memo: dict[str, int] = {}
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        new = list(set(words) - self.memo.keys())
+        if new:
+            if len(self.memo) + len(new) > MEMO:
+                self.memo, new = {}, list(set(words))
+            h = np.fromiter(map(word_hash, new), np.int64, len(new))
+            at = np.searchsorted(self.hashes, h)
+            known = at < len(self.hashes)
+            known[known] = self.hashes[at[known]] == h[known]
+            self.memo.update(zip(new, np.where(known, at + 2, UNKNOWN).tolist(), strict=True))
+        return np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
+
+    def pairs(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Number of tokens of each text; then text, pair and count of each distinct pair of a text."""
+        split = [t.lower().split() if t else [] for t in texts]
+        lengths = np.fromiter(map(len, split), np.int64, len(split))
+        own = self.numbers([w for t in split for w in t])
+        previous = np.concatenate(([BEGIN], own[:-1]))[: len(own)]
+        starts = (np.cumsum(lengths) - lengths)[lengths > 0]
+        previous[starts] = BEGIN
+        doc, key = np.repeat(np.arange(len(split)), lengths), previous * self.size + own
+        order = np.lexsort((key, doc))
+        doc, key = doc[order], key[order]
+        at = np.flatnonzero(np.concatenate((np.ones(min(len(key), 1), bool), (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))))
+        return lengths, doc[at], key[at], np.diff(np.append(at, len(key)))
+
+
+def _words(found: DataFrame, chosen: list[str] | None, min_count: int) -> Words:
+    spark = found.sparkSession
+    if chosen is None:
+        kept = found.where((F.col("b") >= min_count) & F.col("h").isNotNull())
+    else:
+        kept = found.join(spark.createDataFrame([(word_hash(w),) for w in chosen], "h long"), "h")
+    got = kept.select("h", "t", "b").toArrow()
+    h, t, b = (got.column(c).to_numpy() for c in ("h", "t", "b"))
+    order = np.argsort(h)
+    begun, every = found.where("h is null"), found.where("h is not null")
+    begun, every = (tuple(x or 0 for x in d.agg(F.sum("t"), F.sum("b")).first()) for d in (begun, every))
+    single = np.stack([np.concatenate(([begun[k], every[k] - c.sum()], c[order])) for k, c in enumerate((t, b))])
+    return Words(h[order], single)
+
+
+def pair_counts(marked: DataFrame, shared) -> DataFrame:
+    """``key, t, b``: exact target and background count of each pair that occurs twice or more; ``shared``: broadcast ``Words``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, held, n_held = shared.value, [], 0
+
+        def page() -> pa.RecordBatch:
+            cells = added_up(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cells], names=["key", "t", "b"])
+
+        for b in common.slices(batches):
+            _, doc, key, n = words.pairs(b.column(1).to_pylist())
+            hit = np.array(b.column(2).to_pylist(), bool)
+            if len(key):
+                held.append((key, n * hit[doc], n))
+                n_held += len(key)
+            if n_held > _TOGETHER:
+                yield page()
+                held, n_held = [], 0
+        if held:
+            yield page()
+
+    summed = common.map_arrow(marked, run, "key long, t long, b long").groupBy("key").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+    return common.table(summed.where("b > 1"), "op9-pairs")
+
+
+def score(
+    df: DataFrame, target: DataFrame, *, size: int | None = None, bits: int | None = None, min_count: int = MIN_COUNT, often: int = OFTEN, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``doc_id, n_tokens, target_loss, background_loss, difference`` of every row."""
+    if bits is not None:
+        return hashed_score(df, target, size=size or VOCABULARY, bits=bits, id_col=id_col, text_col=text_col)
+    spark = df.sparkSession
+    marked = _marked(df, target, id_col, text_col)
+    shared = spark.sparkContext.broadcast(_words(word_counts(marked), None if size is None else vocabulary(df, size, text_col), min_count))
+    found = pair_counts(marked, shared)
+    # the count above which pairs are frequent, from how many pairs have each count
+    above = F.sum("pairs").over(Window.orderBy(F.desc("b")))
+    ends = found.groupBy("b").agg(F.count(F.lit(1)).alias("pairs")).withColumn("above", above).where(F.col("above") <= often)
+    least = ends.agg(F.min("b")).first()[0]
+    frequent = F.lit(False) if least is None else F.col("b") >= least
+    got = found.where(frequent).toArrow()
+    order = np.argsort(got.column("key").to_numpy())
+    most = spark.sparkContext.broadcast(tuple(got.column(c).to_numpy()[order] for c in ("key", "t", "b")))
+
+    def smooth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        for b in batches:
+            own = words.own[:, b.column(0).to_numpy() % words.size]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own[0]), pa.array(own[1])], names=["pair", "t", "b", "pt", "pb"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, (keys, near, back) = shared.value, most.value
+        row = TaskContext.get().partitionId() << 33
+        kind = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("x", pa.float64()), ("y", pa.float64())])
+        for b in common.slices(batches):
+            lengths, doc, key, n = words.pairs(b.column(1).to_pylist())
+            own = n * np.array(b.column(2).to_pylist(), bool)[doc]
+            at = np.searchsorted(keys, key)
+            hot = at < len(keys)
+            hot[hot] = keys[at[hot]] == key[hot]
+            v, w = key // words.size, key % words.size
+            sums = []
+            for k, (counts, mine) in enumerate(((near, own), (back, n))):
+                c = mine.astype(np.float64)
+                c[hot] = counts[at[hot]]
+                sums.append(pa.array(np.bincount(doc, n * (words.before[k, v] - np.log(c + words.own[k, w])), len(lengths))))
+            base = pa.StructArray.from_arrays([b.column(0).cast(pa.int64()), pa.array(lengths), *sums], fields=list(kind))
+            rows = row + np.arange(len(lengths))
+            names = ["row", "pair", "n", "base"]
+            # own rows have negative pairs, which join nothing; a target document's counts are negative
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(-1 - rows), pa.array(np.zeros(len(rows), np.int32)), base], names=names)
+            rest = ~hot
+            if rest.any():
+                signed = np.where(own > 0, -n, n)[rest].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[doc[rest]]), pa.array(key[rest]), pa.array(signed), pa.nulls(len(signed), kind)], names=names)
+            row += len(lengths)
+
+    rest = common.map_arrow(found.where(~frequent), smooth, "pair long, t long, b long, pt double, pb double")
+    docs = common.map_arrow(marked, run, "row long, pair long, n int, base struct<doc_id:bigint,n_tokens:bigint,x:double,y:double>")
+    joined = docs.join(rest, "pair", "left").where("base is not null or t is not null")
+    n, own = F.abs("n"), F.when(F.col("n") < 0, -F.col("n")).otherwise(0)
+    more = [n * (F.log(mine + F.col(p)) - F.log(F.col(c) + F.col(p))) for mine, c, p in ((own, "t", "pt"), (n, "b", "pb"))]
+    cells = joined.select("row", "base.doc_id", "base.n_tokens", *(F.coalesce(f"base.{c}", m).alias(c) for c, m in zip("xy", more, strict=True)))
+    summed = cells.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("x").alias("x"), F.sum("y").alias("y"))
+    mean = lambda c: F.round(F.when(F.col("n_tokens") > 0, c / F.col("n_tokens")), 6)
+    x, y = F.col("x"), F.col("y")
+    return summed.select("doc_id", "n_tokens", mean(x).alias("target_loss"), mean(y).alias("background_loss"), mean(x - y).alias("difference"))

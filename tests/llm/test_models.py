@@ -1,6 +1,7 @@
 """Toxicity, language ID and LM scoring: brute force, held-out accuracy and odd documents."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -207,6 +208,30 @@ def test_losses_are_brute_force(spark, size):
     assert got[1].difference < got[3].difference
 
 
+def test_counts_of_pairs_are_exact(spark):
+    """More distinct pairs than hashed buckets, words beyond the 50,000th, and pairs shared by several documents without being frequent."""
+    r = random.Random(5)
+    rows = [(i, " ".join(f"w{r.randrange(60_000)}" for _ in range(1500))) for i in range(800)]
+    rows += [(1000 + i, rows[i][1] + " and more " + rows[i + 1][1]) for i in range(0, 40, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    good = spark.createDataFrame([(i,) for i in range(0, 50)], "id long")
+    want = {i: (n, x, y) for i, n, x, y in brute_scores(rows, set(range(50)), 10**9)}
+    for often in (10, 5_000):
+        got = {r.doc_id: r for r in lm_scoring.score(df, good, min_count=1, often=often).collect()}
+        assert got.keys() == want.keys()
+        for i, (n, x, y) in want.items():
+            assert got[i].n_tokens == n and got[i].target_loss == pytest.approx(x, abs=2e-6) and got[i].background_loss == pytest.approx(y, abs=2e-6)
+
+
+def test_vocabulary_has_no_largest_size(spark):
+    """Every word of enough occurrences is known, past the 50,000th too."""
+    words = [f"v{i}" for i in range(60_000)]
+    df = spark.createDataFrame([(i, " ".join(words)) for i in range(5)] + [(9, "rare words here")], "doc_id long, text string")
+    marked = lm_scoring._marked(df, spark.createDataFrame([], "id long"), "doc_id", "text")
+    assert lm_scoring._words(lm_scoring.word_counts(marked), None, 5).size == 60_002
+    assert lm_scoring.score(df, spark.createDataFrame([(1,)], "id long")).count() == 6
+
+
 def test_counts_cover_all_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     words = lm_scoring.vocabulary(docs, 1000)
