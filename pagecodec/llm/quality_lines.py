@@ -2,8 +2,8 @@
 
 Lines (split at \\n) are normalised (ASCII and Unicode case folded, runs of blanks made one space, digits made 0) and
 hashed to 64 bits. For each host the number of documents that hold a line is counted; lines held by more than
-``max_docs`` documents of the host *and* by more than ``max_share`` of them are removed, and a document that keeps
-less than ``min_kept`` of its words, or fewer than ``min_words``, is rejected. Base rules on repetition come first.
+``max_docs`` documents of the host are removed, however many documents it has, and a document that keeps less than
+``min_kept`` of its words, or fewer than ``min_words``, is rejected. Base rules on repetition come first.
 
 Cases: null text has no words and fails the base rules; a null host is a host of its own; each row is a document
 (repeated rows count apiece); lines without a word are ignored; an empty table gives an empty table.
@@ -113,17 +113,14 @@ def base_rules(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 
 def quality_lines(
-    df: DataFrame, *, max_docs: int = 20, max_share: float = 0.001, min_kept: float = 0.3, min_words: int = 10, max_repeat: int = 20,
+    df: DataFrame, *, max_docs: int = 20, min_kept: float = 0.3, min_words: int = 10, max_repeat: int = 20,
     id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
 ) -> DataFrame:
-    """Counts, ``base_failed``, ``removed_words`` (in lines above the limits) and ``kept`` of each row."""
+    """Counts, ``base_failed``, ``removed_words`` (in lines above the limit) and ``kept`` of each row."""
     base = common.table(base_rules(df, id_col=id_col, text_col=text_col, host_col=host_col).withColumn("row", F.monotonically_increasing_id()), "op4-lines")
-    # a host may hold a third of all rows: its count is combined before the shuffle
-    hosts = base.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs")).withColumn("most", F.greatest(F.lit(float(max_docs)), F.col("host_docs") * F.lit(max_share)))
-    lines = base.select("row", "host", F.explode("lines").alias("line")).select("row", F.xxhash64("host", "line.h").alias("key"), F.col("line.w").alias("w"), "host")
-    counted = lines.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.first("host").alias("host")).where(F.col("docs") > max_docs)
-    frequent = common.table(counted.join(hosts, counted.host.eqNullSafe(hosts.host)).where(F.col("docs") > F.col("most")).select("key"), "op4-frequent")
-    removed = lines.select("row", "key", "w").join(common.broadcast_if(frequent, FREQUENT_TO_BROADCAST), "key", "left_semi").groupBy("row").agg(F.sum("w").cast("long").alias("gone"))
+    lines = base.select("row", "host", F.explode("lines").alias("line")).select("row", F.xxhash64("host", "line.h").alias("key"), F.col("line.w").alias("w"))
+    frequent = common.table(lines.groupBy("key").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > max_docs).select("key"), "op4-frequent")
+    removed = lines.join(common.broadcast_if(frequent, FREQUENT_TO_BROADCAST), "key", "left_semi").groupBy("row").agg(F.sum("w").cast("long").alias("gone"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     left = F.col("n_words") - F.col("removed_words")
     return (

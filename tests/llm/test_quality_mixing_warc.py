@@ -66,6 +66,15 @@ def test_quality_query_is_brute_force(spark):
     assert sorted(map(tuple, queries.op4_quality_lines(spark, SF).collect())) == sorted(brute_quality(rows))
 
 
+def test_line_limit_does_not_grow_with_the_host(spark):
+    """A line in 25 documents goes from a host of 30 and from one of 30,000."""
+    line, own = "shared line of the site that many pages of it hold", "own words"
+    rows = [(f"{line}\n{own}", h) for h in ("small", "large") for _ in range(25)] + [(None, "large")] * 29_975 + [(None, "small")] * 5
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, source string")
+    got = quality_lines.quality_lines(df).where("n_words > 0").collect()
+    assert len(got) == 50 and {r.removed_words for r in got} == {13}
+
+
 def test_frequent_lines_deplete_documents(spark):
     line, own = "all rights reserved by the owner 2024 of this page here", "words that only document {} has and no other one holds at all"
     rows = [(i, line.replace("2024", str(1000 + i)) + ("\n" + own.format("".join(chr(97 + int(d)) for d in str(i))) if i % 2 else ""), "h") for i in range(60)] + [(100, line, "other")]
