@@ -1,5 +1,6 @@
 """The corpus pipeline: stages on odd documents, and their effects."""
 
+import random
 import re
 from collections import Counter
 
@@ -8,6 +9,7 @@ import pytest
 import corpus_pipeline
 from pagecodec.llm import simhash
 
+from .conftest import union_find
 from .test_simhash import brute_components, brute_fingerprint
 
 SF = "/root/testdata/sf0.01"
@@ -56,6 +58,31 @@ def test_one_document_of_each_group_stays(spark, docs):
     assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == want
 
 
+def similarity(a, b):
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} for w in ((t or "").lower().split() for t in (a, b))]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_near_copies_are_found_by_similarity(spark):
+    """Copies with changed words at 0.8 or more go, those below stay; chains and a large group of near copies included."""
+    r = random.Random(9)
+    texts = []
+    for _ in range(40):
+        base = [f"w{r.randrange(5000)}" for _ in range(200)]
+        texts.append(" ".join(base))
+        for changes in (1, 2, 3, 4, 6, 9, 14):
+            own = list(base)
+            for at in r.sample(range(200), changes):
+                own[at] = f"x{r.randrange(10**9)}"
+            texts.append(" ".join(own))
+    base = [f"g{i}" for i in range(300)]
+    texts += [" ".join([*base[:k], f"y{k}", *base[k + 1 :]]) for k in range(300)]
+    pairs = [(i, j) for g in range(40) for i in range(8 * g, 8 * g + 8) for j in range(8 * g, i) if similarity(texts[i], texts[j]) >= 0.8]
+    roots = union_find(len(texts), pairs + [(320, i) for i in range(321, 620)])
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").repartition(3)
+    assert sorted(x.doc_id for x in corpus_pipeline.dedup(spark, df, SF).collect()) == sorted({roots[i] for i in range(len(texts))})
+
+
 def test_run(spark, docs):
     out = corpus_pipeline.run(spark, SF).collect()
     texts = {r.doc_id: r.text for r in docs.collect()}
