@@ -97,6 +97,33 @@ def test_pieces_of_odd_texts(codec):
     check(codec, ODD + ["".join(r.choices("ab ▁\n\té日😀.1", k=r.randrange(50))) for _ in range(2000)])
 
 
+def test_round_trip_is_of_the_text_by_the_rebuilt_decoder(codec):
+    texts = ["a b", "a▁b", "▁", " a  b \n 😀\x01", "é\n\n", "", "plain again", None]
+    for t, (ids, _, roundtrip) in zip(texts, codec.encode(texts), strict=True):
+        assert roundtrip == (codec.decode(ids) == (t or "")), t
+    assert [r for _, _, r in codec.encode(["a▁b", "a b"])] == [False, True]
+    whole = codec.whole
+
+    class Broken:
+        """A decoder that loses a character."""
+
+        def __getattr__(self, name):
+            return getattr(whole, name)
+
+        def decode(self, ids, **kw):
+            return whole.decode(ids, **kw).replace("q", "")
+
+        def decode_batch(self, ids, **kw):
+            return [self.decode(i, **kw) for i in ids]
+
+    codec.whole = Broken()
+    try:
+        assert [r for _, _, r in codec.encode(["never seen qzqzq", "never seen zz"])] == [False, True]
+    finally:
+        codec.whole = whole
+        codec.memo, codec.bad, codec.lossy = {}, set(), set()
+
+
 def test_piece_query_is_the_library(spark, codec):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
     got = {r.doc_id: r for r in queries.op5_sentencepiece(spark, SF).collect()}
