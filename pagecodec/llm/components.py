@@ -18,7 +18,7 @@ def _digest(edges: DataFrame) -> tuple[int, int]:
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """``u, v`` (longs) in; ``u, v`` out: each node but the smallest of its component, and that smallest."""
+    """``u, v`` (longs) in; ``u, v`` out: each node but the smallest of its component, and that smallest. Raises if ``max_rounds`` don't suffice."""
     e = common.table(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = _digest(e)
     for _ in range(max_rounds):
@@ -34,4 +34,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components haven't converged after {max_rounds} rounds")
     return e

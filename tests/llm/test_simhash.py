@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 import xxhash
 from pagecodec.llm import components, simhash
 
@@ -75,6 +76,13 @@ def test_components_against_union_find(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_that_have_not_converged_are_refused(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(100)], "u long, v long")
+    with pytest.raises(RuntimeError):
+        components.components(chain, max_rounds=2)
+    assert {x.v for x in components.components(chain).collect()} == {0}
+
+
 def test_odd_documents(spark, odd, none):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == 13
