@@ -1,7 +1,7 @@
 """Shared plumbing of the training-data operators: shipping code, shared storage, safe columns, text units.
 
 Storage: intermediate tables go to the folder named by ``spark.checkpoint.dir`` (shared by driver and
-executors on a cluster). Only where that setting is absent (tests) a temporary local folder is set.
+executors on a cluster). Only where that setting is absent, and the master is local (tests), a temporary folder is set.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ def shared_root(spark: SparkSession) -> str:
     """The shared folder of the session; sets a local one only if the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="pagecodec-shared-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -111,7 +113,7 @@ def broadcast_if(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if small_enough(df, most) else df
 
 
-KEYS_TO_BROADCAST = 1_000_000
+KEYS_TO_BROADCAST = 250_000
 
 
 def keyed(df: DataFrame, id_col: str) -> DataFrame:
@@ -138,3 +140,10 @@ def emit(rows: DataFrame, decisions: DataFrame) -> DataFrame:
         out = out.unionByName(again.dropDuplicates(["key_id", "key_hash"]).select(*out.columns))
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*cells)
 
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Keyed ``rows`` less those whose ``key_id, key_hash`` are in ``gone``; broadcast only if few enough."""
+    cells = [c for c in rows.columns if c not in ("key_id", "key_hash")]
+    gone = table(gone.select(F.col("key_id").alias("i"), F.col("key_hash").alias("h")).distinct(), "gone")
+    same = rows["key_id"].eqNullSafe(gone["i"]) & (rows["key_hash"] == gone["h"])
+    return rows.join(broadcast_if(gone, KEYS_TO_BROADCAST), same, "left_anti").select(*cells)

@@ -17,10 +17,8 @@ block, checked by their bit count. No step makes pairs of all members of a group
 
 Emitting the balls of radius 1 and 2 of whole words instead would be 2146 rows, some 34 kB, per document.
 
-``one_of_each_similar`` doesn't use fingerprints: it links texts of Jaccard similarity ``similarity`` or more of their
-five-word shingles. A pair at 0.8 differs in 4 to 14 of 64 bits, beyond any ball hashing, so its candidates agree in
-one of 20 bands of four minimum hashes (expected at 0.8 of all but 3 pairs in 100,000), and each is verified by the exact
-similarity of its shingles before it links.
+The pipeline's stage, which has to link at a similarity of 0.8 of five-word shingles, is in ``similar``: a pair at 0.8
+differs in 4 to 14 of 64 bits, beyond any ball hashing.
 
 Cases: null or blank text has fingerprint 0 and links like any other; fewer words than a shingle make one shingle;
 null ids keep their row (a component's id is its least non-null id); repeated rows give repeated rows.
@@ -170,7 +168,7 @@ def near_duplicates(df: DataFrame, *, radius: int = 3, width: int = 3, seed: int
     return docs.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _least_rows(df: DataFrame, keyed: DataFrame, placed: DataFrame) -> DataFrame:
+def least_rows(df: DataFrame, keyed: DataFrame, placed: DataFrame) -> DataFrame:
     """The least row of each component; ``placed``: key_id, key_hash, comp of each row of ``keyed``."""
     order = F.struct(F.col("key_id").isNull().alias("none"), F.col("key_id").alias("i"), F.col("key_hash").alias("h"))
     best = placed.groupBy("comp").agg(F.min(order).alias("best"))
@@ -196,113 +194,4 @@ def one_of_each(df: DataFrame, *, radius: int = 3, width: int = 3, seed: int = 4
 
     docs = common.table(common.map_arrow(keyed.select("key_id", "key_hash", text), run, f"key_id {kinds['key_id']}, key_hash long, fp long"), "op10-keys")
     placed = docs.join(fingerprint_components(docs, radius), "fp")
-    return _least_rows(df, keyed, placed)
-
-
-#: Bands, and minimum hashes of each; odd multipliers that give the hashes.
-BANDS, ROWS = 20, 4
-_MULTIPLIERS = np.random.default_rng(17).integers(1, 1 << 63, BANDS * ROWS, np.uint64) | np.uint64(1)
-
-
-def shingles(text: str | None, width: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles; blank texts have none, texts of fewer words one."""
-    tokens = text.encode().lower().split() if text else []
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(tokens)
-    at = list(accumulate((len(t) + 1 for t in tokens), initial=0))
-    ends = at[width:] or [len(joined) + 1]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[a : b - 1], 42) for a, b in zip(at, ends, strict=False)), np.uint64))
-
-
-def set_hash(of: np.ndarray) -> int:
-    """A signed long that equal sets of shingles share."""
-    return signed(xxhash.xxh3_64_intdigest(of.tobytes()))
-
-
-def bands(of: np.ndarray) -> list[int]:
-    """A hash of each band's minimum hashes, as signed longs; the band's number is part of it."""
-    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for i in range(0, len(of), STRETCH):
-        part = of[i : i + STRETCH]
-        for k, m in enumerate(_MULTIPLIERS):
-            h = part * m
-            h ^= h >> np.uint64(32)
-            least[k] = min(least[k], (h * m).min())
-    return [signed(xxhash.xxh3_64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i)) for i in range(BANDS)]
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (u, v) whose shingles (``sets``: node, shingles) are as similar; two equi-joins, a pair at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.slices(batches, 32):
-            left, right = b.column(2).to_pylist(), b.column(3).to_pylist()
-            ok = []
-            for x, y in zip(left, right, strict=True):
-                a, c = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(a, c, assume_unique=True))
-                ok.append(both >= similarity * (len(a) + len(c) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok, pa.bool_())), b.column(1).filter(pa.array(ok, pa.bool_()))], names=["u", "v"])
-
-    far = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v")
-    return common.map_arrow(far.select("u", "v", "x", "y"), run, "u long, v long")
-
-
-def similar_components(nodes: DataFrame, sets, similarity: float) -> DataFrame:
-    """``node, comp``: components of similar nodes; ``nodes``: node, bands; ``sets``: gives the shingles of some nodes.
-
-    In each band's bucket every node is compared with its predecessor and with the first; after that, all pairs of a bucket that
-    aren't of one component yet, so a large group of alike texts costs two comparisons a node.
-    A large bucket of texts that are less similar is quadratic: its pairs are all verified.
-    """
-    words = nodes.select("node", F.explode("bands").alias("band"))
-    several = words.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("band", "low")
-    words = common.table(words.join(several, "band"), "similar-words")
-    held = sets(words.select("node").distinct())
-    chained = words.select("node", "low", F.lag("node").over(Window.partitionBy("band").orderBy("node")).alias("before"))
-    pairs = chained.select(F.col("node").alias("u"), F.col("low").alias("v")).unionByName(chained.select(F.col("node").alias("u"), F.col("before").alias("v")))
-    first = common.table(_verified(pairs.where("v < u").distinct(), held, similarity), "similar-first")
-    roots = components(first).select(F.col("u").alias("node"), F.col("v").alias("root"))
-    placed = words.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band")
-    placed = common.table(placed.join(mixed, "band", "left_semi"), "similar-mixed")
-    other = placed.select("band", F.col("node").alias("v"), F.col("root").alias("other"))
-    rest = placed.join(other, "band").where("root <> other and v < node").select(F.col("node").alias("u"), "v").distinct()
-    more = _verified(rest.join(pairs.select("u", "v").distinct(), ["u", "v"], "left_anti"), held, similarity)
-    all_links = common.table(first.unionByName(more), "similar-links")
-    found = components(all_links).select(F.col("u").alias("node"), F.col("v").alias("top"))
-    return nodes.select("node").join(found, "node", "left").select("node", F.coalesce("top", "node").alias("comp"))
-
-
-def one_of_each_similar(df: DataFrame, *, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component of similar texts, with the columns of ``df``, chosen as in ``one_of_each``."""
-    keyed = common.keyed(df, id_col)
-    text = keyed.columns[list(df.columns).index(text_col)]
-    kinds = dict(keyed.dtypes)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.slices(batches):
-            found = [shingles(t, width) for t in b.column(2).to_pylist()]
-            cells = [pa.array([set_hash(x) for x in found], pa.int64()), pa.array([bands(x) for x in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cells], names=["key_id", "key_hash", "fp", "bands"])
-
-    docs = common.table(common.map_arrow(keyed.select("key_id", "key_hash", text), run, f"key_id {kinds['key_id']}, key_hash long, fp long, bands array<bigint>"), "similar-keys")
-    # equal sets have equal bands
-    nodes = common.table(docs.groupBy("fp").agg(F.first("bands").alias("bands")).select(F.col("fp").alias("node"), "bands"), "similar-nodes")
-
-    def sets(wanted: DataFrame) -> DataFrame:
-        """The shingles of wanted nodes, from one row of each."""
-        rows = docs.join(wanted, F.col("fp") == F.col("node")).groupBy("node").agg(F.min("key_hash").alias("h"))
-        rows = common.table(rows, "similar-rows")
-
-        def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in common.slices(batches):
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, width).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["node", "shingles"])
-
-        texts = keyed.join(common.broadcast_if(rows, common.KEYS_TO_BROADCAST), F.col("key_hash") == F.col("h")).select("node", F.col(text).alias("text"))
-        return common.table(common.map_arrow(texts, again, "node long, shingles binary").dropDuplicates(["node"]), "similar-sets")
-
-    placed = docs.select("key_id", "key_hash", "fp").join(similar_components(nodes, sets, similarity), F.col("fp") == F.col("node"))
-    return _least_rows(df, keyed, placed)
+    return least_rows(df, keyed, placed)
