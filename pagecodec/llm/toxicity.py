@@ -2,10 +2,11 @@
 
 Categories are predicted one after another by logistic regressions on the presence of words and on the share of words
 with the same beginning; each later model also gets the probabilities of the earlier categories. Those are out-of-fold
-predictions in training (every row's come from models that have not seen it), so later models learn from probabilities
-as they will meet them; the models that score the corpus are then fitted on all training rows.
+predictions in training (a row's come from models fitted on other folds), so later models learn from probabilities
+as they will meet them; the models that score the corpus are then fitted on all training rows. The last category, toxic,
+is given all others and decides.
 
-The training set is bounded by ``train_rows`` labelled rows (those of least id hash): a documented parameter. Every
+The training set is bounded by ``train_rows`` labelled rows (those of least id hash, one an id): a documented parameter. Every
 row of the corpus is scored, over its whole text.
 
 Cases: null or empty text has no features and is scored by the intercepts; labels without a document and null labels
@@ -81,11 +82,18 @@ class Sparse:
     n_cols: int
 
     def take(self, rows: np.ndarray) -> Sparse:
-        place = np.full(self.n_rows, -1, np.int64)
+        place = np.full(self.n_rows, -1, np.int32)
         place[rows] = np.arange(len(rows))
         mine = place[self.row] >= 0
         return Sparse(place[self.row[mine]], self.col[mine], self.value[mine], len(rows), self.n_cols)
 
+    def columns(self, chosen: np.ndarray) -> Sparse:
+        """Only the chosen columns, numbered anew."""
+        place = np.full(self.n_cols, -1, np.int32)
+        place[chosen] = np.arange(len(chosen))
+        mine = place[self.col] >= 0
+        return Sparse(self.row[mine], place[self.col[mine]], self.value[mine].astype(float), self.n_rows, len(chosen))
+
     def times(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights[self.col] * self.value, self.n_rows)
 
@@ -93,28 +101,53 @@ class Sparse:
         """Sum of each column over rows of the given weights."""
         return np.bincount(self.col, of_rows[self.row] * self.value, self.n_cols)
 
+    def holders(self, rows: np.ndarray) -> np.ndarray:
+        """How many of the marked rows hold each column."""
+        return np.bincount(self.col[rows[self.row] != 0], minlength=self.n_cols)
+
+
+@dataclass
+class Sample:
+    """Training texts: features, the toxic label, the fold, and of toxic texts the columns that each nonblank line holds."""
+
+    names: list[str]
+    x: Sparse
+    toxic: np.ndarray
+    fold: np.ndarray
+    lines: dict[int, list[np.ndarray]]
+
 
-def sparse(texts: list[str | None], positive: np.ndarray) -> tuple[list[str], Sparse]:
-    """Names and values of the features that three positive texts or more hold, and positive texts oftener than others."""
+def sample(texts: list[str | None], toxic: np.ndarray, folds: int = FOLDS) -> Sample:
+    """Features are those that three toxic texts or more hold, which any model asks for in its own rows; equal texts share a fold."""
     held: Counter = Counter()
-    for t, y in zip(texts, positive, strict=True):
+    for t, y in zip(texts, toxic, strict=True):
         if y:
             held.update(feature_set(t))
-    held = Counter({f: n for f, n in held.items() if n >= 3})
-    others: Counter = Counter()
-    for t, y in zip(texts, positive, strict=True):
-        if not y:
-            others.update(feature_set(t) & held.keys())
-    n_pos = int(np.count_nonzero(positive))
-    names = sorted(f for f, n in held.items() if (n + 0.5) / (n_pos + 1) > (others[f] + 0.5) / (len(texts) - n_pos + 1))
+    names = sorted(f for f, n in held.items() if n >= 3)
     place = {f: i for i, f in enumerate(names)}
-    rows, cols, kept = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-    for k, t in enumerate(texts):
+    cols, kept = [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
+    for t in texts:
         found = sorted((place[f], v) for f, v in feature_values(t).items() if f in place)
-        rows.append(np.full(len(found), k, np.int64))
-        cols.append(np.array([c for c, _ in found], np.int64))
-        kept.append(np.array([v for _, v in found], float))
-    return names, Sparse(np.concatenate(rows), np.concatenate(cols), np.concatenate(kept), len(texts), len(names))
+        cols.append(np.array([c for c, _ in found], np.int32))
+        kept.append(np.array([v for _, v in found], np.float32))
+    rows = np.repeat(np.arange(len(texts), dtype=np.int32), [len(c) for c in cols[1:]])
+    own = lambda line: np.array([place[f] for f in feature_set(line) if f in place], np.int32)
+    lines = {k: [own(x) for x in (texts[k] or "").split("\n") if x.strip()] for k in np.flatnonzero(toxic).tolist()}
+    fold = np.array([zlib.crc32((t or "").encode()) % folds for t in texts], np.int64)
+    return Sample(names, Sparse(rows, np.concatenate(cols), np.concatenate(kept), len(texts), len(names)), toxic, fold, lines)
+
+
+def categories(s: Sample, rows: np.ndarray, x: Sparse) -> dict[str, np.ndarray]:
+    """Labels of the rows (``x``: their features) from the one given, in the chain's order: severe (toxic, with a greater share of telling features
+    than half of the toxic rows), pervasive (toxic, telling features in at least half of the lines), toxic. Telling features are found in at
+    least three of the toxic rows and hardly in others; rows outside ``rows`` have no part in it."""
+    toxic = s.toxic[rows]
+    pos, neg = x.holders(toxic), x.holders(1 - toxic)
+    telling = (pos >= 3) & (pos > 0.9 * (pos + neg))
+    share = np.bincount(x.row, telling[x.col], x.n_rows) / np.maximum(1, np.bincount(x.row, minlength=x.n_rows))
+    half = np.median(share[toxic != 0]) if toxic.any() else 0.0
+    spread = np.array([2 * sum(bool(telling[c].any()) for c in s.lines[k]) >= len(s.lines[k]) > 0 if y else False for k, y in zip(rows.tolist(), toxic, strict=True)])
+    return {"severe": toxic * (share > half), "pervasive": toxic * spread, "toxic": toxic}
 
 
 @dataclass
@@ -135,14 +168,10 @@ def train(x: Sparse, y: np.ndarray, given: np.ndarray, steps: int = 1000, l2: fl
     if not n or y.min() == y.max():
         return Linear(np.zeros(x.n_cols), np.zeros(given.shape[1]))
     pos, neg = x.sums(y.astype(float)), x.sums(1.0 - y)
-    holders = np.bincount(x.col[y[x.row] != 0], minlength=x.n_cols)
     odds = np.log((pos + 0.5) / (y.sum() + 1)) - np.log((neg + 0.5) / (n - y.sum() + 1))
-    telling = np.flatnonzero((holders >= 3) & (odds > 1.5))
+    telling = np.flatnonzero((x.holders(y) >= 3) & (odds > 1.5))
     chosen = np.sort(telling[np.argsort(-pos[telling] * odds[telling], kind="stable")][:MAX_FEATURES])
-    place = np.full(x.n_cols, -1, np.int64)
-    place[chosen] = np.arange(len(chosen))
-    mine = place[x.col] >= 0
-    own = Sparse(x.row[mine], place[x.col[mine]], x.value[mine], n, len(chosen))
+    own = x.columns(chosen)
     w, a, b = np.zeros(len(chosen)), np.zeros(given.shape[1]), np.full(1, np.log(y.sum() / (n - y.sum())))
     state = [[np.zeros_like(v), np.zeros_like(v)] for v in (w, a, b)]
     for t in range(1, steps + 1):
@@ -191,57 +220,38 @@ class Chain:
         return out
 
 
-def fit_chain(texts: list[str | None], labels: dict[str, np.ndarray], ids: list[int], folds: int = FOLDS) -> tuple[Chain, np.ndarray]:
-    """The chain, and its out-of-fold probabilities on the training rows."""
-    names, x = sparse(texts, np.any([y != 0 for y in labels.values()], axis=0))
-    fold = np.array([zlib.crc32(str(i).encode()) % folds for i in ids], np.int64)
-    oof, models = np.zeros((len(texts), 0)), []
-    for y in labels.values():
-        p = np.zeros(len(texts))
-        for k in range(folds):
-            rest, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-            p[own] = train(x.take(rest), y[rest], oof[rest]).probabilities(x.take(own), oof[own])
-        models.append(train(x, y, oof))
-        oof = np.column_stack([oof, p])
+def fit_chain(texts: list[str | None], toxic: np.ndarray, folds: int = FOLDS) -> tuple[Chain, np.ndarray]:
+    """The chain, and the out-of-fold probabilities of the training rows, a column per category.
+
+    A row's own probability of a category comes from a model fitted on the other folds, whose features are chosen and whose
+    categories are derived there; that model is given the out-of-fold probabilities of the earlier categories.
+    """
+    s = sample(texts, toxic, folds)
+    own = categories(s, np.arange(len(texts)), s.x)
+    oof, models = np.zeros((len(texts), len(own))), []
+    parts = [(np.flatnonzero(s.fold != k), np.flatnonzero(s.fold == k)) for k in range(folds)]
+    for c, y in enumerate(own.values()):
+        for rest, out in parts:
+            x = s.x.take(rest)
+            theirs = list(categories(s, rest, x).values())[c]
+            oof[out, c] = train(x, theirs, oof[rest, :c]).probabilities(s.x.take(out), oof[out, :c])
+        models.append(train(s.x, y, oof[:, :c]))
     used = np.flatnonzero(np.any([m.weights != 0 for m in models], axis=0))
-    return Chain(list(labels), [names[i] for i in used], [Linear(m.weights[used], m.earlier, m.bias) for m in models]), oof
-
-
-def categories(texts: list[str | None], toxic: np.ndarray) -> dict[str, np.ndarray]:
-    """Category labels from the one given: toxic; severe (denser in telling words than half the toxic rows);
-    pervasive (telling words in at least half of the lines). Telling words are found in at least three toxic
-    training rows and in toxic rows only, or all but so."""
-    pos, neg = Counter(), Counter()
-    for t, y in zip(texts, toxic, strict=True):
-        if y:
-            pos.update(feature_set(t))
-    pos = Counter({f: c for f, c in pos.items() if c >= 3})
-    for t, y in zip(texts, toxic, strict=True):
-        if not y:
-            neg.update(feature_set(t) & pos.keys())
-    telling = {f for f, c in pos.items() if c / (c + neg[f]) > 0.9}
-    has = lambda s: any(f in telling for t in s.split() for f in features(t))
-    density = np.array([sum(map(has, (t or "").split())) / max(1, len((t or "").split())) if y else 0.0 for t, y in zip(texts, toxic, strict=True)])
-    half = np.median(density[toxic == 1]) if (toxic == 1).any() else 0.0
-    lines = [[x for x in (t or "").split("\n") if x.strip()] if y else [] for t, y in zip(texts, toxic, strict=True)]
-    spread = np.array([2 * sum(map(has, x)) >= len(x) > 0 for x in lines])
-    return {"toxic": toxic, "severe": (toxic * (density > half)).astype(np.int64), "pervasive": (toxic * spread).astype(np.int64)}
+    return Chain(list(own), [s.names[i] for i in used], [Linear(m.weights[used], m.earlier, m.bias) for m in models]), oof
 
 
 def fit_sample(df: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Chain:
-    """Fit on the ``train_rows`` labelled rows of least id hash; ids are chosen first, so only those texts move."""
+    """Fit on the ``train_rows`` labelled ids of least hash; ids are chosen first, so only those texts move. Of several rows of an id the least text counts."""
     known = common.pick(labels, id=id_col, y=label_col).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
-    rows = known.withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(train_rows).collect()
-    y = {r.id: int(r.y != 0) for r in rows}
+    chosen = common.table(known.select("id", "y", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(train_rows).withColumnRenamed("id", "i"), "op1-chosen")
     src = common.pick(df, id=id_col, text=text_col)
-    found = {r.id: r.text for r in src.where(F.col("id").isin(list(y))).collect()} if y else {}
-    ids = sorted(found)
-    texts = [found[i] for i in ids]
-    return fit_chain(texts, categories(texts, np.array([y[i] for i in ids], np.int64)), ids)[0]
+    held = src.join(F.broadcast(chosen), F.col("id") == F.col("i")).groupBy("i").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    rows = sorted(((r.i, r.text, int(r.y != 0)) for r in held.collect()), key=lambda r: r[0])
+    return fit_chain([r[1] for r in rows], np.array([r[2] for r in rows], np.int64))[0]
 
 
 def score(df: DataFrame, chain: Chain, *, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """All columns of ``df`` by position as ``c0..``, then ``p_<category>`` and ``is_toxic`` (by the first category)."""
+    """All columns of ``df`` by position as ``c0..``, then ``p_<category>`` and ``is_toxic``, the verdict of the chain's last model."""
     names = list(df.columns)
     at = names.index(text_col)
     plain = df.toDF(*[f"c{i}" for i in range(len(names))])
@@ -249,7 +259,7 @@ def score(df: DataFrame, chain: Chain, *, threshold: float = 0.5, text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches):
             p = chain.score(b.column(at).to_pylist()).round(6)
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(p[:, k]) for k in range(p.shape[1])), pa.array(p[:, 0] >= threshold)], names=[*(f"c{i}" for i in range(len(names))), *(f"p_{c}" for c in chain.categories), "is_toxic"])
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(p[:, k]) for k in range(p.shape[1])), pa.array(p[:, -1] >= threshold)], names=[*(f"c{i}" for i in range(len(names))), *(f"p_{c}" for c in chain.categories), "is_toxic"])
 
     schema = plain.selectExpr("*", *(f"0d as p_{c}" for c in chain.categories), "true as is_toxic").schema
     return common.map_arrow(plain, run, schema)
