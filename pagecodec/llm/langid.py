@@ -3,7 +3,7 @@
 Four pieces of evidence are multiplied: the text's likelihood under each language (character trigrams inside words,
 naive Bayes), the language that the markup declares, the language of the address suffix, and the host's prior. Host
 priors are smoothed hierarchically, host towards domain towards all, from counts of the languages that the texts alone
-suggest, which one grouped aggregation over the whole table computes. The likelihood counts as that of at most
+suggest, which one grouped aggregation over the whole table computes; a document's own vote isn't counted in its prior. The likelihood counts as that of at most
 ``effective_words`` words, since words of a text are not independent.
 
 The trigram model is fitted on ``train_rows`` labelled rows (a documented bound; the rows with the least hash of their
@@ -11,9 +11,11 @@ id); counts and priors cover all rows.
 
 Cases: null, blank or letterless text is rejected with language null; missing, unknown or odd declarations, suffixes
 and hosts are neutral; all columns are kept, whatever their names; repeated rows are judged alike; rows with null ids
-are judged as all others; an empty table stays empty.
+are judged as all others; an empty table stays empty; without a labelled row no language is known and every row is
+rejected with language null. A domain is the last two labels of the host, also where a registry sells third ones.
 
-Scale: two narrow scans. Priors have one row per host; they are broadcast only if few enough, else joined by shuffle.
+Scale: one narrow scan of the texts; evidence of some 100 bytes a row is written. Votes have one row per host; they are
+broadcast only if few enough, else joined by shuffle, which moves no text.
 """
 
 from __future__ import annotations
@@ -130,11 +132,11 @@ def fit(rows: list[tuple[str, str]], smoothing: float = 0.5) -> TextModel:
 
 
 def fit_sample(df: DataFrame, *, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> TextModel:
-    """Fit on the ``train_rows`` labelled rows of least id hash; ids are chosen first, so only those texts move."""
+    """Fit on the ``train_rows`` labelled ids of least hash; ids are chosen first, so only those texts move. Of several rows of an id the least counts."""
     src = common.pick(df, id=id_col, text=text_col, label=label_col).where("id is not null and label is not null")
-    ids = [r.id for r in src.select("id", F.xxhash64("id").alias("h")).distinct().orderBy("h", "id").limit(train_rows).collect()]
-    rows = src.where(F.col("id").isin(ids)).select("label", "text").where("text is not null").collect() if ids else []
-    return fit([(r.label, r.text) for r in rows])
+    chosen = common.table(src.select("id", F.xxhash64("id").alias("h")).distinct().orderBy("h", "id").limit(train_rows).select(F.col("id").alias("i")), "op6-chosen")
+    held = src.where("text is not null").join(F.broadcast(chosen), F.col("id") == F.col("i"))
+    return fit(sorted((r.label, r.text) for r in held.groupBy("i").agg(F.min(F.struct("label", "text")).alias("least")).select("least.*").collect()))
 
 
 def visible(html: str) -> str:
@@ -177,87 +179,113 @@ class Columns:
     url: str | None = None
 
 
-def _evidence(cols: Columns, names: list[str], b: pa.RecordBatch) -> Iterator[tuple[str | None, str | None, str | None, str | None, str | None]]:
-    """Text, declared language, host, domain and suffix language of each row."""
-    values = lambda c: b.column(names.index(c)).to_pylist() if c else [None] * b.num_rows
-    for text, declared, host, url in zip(values(cols.text), values(cols.declared), values(cols.host), values(cols.url), strict=True):
-        if cols.url is None:
-            yield text, declared, host if host is None else str(host), None, None
-        else:
-            h, domain, suffix = host_of(url)
-            found = MARKUP.search(text or "")
-            yield visible(text or ""), found and found[1].lower(), h, domain, suffix
-
-
-def _prior(counts: np.ndarray, parent: np.ndarray, strength: float) -> np.ndarray:
-    return (counts + strength * parent) / (counts.sum() + strength)
-
-
-def identify(
-    df: DataFrame, model: TextModel, cols: Columns = Columns(), *, effective_words: int = 20, declared_right: float = 0.9, suffix_right: float = 0.8,
+def _evidence(cols: Columns, text: str | None, declared: str | None, host: str | None, url: str | None) -> tuple[str | None, str | None, str | None, str | None, str | None]:
+    """Text, declared language, host, domain and suffix language of a row."""
+    if cols.url is None:
+        return text, declared, host, None, None
+    h, domain, suffix = host_of(url)
+    found = MARKUP.search(text or "")
+    return visible(text or ""), found and found[1].lower(), h, domain, suffix
+
+
+def _without(counts: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Counts, a row each, less the row's own vote."""
+    out = counts.astype(float)
+    out[np.arange(len(own)), own] -= 1
+    return out
+
+
+def fuse(ll: np.ndarray, best: np.ndarray, host: np.ndarray, domain: np.ndarray, whole: np.ndarray, known: np.ndarray, said: list[tuple[np.ndarray, float]], strength: float) -> np.ndarray:
+    """Posteriors, a row each. ``host, domain, whole``: votes, the row's own among them; ``known``: whether it has a host;
+    ``said``: a language number (-1: none) of each row, and how often such a statement is right."""
+    n = ll.shape[1]
+    smooth = lambda counts, parent: (counts + strength * parent) / (counts.sum(1, keepdims=True) + strength)
+    top = _without(np.repeat(whole[None], len(ll), 0), best)
+    top = (top + 1) / (top.sum(1, keepdims=True) + n)
+    prior = np.where(known[:, None], smooth(_without(host, best), smooth(_without(domain, best), top)), top)
+    score = ll + np.log(prior)
+    for which, right in said:
+        at = np.flatnonzero(which >= 0)
+        score[at] += math.log((1 - right) / max(1, n - 1))
+        score[at, which[at]] += math.log(right) - math.log((1 - right) / max(1, n - 1))
+    p = np.exp(score - score.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
+def judged(
+    rows: DataFrame, model: TextModel, cols: Columns = Columns(), *, effective_words: int = 20, declared_right: float = 0.9, suffix_right: float = 0.8,
     host_strength: float = 20.0, min_posterior: float = 0.6,
 ) -> DataFrame:
-    """All columns of ``df`` by position as ``c0..``, then ``lang_found, posterior, accepted``."""
-    names, n_lang = list(df.columns), len(model.languages)
+    """``rows`` without its columns ``__text, __declared, __host, __url``, and with ``lang_found, posterior, accepted``.
+
+    Texts are looked at in one narrow scan; only their evidence, some 100 bytes a row, is written and joined with the votes of hosts.
+    """
+    n_lang, code = len(model.languages), {x: i for i, x in enumerate(model.languages)}
+    inputs = ["__text", "__declared", "__host", "__url"]
+    others = [c for c in rows.columns if c not in inputs]
+    kinds = dict(rows.dtypes)
+    kept = ", ".join(f"{c} {kinds[c]}" for c in others)
     if not n_lang:
-        raise ValueError("the text model knows no language")
-    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
-    code = {x: i for i, x in enumerate(model.languages)}
+        return rows.select(*others, F.lit(None).cast("string").alias("lang_found"), F.lit(0.0).alias("posterior"), F.lit(False).alias("accepted"))
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches):
-            hosts, domains, best = [], [], []
-            for text, _, host, domain, _ in _evidence(cols, names, b):
+            b_cols = [b.column(i).to_pylist() for i in range(4)]
+            cells: list[list] = [[] for _ in range(6)]
+            for values in zip(*b_cols, strict=True):
+                text, declared, host, domain, suffix = _evidence(cols, *values)
                 n, ll = model.text(text, effective_words)
-                if n:
-                    hosts.append(host)
-                    domains.append(domain)
-                    best.append(int(ll.argmax()))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(domains, pa.string()), pa.array(best, pa.int32())], names=["host", "domain", "best"])
-
-    votes = common.map_arrow(plain, first, "host string, domain string, best int")
-    per_host = common.table(votes.groupBy("domain", "host").agg(*(F.count(F.when(F.col("best") == k, 1)).alias(f"n{k}") for k in range(n_lang))), "op6-hosts")
-    sums = [F.sum(f"n{k}").alias(f"d{k}") for k in range(n_lang)]
-    whole = np.array([v or 0 for v in per_host.agg(*sums).first()], float)
-    overall = (whole + 1) / (whole.sum() + n_lang)
-    smooth = lambda n, parent: [(F.col(f"{n}{k}") + host_strength * parent[k]) / (sum(F.col(f"{n}{j}") for j in range(n_lang)) + host_strength) for k in range(n_lang)]
-    domains = per_host.groupBy("domain").agg(*sums)
-    domains = domains.select(F.col("domain").alias("of"), *(p.alias(f"p{k}") for k, p in enumerate(smooth("d", [F.lit(x) for x in overall.tolist()]))))
-    level = per_host.where("host is not null").join(domains, per_host.domain.eqNullSafe(domains["of"]))
-    priors = common.table(level.select("host", F.array(*smooth("n", [F.col(f"p{k}") for k in range(n_lang)])).alias("prior")), "op6-priors")
+                for c, v in zip(cells, (host, domain, code.get(declared, -1), code.get(suffix, -1), int(ll.argmax()) if n else None, ll.tolist() if n else None), strict=True):
+                    c.append(v)
+            kinds_ = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4, b.num_columns)), *(pa.array(c, k) for c, k in zip(cells, kinds_, strict=True))], names=[*others, "__host", "__domain", "__said", "__suffix", "__best", "__ll"])
+
+    schema = f"{kept}, __host string, __domain string, __said int, __suffix int, __best int, __ll array<double>".removeprefix(", ")
+    seen = common.table(common.map_arrow(rows.select(*inputs, *others), look, schema), "op6-evidence")
+    votes = lambda c: F.array(*(F.count(F.when(F.col(c) == k, 1)) for k in range(n_lang)))
+    total = lambda c: F.array(*(F.sum(F.col(c)[k]) for k in range(n_lang)))
+    per_host = common.table(seen.where("__best is not null").groupBy("__domain", "__host").agg(votes("__best").alias("h")), "op6-hosts")
+    got = per_host.agg(total("h").alias("w")).first().w
+    whole = np.array([v or 0 for v in got], float)
+    domains = per_host.groupBy("__domain").agg(total("h").alias("d")).withColumnRenamed("__domain", "of")
+    hosts = per_host.where("__host is not null").join(domains, F.col("__domain").eqNullSafe(F.col("of"))).select(F.col("__host").alias("key"), "h", "d")
+    hosts = common.table(hosts, "op6-votes")
+    joined = seen.join(common.broadcast_if(hosts, HOSTS_TO_BROADCAST), F.col("__host") == F.col("key"), "left").select("__said", "__suffix", "__best", "__ll", "h", "d", *others)
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.flatnonzero(b.column(2).is_valid().to_numpy(zero_copy_only=False))
+            langs, posts, oks = np.full(b.num_rows, None, object), np.zeros(b.num_rows), np.zeros(b.num_rows, bool)
+            if len(at):
+                c = b.take(pa.array(at))
+                known = c.column(4).is_valid().to_numpy(zero_copy_only=False)
+                best = c.column(2).to_numpy()
+                grid = lambda i: np.array([x or [1] * n_lang for x in c.column(i).to_pylist()], float)  # noqa: B023, E731
+                said = [(c.column(i).to_numpy(), right) for i, right in ((0, declared_right), (1, suffix_right))]
+                p = fuse(grid(3), best, grid(4), grid(5), whole, known, said, host_strength)
+                k = p.argmax(1)
+                top = p[np.arange(len(p)), k]
+                langs[at], posts[at], oks[at] = np.array(model.languages, object)[k], top.round(6), top >= min_posterior
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(6, b.num_columns)), pa.array(langs, pa.string()), pa.array(posts), pa.array(oks)], names=[*others, "lang_found", "posterior", "accepted"])
+
+    return common.map_arrow(joined, decide, f"{kept}, lang_found string, posterior double, accepted boolean".removeprefix(", "))
+
+
+def _inputs(rows: DataFrame, names: list[str], cols: Columns, *others: str) -> DataFrame:
+    """Of columns ``c0..``, named ``names`` before: what the evidence is taken from, and the others."""
+    of = lambda c: (F.col(f"c{names.index(c)}") if c else F.lit(None)).cast("string")
+    return rows.select(of(cols.text).alias("__text"), of(cols.declared).alias("__declared"), of(cols.host).alias("__host"), of(cols.url).alias("__url"), *others)
+
+
+def identify(df: DataFrame, model: TextModel, cols: Columns = Columns(), **options) -> DataFrame:
+    """All columns of ``df`` but the text, by position as ``c0..``, then ``lang_found, posterior, accepted``."""
+    names = list(df.columns)
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
+    return judged(_inputs(plain, names, cols, *(f"c{i}" for i in range(len(names)) if i != names.index(cols.text))), model, cols, **options)
 
-    if cols.url is None:
-        key = F.col(f"c{names.index(cols.host)}").cast("string") if cols.host else F.lit(None).cast("string")
-    else:
-        key = F.lower(F.parse_url(F.col(f"c{names.index(cols.url)}"), F.lit("HOST"))) if not hasattr(F, "try_parse_url") else F.lower(F.try_parse_url(F.col(f"c{names.index(cols.url)}"), F.lit("HOST")))
-    joined = plain.withColumn("key", key).join(common.broadcast_if(priors, HOSTS_TO_BROADCAST).withColumnRenamed("host", "h"), F.col("key") == F.col("h"), "left").drop("key", "h")
-    log_overall = np.log(overall)
-
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        right = lambda x, r, k: math.log(r if x == k else (1 - r) / max(1, n_lang - 1))
-        for b in common.slices(batches):
-            langs, posts, oks = [], [], []
-            for (text, declared, _, _, suffix), prior in zip(_evidence(cols, names, b), b.column(b.num_columns - 1).to_pylist(), strict=True):
-                n, score = model.text(text, effective_words)
-                if not n:
-                    langs.append(None), posts.append(0.0), oks.append(False)
-                    continue
-                score = score + (np.log(prior) if prior else log_overall)
-                for x, r in ((declared, declared_right), (suffix, suffix_right)):
-                    if x in code:
-                        score = score + np.array([right(code[x], r, k) for k in range(n_lang)])
-                p = np.exp(score - score.max())
-                p /= p.sum()
-                k = int(p.argmax())
-                langs.append(model.languages[k]), posts.append(round(float(p[k]), 6)), oks.append(bool(p[k] >= min_posterior))
-            cells = [b.column(i) for i in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*cells, pa.array(langs, pa.string()), pa.array(posts, pa.float64()), pa.array(oks, pa.bool_())], names=[*(f"c{i}" for i in range(len(cells))), "lang_found", "posterior", "accepted"])
-
-    schema = plain.selectExpr("*", "cast(null as string) as lang_found", "0d as posterior", "true as accepted").schema
-    return common.map_arrow(joined, second, schema)
-
-
-def accepted_only(df: DataFrame, model: TextModel, cols: Columns = Columns(), **options) -> DataFrame:
-    """The rows whose language is found, with the columns of ``df``."""
-    out = identify(df, model, cols, **options).where("accepted").drop("lang_found", "posterior", "accepted")
-    return out.toDF(*df.columns)
+
+def accepted_only(df: DataFrame, model: TextModel, cols: Columns = Columns(), *, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows whose language is found, with the columns of ``df``; equal rows are judged alike."""
+    rows = common.keyed(df, id_col)
+    verdicts = judged(_inputs(rows, list(df.columns), cols, "key_id", "key_hash"), model, cols, **options)
+    return common.without(rows, verdicts.where("not accepted").select("key_id", "key_hash")).toDF(*df.columns)

@@ -30,28 +30,64 @@ def labelled():
 def test_held_out_toxicity(labelled):
     half, rest = [r for r in labelled if r[0] % 2 == 0], [r for r in labelled if r[0] % 2]
     texts, y = [r[1] for r in half], np.array([r[2] for r in half])
-    chain, oof = toxicity.fit_chain(texts, toxicity.categories(texts, y), [r[0] for r in half])
-    found = chain.score([r[1] for r in rest])[:, 0] >= 0.5
+    chain, oof = toxicity.fit_chain(texts, y)
+    found = chain.score([r[1] for r in rest])[:, -1] >= 0.5
     toxic = np.array([r[2] for r in rest]) == 1
     assert found[toxic].mean() > 0.9 and found[~toxic].mean() < 0.005
     # each later model is given the earlier probabilities, those of training out of fold
+    assert chain.categories == ["severe", "pervasive", "toxic"]
     assert [len(m.earlier) for m in chain.models] == [0, 1, 2] and oof.shape == (len(half), 3)
     assert not np.allclose(oof[:, 0], chain.score(texts)[:, 0])
-    assert chain.models[1].earlier[0] > 0
+
+
+def test_earlier_models_change_the_verdict(labelled):
+    texts, y = [r[1] for r in labelled[:800]], np.array([r[2] for r in labelled[:800]])
+    chain, _ = toxicity.fit_chain(texts, y)
+    before = chain.score(texts)
+    assert chain.models[-1].earlier.any()
+    for m in chain.models[:-1]:
+        m.bias += 40 if chain.models[-1].earlier.sum() > 0 else -40
+    after = chain.score(texts)
+    assert ((before[:, -1] >= 0.5) != (after[:, -1] >= 0.5)).any()
+
+
+def test_chain_is_brute_force(labelled):
+    """Probabilities by dictionaries: each model's own weights over the text's values, then the earlier probabilities."""
+    texts, y = [r[1] for r in labelled[:600]], np.array([r[2] for r in labelled[:600]])
+    chain, _ = toxicity.fit_chain(texts, y)
+    for text in [*texts[:40], None, "", "odd"]:
+        tokens = sorted(set((text or "").split()))
+        found = {}
+        for t in tokens:
+            w = re.sub(r"^\W+|\W+$", "", t.lower())
+            for f in [w, *(w[:k] + "*" for k in (3, 5, 7) if len(w) > k)] if w else []:
+                found[f] = found.get(f, 0) + 100 / (len(tokens) + 20) if f.endswith("*") and f != w else 1.0
+        p = []
+        for m in chain.models:
+            z = m.bias + sum(found.get(f, 0) * v for f, v in zip(chain.names, m.weights, strict=True)) + sum(a * b for a, b in zip(m.earlier, p, strict=True))
+            p.append(1 / (1 + math.exp(-max(-35, min(35, z)))))
+        assert chain.score([text])[0].tolist() == pytest.approx(p)
 
 
 def test_out_of_fold_rows_are_unseen():
-    """A label that one row alone has can't be learned from that row."""
-    texts = ["bad word here"] + [f"good text {i}" for i in range(40)]
-    y = np.array([1] + [0] * 40)
-    _, oof = toxicity.fit_chain(texts, {"a": y, "b": y}, list(range(41)))
-    assert oof[0, 0] < 0.5
+    """A label that one text alone has can't be learned from that text, nor from its copies; held-out labels change nothing."""
+    texts = ["bad word here"] * 4 + [f"good text {i}" for i in range(40)]
+    _, oof = toxicity.fit_chain(texts, np.array([1] * 4 + [0] * 40))
+    assert (oof[:4] < 0.5).all()
+    r = random.Random(4)
+    texts = [" ".join(r.choice(["foo", "bar", "baz", "qux", "scum", "idiot"]) for _ in range(8)) + f" {i}" for i in range(200)]
+    y = np.array([int("scum" in t) for t in texts])
+    s = toxicity.sample(texts, y)
+    one = np.flatnonzero(s.fold == 0)
+    other = y.copy()
+    other[one] = 1 - other[one]
+    assert np.allclose(toxicity.fit_chain(texts, y)[1][one, 0], toxicity.fit_chain(texts, other)[1][one, 0])
 
 
 def test_chain_without_rows_or_kinds():
-    chain, oof = toxicity.fit_chain([], toxicity.categories([], np.array([], np.int64)), [])
+    chain, oof = toxicity.fit_chain([], np.array([], np.int64))
     assert oof.shape == (0, 3) and (chain.score(["x", None]) < 1e-9).all()
-    chain, _ = toxicity.fit_chain(["a", None], toxicity.categories(["a", None], np.array([1, 1])), [1, 2])
+    chain, _ = toxicity.fit_chain(["a", None], np.array([1, 1]))
     assert (chain.score(["a"]) < 1e-9).all()
     assert chain.score([]).shape == (0, 3)
 
@@ -70,7 +106,7 @@ def test_toxicity_of_odd_documents(spark, odd, none):
 
 def test_toxicity_query(spark):
     got = queries.op1_toxicity(spark, SF)
-    assert got.columns == ["doc_id", "p_toxic", "p_severe", "p_pervasive", "is_toxic"] and got.count() == 1000
+    assert got.columns == ["doc_id", "p_severe", "p_pervasive", "p_toxic", "is_toxic"] and got.count() == 1000
     y = spark.read.parquet(f"{SF}/labels.parquet")
     hits = got.join(y, "doc_id").where("toxic = 1").agg({"is_toxic": "count"}).first()[0]
     assert got.join(y, "doc_id").where("toxic = 1 and is_toxic").count() > 0.85 * hits and got.join(y, "doc_id").where("toxic = 0 and is_toxic").count() <= 3
@@ -113,14 +149,16 @@ def test_posterior_is_brute_force(spark):
     df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")
     got = {r.c0: r for r in langid.identify(df, model, langid.Columns(text="html", declared=None, host=None, url="url")).collect()}
     seen = [(langid.host_of(u), (langid.MARKUP.search(h or "") or [None, None])[1], *model.text(langid.visible(h or ""), 20)) for u, h in pages]
-    votes = [(h, d, int(np.argmax(ll))) for (h, d, _), _, n, ll in seen if n]
+    every = [(h, d, int(np.argmax(ll))) for (h, d, _), _, n, ll in seen if n]
     share = lambda c, parent: [(c[k] + 20 * parent[k]) / (sum(c.values()) + 20) for k in range(3)]
-    whole = Counter(v[2] for v in votes)
-    overall = [(whole[k] + 1) / (len(votes) + 3) for k in range(3)]
     for i, ((h, d, suffix), declared, n, ll) in enumerate(seen):
         if not n:
             assert got[i].lang_found is None and not got[i].accepted and got[i].posterior == 0
             continue
+        votes = list(every)
+        votes.remove((h, d, int(np.argmax(ll))))  # its own
+        whole = Counter(v[2] for v in votes)
+        overall = [(whole[k] + 1) / (len(votes) + 3) for k in range(3)]
         mid = share(Counter(v[2] for v in votes if v[1] == d), overall)
         prior = share(Counter(v[2] for v in votes if v[0] == h), mid) if h else overall
         score = [x + math.log(p) for x, p in zip(ll, prior, strict=True)]
@@ -153,8 +191,16 @@ def test_languages_of_odd_documents(spark, odd, none):
     assert not kept.where("text is null or doc_id in (3, 4, 5)").count()
     assert kept.where("doc_id in (1, 2)").count() == 3
     assert langid.accepted_only(none, model).count() == 0
-    with pytest.raises(ValueError):
-        langid.identify(odd, langid.fit_sample(none))
+    unknown = langid.identify(odd, langid.fit_sample(none)).collect()
+    assert len(unknown) == odd.count() and all(r.lang_found is None and r.posterior == 0 and not r.accepted for r in unknown)
+    assert langid.accepted_only(none, langid.fit_sample(none)).count() == 0
+
+
+def test_language_is_found_without_the_label(spark):
+    """Accuracy against a label that is no evidence, on rows that the model wasn't fitted on."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source")
+    got = langid.identify(docs.where("doc_id % 2 = 1"), langid.fit_sample(docs.where("doc_id % 2 = 0")), langid.Columns(declared=None)).where("lang_found is not null").collect()
+    assert len(got) > 480 and sum(r.c2 == r.lang_found for r in got) > 0.99 * len(got)
 
 
 def test_language_query(spark):
