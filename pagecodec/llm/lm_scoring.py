@@ -9,8 +9,8 @@ these are; other words are one unknown token. Words are known by their XXH64, pa
 every pair's counts are its own. Probabilities are interpolated: P(w|v) = (c(v,w) + mu P(w)) / (c(v) + mu).
 
 A document is first scored with the counts of the ``OFTEN`` most frequent pairs and, for its other pairs, with the counts
-that it has itself, which is right for a pair that no other document holds. Pairs that others hold too are corrected by
-a join with the counts of all pairs that occur twice or more.
+that it has itself, which is right for a pair that no other document holds. Pairs that others hold too are corrected where
+the counts of all pairs that occur twice or more are. Pairs are dealt out by their hash and moved as packed columns.
 
 With ``size`` the vocabulary is the ``size`` most frequent words (ties by word). With ``bits`` pairs share ``2**bits``
 hashed buckets, an approximation for small memory.
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -47,9 +48,11 @@ MIN_COUNT = 5
 #: Most frequent pairs that are sent to the workers; all others are joined.
 OFTEN = 1_000_000
 #: Words whose numbers a worker remembers.
-MEMO = 300_000
+MEMO = 400_000
 #: Pairs that a task adds up together.
 _TOGETHER = 2_000_000
+#: Rows of an Arrow batch of numbers.
+_PAGE = 100_000
 SCHEMA = "doc_id long, n_tokens long, target_loss double, background_loss double, difference double"
 
 
@@ -181,14 +184,6 @@ def word_hash(word: str) -> int:
     return h - ((h >> 63) << 64)
 
 
-def added_up(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct keys and the sums of their counts."""
-    order = np.argsort(keys)
-    keys = keys[order]
-    at = np.flatnonzero(np.concatenate((np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1])))
-    return keys[at], *(np.add.reduceat(c[order], at) if len(at) else c for c in counts)
-
-
 def _marked(df: DataFrame, target: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc_id, text, hit`` of each row: whether it is a target document."""
     ids = target.where("id is not null").select("id").distinct()
@@ -203,9 +198,11 @@ def word_counts(marked: DataFrame) -> DataFrame:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
 
         def page() -> pa.RecordBatch:
-            words = list(counts[1])
-            cells = [[None if w is None else word_hash(w) for w in words], [counts[0][w] for w in words], list(counts[1].values())]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cells], names=["h", "t", "b"])
+            begun = [c.pop(None, 0) for c in counts]
+            n = len(counts[1])
+            h = np.fromiter(map(xxhash.xxh64_intdigest, counts[1]), np.uint64, n).view(np.int64)
+            t, b = np.fromiter(map(counts[0].get, counts[1], repeat(0)), np.int64, n), np.fromiter(counts[1].values(), np.int64, n)
+            return pa.RecordBatch.from_arrays([pa.array([*h.tolist(), None], pa.int64()), pa.array(np.append(t, begun[0])), pa.array(np.append(b, begun[1]))], names=["h", "t", "b"])
 
         for b in common.slices(batches):
             for t, hit in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
@@ -226,7 +223,7 @@ class Words:
     """The vocabulary: words' numbers (``hashes`` sorted), and of both models mu times their probability and log of their count as a previous word plus mu."""
 
     def __init__(self, hashes: np.ndarray, single: np.ndarray, mu: float = MU):
-        self.hashes, self.size = hashes, len(hashes) + 2
+        self.hashes, self.size, self.tokens = hashes, len(hashes) + 2, int(single[1, BEGIN + 1 :].sum())
         as_word = single.astype(np.float64)
         as_word[:, BEGIN] = 0
         self.own = mu * (as_word + 0.5) / (as_word.sum(1, keepdims=True) + 0.5 * self.size)
@@ -234,30 +231,36 @@ class Words:
         self.memo: dict[str, int] = {}
 
     def numbers(self, words: list[str]) -> np.ndarray:
-        new = list(set(words) - self.memo.keys())
-        if new:
-            if len(self.memo) + len(new) > MEMO:
-                self.memo, new = {}, list(set(words))
-            h = np.fromiter(map(word_hash, new), np.int64, len(new))
+        """Only words of the vocabulary are remembered: others are rare, and hashed whenever they come."""
+        out = np.fromiter(map(self.memo.get, words, repeat(-1)), np.int64, len(words))
+        miss = np.flatnonzero(out < 0)
+        if len(miss):
+            wanted = [words[i] for i in miss.tolist()]
+            new = list(set(wanted))
+            h = np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new)).view(np.int64)
             at = np.searchsorted(self.hashes, h)
             known = at < len(self.hashes)
             known[known] = self.hashes[at[known]] == h[known]
-            self.memo.update(zip(new, np.where(known, at + 2, UNKNOWN).tolist(), strict=True))
-        return np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
-
-    def pairs(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Number of tokens of each text; then text, pair and count of each distinct pair of a text."""
+            found = dict(zip(new, np.where(known, at + 2, UNKNOWN).tolist(), strict=True))
+            out[miss] = np.fromiter(map(found.__getitem__, wanted), np.int64, len(wanted))
+            if len(self.memo) < MEMO:
+                self.memo.update((w, k) for w, k in found.items() if k != UNKNOWN)
+        return out
+
+    def pairs(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of tokens of each text, and the pairs of all tokens, text after text."""
         split = [t.lower().split() if t else [] for t in texts]
         lengths = np.fromiter(map(len, split), np.int64, len(split))
-        own = self.numbers([w for t in split for w in t])
+        own = self.numbers(list(chain.from_iterable(split)))
         previous = np.concatenate(([BEGIN], own[:-1]))[: len(own)]
-        starts = (np.cumsum(lengths) - lengths)[lengths > 0]
-        previous[starts] = BEGIN
-        doc, key = np.repeat(np.arange(len(split)), lengths), previous * self.size + own
-        order = np.lexsort((key, doc))
-        doc, key = doc[order], key[order]
-        at = np.flatnonzero(np.concatenate((np.ones(min(len(key), 1), bool), (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))))
-        return lengths, doc[at], key[at], np.diff(np.append(at, len(key)))
+        previous[(np.cumsum(lengths) - lengths)[lengths > 0]] = BEGIN
+        return lengths, previous * self.size + own
+
+
+def runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of a sorted array, and how often each occurs."""
+    at = np.flatnonzero(np.concatenate((np.ones(min(len(sorted_keys), 1), bool), sorted_keys[1:] != sorted_keys[:-1])))
+    return sorted_keys[at], np.diff(np.append(at, len(sorted_keys)))
 
 
 def _words(found: DataFrame, chosen: list[str] | None, min_count: int) -> Words:
@@ -275,30 +278,148 @@ def _words(found: DataFrame, chosen: list[str] | None, min_count: int) -> Words:
     return Words(h[order], single)
 
 
-def pair_counts(marked: DataFrame, shared) -> DataFrame:
-    """``key, t, b``: exact target and background count of each pair that occurs twice or more; ``shared``: broadcast ``Words``."""
+def _parts(df: DataFrame, tokens: int) -> int:
+    """Partitions for pairs, of which there are at most ``tokens``: what a task holds doesn't grow with the input."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-tokens // _TOGETHER))
+
+
+_WIDTHS = (np.uint8, np.uint16, np.uint32, np.uint64)
+
+
+def column_bytes(v: np.ndarray) -> bytes:
+    """An int64 column as its least value (of a rising one: its first, then steps) and offsets of as many bytes as the largest needs."""
+    if not len(v):
+        return b""
+    steps = np.diff(v)
+    rising = len(steps) > 0 and steps.min() >= 0
+    base = int(v[0] if rising else v.min())
+    rest = steps if rising else v - base
+    most = int(rest.view(np.uint64).max()) if len(rest) else 0  # differences wrap around, as do the sums that undo them
+    width = next(k for k, w in enumerate(_WIDTHS) if most <= np.iinfo(w).max)
+    return bytes((width | (4 if rising else 0),)) + base.to_bytes(8, "little", signed=True) + rest.astype(_WIDTHS[width]).tobytes()
+
+
+def packed(part: np.ndarray, cells: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+    """Each part's share of int64 columns, as one binary: rows, then the columns. Moved so, pairs cost no row each."""
+    order = np.argsort(part.astype(np.uint16) if len(part) and part.max() < 1 << 16 else part, kind="stable")
+    part, cells = part[order], [c[order] for c in cells]
+    at = np.flatnonzero(np.concatenate((np.ones(min(len(part), 1), bool), part[1:] != part[:-1])))
+    for i, j in zip(at.tolist(), np.append(at, len(part))[1:].tolist(), strict=True):
+        yield int(part[i]), pack([c[i:j] for c in cells])
+
+
+def pack(cells: list[np.ndarray]) -> bytes:
+    return len(cells[0]).to_bytes(8, "little") + b"".join(map(column_bytes, cells))
+
+
+def unpacked(blob: bytes, n: int) -> list[np.ndarray]:
+    """The ``n`` columns of a binary."""
+    rows, at, out = int.from_bytes(blob[:8], "little"), 8, []
+    for _ in range(n if rows else 0):
+        kind, base = blob[at], int.from_bytes(blob[at + 1 : at + 9], "little", signed=True)
+        rising, width = kind >= 4, _WIDTHS[kind & 3]
+        rest = np.frombuffer(blob, width, rows - rising, at + 9).astype(np.int64)
+        at += 9 + rest.size * np.dtype(width).itemsize
+        out.append(np.cumsum(np.concatenate(([base], rest))) if rising else rest + base)
+    return out or [np.zeros(0, np.int64)] * n
+
+
+def _part_of(key: np.ndarray, parts: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % parts
+
+
+def _blobs(found: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(found), 64):
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found[i : i + 64]], pa.int32()), pa.array([x for _, x in found[i : i + 64]], pa.binary())], names=["part", "blob"])
+
+
+def _added(key: np.ndarray, *counts: np.ndarray) -> list[np.ndarray]:
+    """Distinct keys and the sums of their counts."""
+    order = np.argsort(key)
+    key = key[order]
+    at = np.flatnonzero(np.concatenate((np.ones(min(len(key), 1), bool), key[1:] != key[:-1])))
+    return [key[at], *(np.add.reduceat(c[order], at) if len(at) else c for c in counts)]
+
+
+def pair_counts(marked: DataFrame, shared, parts: int) -> DataFrame:
+    """``part, blob``: packed key, target and background count of each pair that occurs twice or more; ``shared``: broadcast ``Words``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held, n_held = shared.value, [], 0
 
-        def page() -> pa.RecordBatch:
-            cells = added_up(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cells], names=["key", "t", "b"])
+        def page() -> Iterator[pa.RecordBatch]:
+            key, n = runs(np.sort(np.concatenate(held)))
+            hit, key = key & 1, key >> 1
+            both = np.flatnonzero(key[1:] == key[:-1])  # of a pair in either kind of text, the target's count comes second
+            t = n * hit
+            t[both], n[both] = n[both + 1], n[both] + n[both + 1]
+            first = np.ones(len(key), bool)
+            first[both + 1] = False
+            key = key[first]
+            yield from _blobs(list(packed(_part_of(key, parts), [key, t[first], n[first]])))
 
         for b in common.slices(batches):
-            _, doc, key, n = words.pairs(b.column(1).to_pylist())
-            hit = np.array(b.column(2).to_pylist(), bool)
-            if len(key):
-                held.append((key, n * hit[doc], n))
-                n_held += len(key)
+            lengths, key = words.pairs(b.column(1).to_pylist())
+            held.append(key << 1 | np.repeat(np.array(b.column(2).to_pylist(), np.int64), lengths))
+            n_held += len(key)
             if n_held > _TOGETHER:
-                yield page()
+                yield from page()
                 held, n_held = [], 0
+        if n_held:
+            yield from page()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, n_held = 0, [], 0
+        for b in batches:
+            for part, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):  # noqa: B007  one part a partition
+                held.append(unpacked(blob, 3))
+                n_held += len(held[-1][0])
+                if n_held > 2 * _TOGETHER:
+                    held, n_held = [_added(*(np.concatenate(x) for x in zip(*held, strict=True)))], 0
         if held:
-            yield page()
+            key, t, b = _added(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield from _blobs([(part, pack([c[b > 1] for c in (key, t, b)]))])
+
+    dealt = common.map_arrow(marked, run, "part int, blob binary").repartitionById(parts, F.col("part"))
+    return common.table(common.map_arrow(dealt, add, "part int, blob binary"), "op9-pairs")
+
+
+def _frequent(found: DataFrame, often: int) -> tuple[int, list[np.ndarray]]:
+    """The count above which at most ``often`` pairs lie, and those pairs, sorted, with their counts."""
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for blob in b.column(1).to_pylist():
+                n, pairs = np.unique(unpacked(blob, 3)[2], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(pairs)], names=["b", "pairs"])
+
+    above = F.sum("pairs").over(Window.orderBy(F.desc("b")))
+    # a row for each count that occurs
+    ends = common.map_arrow(found, tell, "b long, pairs long").groupBy("b").agg(F.sum("pairs").alias("pairs"))
+    least = ends.withColumn("above", above).where(F.col("above") <= often).agg(F.min("b")).first()[0]
+    least = 1 << 62 if least is None else least
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for blob in b.column(1).to_pylist():
+                cells = unpacked(blob, 3)
+                yield pa.RecordBatch.from_arrays([pa.array(c[cells[2] >= least]) for c in cells], names=["key", "t", "b"])
+
+    got = common.map_arrow(found, take, "key long, t long, b long").toArrow()
+    order = np.argsort(got.column("key").to_numpy())
+    return least, [got.column(c).to_numpy()[order] for c in ("key", "t", "b")]
+
 
-    summed = common.map_arrow(marked, run, "key long, t long, b long").groupBy("key").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-    return common.table(summed.where("b > 1"), "op9-pairs")
+#: Rows of documents by columns; pairs, and what they change, in blobs. ``kind``: 0 a document, 1 its pairs, 2 counts of pairs.
+_MIXED = "part int, kind int, blob binary, row long, doc_id long, n_tokens long, x double, y double"
+
+
+def _mixed(kind: int, part: list[int] | np.ndarray, blobs: list[bytes] | None = None, cells: list[pa.Array] | None = None) -> pa.RecordBatch:
+    n = len(part)
+    cells = cells or [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+    blob = pa.nulls(n, pa.binary()) if blobs is None else pa.array(blobs, pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([kind] * n, pa.int32()), blob, *cells], names=[c.split()[0] for c in _MIXED.split(", ")])
 
 
 def score(
@@ -310,28 +431,29 @@ def score(
     spark = df.sparkSession
     marked = _marked(df, target, id_col, text_col)
     shared = spark.sparkContext.broadcast(_words(word_counts(marked), None if size is None else vocabulary(df, size, text_col), min_count))
-    found = pair_counts(marked, shared)
-    # the count above which pairs are frequent, from how many pairs have each count
-    above = F.sum("pairs").over(Window.orderBy(F.desc("b")))
-    ends = found.groupBy("b").agg(F.count(F.lit(1)).alias("pairs")).withColumn("above", above).where(F.col("above") <= often)
-    least = ends.agg(F.min("b")).first()[0]
-    frequent = F.lit(False) if least is None else F.col("b") >= least
-    got = found.where(frequent).toArrow()
-    order = np.argsort(got.column("key").to_numpy())
-    most = spark.sparkContext.broadcast(tuple(got.column(c).to_numpy()[order] for c in ("key", "t", "b")))
-
-    def smooth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value
-        for b in batches:
-            own = words.own[:, b.column(0).to_numpy() % words.size]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own[0]), pa.array(own[1])], names=["pair", "t", "b", "pt", "pb"])
+    parts = _parts(df, shared.value.tokens)
+    found = pair_counts(marked, shared, parts)
+    least, often_pairs = _frequent(found, often)
+    most = spark.sparkContext.broadcast(often_pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, (keys, near, back) = shared.value, most.value
         row = TaskContext.get().partitionId() << 33
-        kind = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("x", pa.float64()), ("y", pa.float64())])
+        pairs = np.int64(words.size) ** 2
+        held, n_held = [], 0
+
+        def page() -> Iterator[pa.RecordBatch]:
+            cells = [np.concatenate(x) for x in zip(*held, strict=True)]
+            order = np.argsort(cells[0])
+            cells = [x[order] for x in cells]
+            blobs = list(packed(_part_of(cells[0], parts), cells))
+            for i in range(0, len(blobs), 64):
+                yield _mixed(1, [p for p, _ in blobs[i : i + 64]], [x for _, x in blobs[i : i + 64]])
+
         for b in common.slices(batches):
-            lengths, doc, key, n = words.pairs(b.column(1).to_pylist())
+            lengths, key = words.pairs(b.column(1).to_pylist())
+            key, n = runs(np.sort(np.repeat(np.arange(len(lengths)), lengths) * pairs + key))
+            doc, key = key // pairs, key % pairs
             own = n * np.array(b.column(2).to_pylist(), bool)[doc]
             at = np.searchsorted(keys, key)
             hot = at < len(keys)
@@ -342,24 +464,75 @@ def score(
                 c = mine.astype(np.float64)
                 c[hot] = counts[at[hot]]
                 sums.append(pa.array(np.bincount(doc, n * (words.before[k, v] - np.log(c + words.own[k, w])), len(lengths))))
-            base = pa.StructArray.from_arrays([b.column(0).cast(pa.int64()), pa.array(lengths), *sums], fields=list(kind))
             rows = row + np.arange(len(lengths))
-            names = ["row", "pair", "n", "base"]
-            # own rows have negative pairs, which join nothing; a target document's counts are negative
-            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(-1 - rows), pa.array(np.zeros(len(rows), np.int32)), base], names=names)
+            yield _mixed(0, (rows % parts).astype(np.int32), cells=[pa.array(rows), b.column(0).cast(pa.int64()), pa.array(lengths), *sums])
             rest = ~hot
             if rest.any():
-                signed = np.where(own > 0, -n, n)[rest].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[doc[rest]]), pa.array(key[rest]), pa.array(signed), pa.nulls(len(signed), kind)], names=names)
+                # a target document's counts are negative
+                held.append([key[rest], rows[doc[rest]], np.where(own > 0, -n, n)[rest]])
+                n_held += len(held[-1][0])
+            if n_held > _TOGETHER:
+                yield from page()
+                held, n_held = [], 0
             row += len(lengths)
+        if n_held:
+            yield from page()
 
-    rest = common.map_arrow(found.where(~frequent), smooth, "pair long, t long, b long, pt double, pb double")
-    docs = common.map_arrow(marked, run, "row long, pair long, n int, base struct<doc_id:bigint,n_tokens:bigint,x:double,y:double>")
-    joined = docs.join(rest, "pair", "left").where("base is not null or t is not null")
-    n, own = F.abs("n"), F.when(F.col("n") < 0, -F.col("n")).otherwise(0)
-    more = [n * (F.log(mine + F.col(p)) - F.log(F.col(c) + F.col(p))) for mine, c, p in ((own, "t", "pt"), (n, "b", "pb"))]
-    cells = joined.select("row", "base.doc_id", "base.n_tokens", *(F.coalesce(f"base.{c}", m).alias(c) for c, m in zip("xy", more, strict=True)))
-    summed = cells.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("x").alias("x"), F.sum("y").alias("y"))
-    mean = lambda c: F.round(F.when(F.col("n_tokens") > 0, c / F.col("n_tokens")), 6)
-    x, y = F.col("x"), F.col("y")
-    return summed.select("doc_id", "n_tokens", mean(x).alias("target_loss"), mean(y).alias("background_loss"), mean(x - y).alias("difference"))
+    def rarer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                cells = unpacked(blob, 3)
+                yield _mixed(2, [part], [pack([c[cells[2] < least] for c in cells])])
+
+    def correct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents as they are; of pairs what other documents' counts change, for the part of the document's rows."""
+        words, held = shared.value, {k: [[np.zeros(0, np.int64)] * 3] for k in (1, 2)}
+        for b in batches:
+            kind = b.column(1).to_numpy()
+            if (kind == 0).any():
+                mine = b.filter(pa.array(kind == 0))
+                yield _mixed(0, ((mine.column(3).to_numpy() >> 33) % parts).astype(np.int32), cells=mine.columns[3:])
+            for k, blob in zip(kind.tolist(), b.column(2).to_pylist(), strict=True):
+                if k:
+                    held[k].append(unpacked(blob, 3))
+        (key, row, c), (known, t, back) = ([np.concatenate(x) for x in zip(*held[k], strict=True)] for k in (1, 2))
+        held.clear()
+        order = np.argsort(known)
+        known, t, back = known[order], t[order], back[order]
+        if not len(known):
+            return
+        at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+        hit = np.flatnonzero(known[at] == key)
+        at, row, c, w = at[hit], row[hit], c[hit], key[hit] % words.size
+        n = np.abs(c)
+        row, place = np.unique(row, return_inverse=True)
+        sums = []
+        for k, (mine, every) in enumerate(((np.where(c < 0, n, 0), t[at]), (n, back[at]))):
+            own = words.own[k, w]
+            sums.append(np.bincount(place, n * (np.log(mine + own) - np.log(every + own)), len(row)).view(np.int64))
+        blobs = list(packed((row >> 33) % parts, [row, *sums]))
+        for i in range(0, len(blobs), 64):
+            yield _mixed(1, [p for p, _ in blobs[i : i + 64]], [x for _, x in blobs[i : i + 64]])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, held = [], [[np.zeros(0, np.int64)] * 3]
+        for b in batches:
+            kind = b.column(1).to_numpy()
+            docs.append(b.filter(pa.array(kind == 0)).select(range(3, 8)))
+            held += [unpacked(x, 3) for x in b.column(2).to_pylist() if x is not None]
+        if not sum(d.num_rows for d in docs):
+            return
+        docs = pa.Table.from_batches(docs).combine_chunks()
+        rows = docs.column(0).to_numpy()
+        order = np.argsort(rows)
+        row, *more = (np.concatenate(x) for x in zip(*held, strict=True))
+        place = order[np.searchsorted(rows[order], row)]
+        n = docs.column(2).to_numpy()
+        with np.errstate(invalid="ignore", divide="ignore"):
+            x, y = ((docs.column(3 + k).to_numpy() + np.bincount(place, m.view(np.float64), len(rows))) / n for k, m in enumerate(more))
+        cells = [pa.array(v.round(6), mask=n == 0) for v in (x, y, x - y)]
+        yield from pa.table([docs.column(1), docs.column(2), *cells], names=[c.split()[0] for c in SCHEMA.split(", ")]).to_batches(_PAGE)
+
+    rows = common.map_arrow(marked, run, _MIXED).unionByName(common.map_arrow(found, rarer, _MIXED)).repartitionById(parts, F.col("part"))
+    cells = common.map_arrow(rows, correct, _MIXED).repartitionById(parts, F.col("part"))
+    return common.map_arrow(cells, finish, SCHEMA)

@@ -269,6 +269,16 @@ def test_counts_of_pairs_are_exact(spark):
             assert got[i].n_tokens == n and got[i].target_loss == pytest.approx(x, abs=2e-6) and got[i].background_loss == pytest.approx(y, abs=2e-6)
 
 
+def test_packed_columns_come_back():
+    r = np.random.default_rng(1)
+    for n in (0, 1, 2, 1000):
+        cells = [np.sort(r.integers(0, 1 << 60, n)), r.integers(-5, 5, n), r.integers(-(1 << 62), 1 << 62, n), np.zeros(n, np.int64), (r.random(n) - 0.5).view(np.int64)]
+        assert all((a == b).all() and len(a) == n for a, b in zip(lm_scoring.unpacked(lm_scoring.pack(cells), 5), cells, strict=True))
+        part = r.integers(0, 7, n)
+        got = dict(lm_scoring.packed(part, cells))
+        assert all((lm_scoring.unpacked(x, 5)[1] == cells[1][part == k]).all() for k, x in got.items()) and sorted(got) == sorted(set(part.tolist()))
+
+
 def test_vocabulary_has_no_largest_size(spark):
     """Every word of enough occurrences is known, past the 50,000th too."""
     words = [f"v{i}" for i in range(60_000)]
