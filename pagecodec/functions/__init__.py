@@ -22,7 +22,9 @@ def ptype_of(kind: T.DataType) -> str:
     """The physical type that carries a Spark type; decimals, dates and timestamps are carried by integers."""
     found = {"tinyint": "int8", "smallint": "int16", "int": "int32", "bigint": "int64", "boolean": "uint8", "date": "int32", "timestamp": "int64", "timestamp_ntz": "int64", "float": "float32", "double": "float64", "string": "string", "binary": "string"}
     name = kind.simpleString()
-    if name.startswith("decimal"):
+    if isinstance(kind, T.DecimalType):
+        if kind.precision > 18:
+            raise ValueError(f"{name} doesn't fit 64 bits; split it into columns first")
         return "int64"
     if name not in found:
         raise ValueError(f"{name} has no physical type; split it into columns first")
@@ -32,6 +34,7 @@ def ptype_of(kind: T.DataType) -> str:
 def physical(col: Column, kind: T.DataType) -> Column:
     """The carrier value: unscaled decimals, days, microseconds, 0/1."""
     if isinstance(kind, T.DecimalType):
+        ptype_of(kind)
         return (col * F.lit(10**kind.scale)).cast("bigint")
     if isinstance(kind, T.DateType):
         return F.unix_date(col)
@@ -50,6 +53,56 @@ def packed_bytes(n: Column, bits: Column) -> Column:
     return F.floor((n.cast("bigint") * bits.cast("bigint") + 7) / 8).cast("bigint")
 
 
+_LOW = (1 << 32) - 1
+
+
+def halves(v: Column) -> tuple[Column, Column]:
+    """The signed upper and the unsigned lower 32 bits of a long."""
+    return F.shiftright(v, 32), v.bitwiseAND(F.lit(_LOW))
+
+
+def joined(hi: Column, lo: Column) -> Column:
+    """The long of sums of halves; carries go up, and what goes beyond 64 bits is lost."""
+    return F.shiftleft(hi + F.shiftright(lo, 32), 32).bitwiseOR(lo.bitwiseAND(F.lit(_LOW)))
+
+
+def wrapping_add(a: Column, b: Column) -> Column:
+    """a + b modulo 2^64, which no overflow check refuses."""
+    (x, y), (u, v) = halves(a), halves(b)
+    return joined(x + u, y + v)
+
+
+def wrapping_subtract(a: Column, b: Column) -> Column:
+    """a - b modulo 2^64."""
+    (x, y), (u, v) = halves(a), halves(b)
+    return joined(x - u, y - v)
+
+
+def wrapping_scale(v: Column, by: Column) -> Column:
+    """v * by modulo 2^64, for 0 <= by < 2^31."""
+    hi, lo = halves(v)
+    return joined(hi * by, lo * by)
+
+
+def trailing_zeros(v: Column) -> Column:
+    """Zero bits below the lowest set one; 64 for 0."""
+    return F.bit_count(F.bitwise_not(v).bitwiseAND(wrapping_subtract(v, F.lit(1).cast("bigint"))))
+
+
+#: Fixed values of the 64-bit finaliser: shift, multiplier.
+MIX_STEPS = ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB))
+MIX_LAST = 31
+
+
+@F.arrow_udf(T.LongType())
+def mix64(v: pa.Array) -> pa.Array:
+    """The splitmix64 finaliser of a long's bits (null stays null); Spark has no product modulo 2^64."""
+    x = v.fill_null(0).to_numpy(zero_copy_only=False).astype("int64").view("uint64")
+    for shift, by in MIX_STEPS:
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+    return pa.array((x ^ (x >> np.uint64(MIX_LAST))).view("int64"), mask=np.asarray(v.is_null()))
+
+
 def zigzag(v: Column) -> Column:
     """Signed to unsigned, small magnitudes first."""
     return F.shiftleft(v, 1).bitwiseXOR(F.shiftright(v, 63))

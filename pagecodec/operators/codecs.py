@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import bit_length, packed_bytes, unzigzag, zigzag
+from ..functions import bit_length, halves, joined, packed_bytes, unzigzag, wrapping_add, wrapping_scale, wrapping_subtract, zigzag
 from .paging import by_page
 from .stats import bitwidth_histogram, sequence_stats, with_change
 
@@ -25,7 +25,7 @@ def const_decode(enc: DataFrame) -> DataFrame:
 
 
 def sequence_decode(enc: DataFrame) -> DataFrame:
-    return enc.where("is_sequence").select("page_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("pos"), "base", "step").select("page_id", "pos", (F.col("base") + F.col("pos") * F.col("step")).alias("v"))
+    return enc.where("is_sequence").select("page_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("pos"), "base", "step").select("page_id", "pos", wrapping_add(F.col("base"), wrapping_scale(F.col("step"), F.col("pos"))).alias("v"))
 
 
 sequence_encode = sequence_stats
@@ -34,27 +34,29 @@ sequence_encode = sequence_stats
 # -- frame of reference, delta, zigzag -----------------------------------------------------------------------------
 def for_frames(p: DataFrame) -> DataFrame:
     """``page_id, n, ref_min, bit_width``."""
-    x = p.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("ref_min"), (F.max("v") - F.min("v")).alias("rng"))
+    x = p.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("ref_min"), wrapping_subtract(F.max("v"), F.min("v")).alias("rng"))
     return x.select("page_id", "n", "ref_min", bit_length(F.col("rng")).alias("bit_width"))
 
 
 def for_encode(p: DataFrame) -> DataFrame:
     """``page_id, pos, ref_min, residual``."""
     low = F.min("v").over(_page())
-    return p.select("page_id", "pos", low.alias("ref_min"), (F.col("v") - low).alias("residual"))
+    return p.select("page_id", "pos", low.alias("ref_min"), wrapping_subtract(F.col("v"), low).alias("residual"))
 
 
 def for_decode(enc: DataFrame) -> DataFrame:
-    return enc.select("page_id", "pos", (F.col("ref_min") + F.col("residual")).alias("v"))
+    return enc.select("page_id", "pos", wrapping_add(F.col("ref_min"), F.col("residual")).alias("v"))
 
 
 def delta_encode(p: DataFrame) -> DataFrame:
     """``page_id, pos, d``: the first row's value, then differences."""
-    return p.select("page_id", "pos", (F.col("v") - F.coalesce(F.lag("v").over(by_page()), F.lit(0))).alias("d"))
+    return p.select("page_id", "pos", wrapping_subtract(F.col("v"), F.coalesce(F.lag("v").over(by_page()), F.lit(0).cast("bigint"))).alias("d"))
 
 
 def delta_decode(enc: DataFrame) -> DataFrame:
-    return enc.select("page_id", "pos", F.sum("d").over(by_page().rowsBetween(Window.unboundedPreceding, 0)).alias("v"))
+    upto = by_page().rowsBetween(Window.unboundedPreceding, 0)
+    hi, lo = halves(F.col("d"))
+    return enc.select("page_id", "pos", joined(F.sum(hi).over(upto), F.sum(lo).over(upto)).alias("v"))
 
 
 def zigzag_encode(p: DataFrame) -> DataFrame:
@@ -95,37 +97,49 @@ def patch_overlay(base: DataFrame, patches: DataFrame, column: str = "v") -> Dat
 
 
 # -- dictionary and predicates on codes ----------------------------------------------------------------------------
+# Everything here stays on the exchange by page: values are grouped inside pages, and rows meet their page's dictionary,
+# an array in code order, by page alone.
 def dictionary(p: DataFrame, key: Column | None = None) -> DataFrame:
     """``page_id, ord, v, cnt``: values in order of first occurrence. ``key``: what makes values equal (float bits)."""
     k = F.col("v") if key is None else key
     x = p.withColumn("k", k).groupBy("page_id", "k").agg(F.min("pos").alias("first_pos"), F.first("v").alias("v"), F.count(F.lit(1)).alias("cnt"))
     order = Window.partitionBy("page_id").orderBy("first_pos")
-    return x.select("page_id", (F.row_number().over(order) - 1).cast("bigint").alias("ord"), "v", "cnt", "k")
+    return x.select("page_id", (F.row_number().over(order) - 1).cast("bigint").alias("ord"), "v", "cnt")
 
 
 def dict_encode(p: DataFrame, key: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """Dictionary ``page_id, ord, v, cnt`` and codes ``page_id, pos, ord``. Joins are by page and value."""
-    d = dictionary(p, key)
-    rows = p.withColumn("k", F.col("v") if key is None else key).select("page_id", "pos", "k")
-    return d.drop("k"), rows.join(d.select("page_id", "k", "ord"), ["page_id", "k"]).select("page_id", "pos", "ord")
+    """Dictionary ``page_id, ord, v, cnt`` and codes ``page_id, pos, ord``. Null is a value like any other."""
+    first = F.min("pos").over(Window.partitionBy("page_id", "k"))
+    rows = p.withColumn("k", F.col("v") if key is None else key).select("page_id", "pos", first.alias("first_pos"))
+    ord_ = F.dense_rank().over(Window.partitionBy("page_id").orderBy("first_pos")) - 1
+    return dictionary(p, key), rows.select("page_id", "pos", ord_.cast("bigint").alias("ord"))
+
+
+def _in_order(d: DataFrame, cell: Column) -> DataFrame:
+    """``page_id, cells``: a cell of each dictionary entry, in code order."""
+    sorted_ = F.array_sort(F.collect_list(F.struct("ord", cell.alias("cell"))))
+    return d.groupBy("page_id").agg(sorted_.alias("cells")).select("page_id", F.col("cells.cell").alias("cells"))
 
 
 def dict_decode(d: DataFrame, codes: DataFrame) -> DataFrame:
-    return codes.join(d.select("page_id", "ord", "v"), ["page_id", "ord"]).select("page_id", "pos", "v")
+    return codes.join(_in_order(d, F.col("v")), "page_id").select("page_id", "pos", F.col("cells")[F.col("ord").cast("int")].alias("v"))
 
 
 def dict_filter(d: DataFrame, codes: DataFrame, predicate: Column, *, negate: bool = False) -> DataFrame:
-    """Rows whose value satisfies ``predicate``, which is evaluated once per distinct value. Null never matches."""
-    hits = d.where(F.coalesce(predicate, F.lit(False))).select("page_id", "ord")
-    known = codes if not negate else codes.join(d.where("v is not null").select("page_id", "ord"), ["page_id", "ord"], "left_semi")
-    return known.join(hits, ["page_id", "ord"], "left_anti" if negate else "left_semi").select("page_id", "pos")
+    """Rows whose value satisfies ``predicate``, which is evaluated once per distinct value. Null never matches.
+
+    Pages of whose dictionary no value matches are left out before their codes are looked at.
+    """
+    hit = F.coalesce(predicate, F.lit(False))
+    hits = _in_order(d, (F.col("v").isNotNull() & ~hit) if negate else hit).where(F.array_contains("cells", True))
+    return codes.join(hits, "page_id").where(F.col("cells")[F.col("ord").cast("int")]).select("page_id", "pos")
 
 
 def bsi_equals(d: DataFrame, codes: DataFrame, value: Column, planes: int) -> DataFrame:
-    """Rows equal to ``value`` by tests of the codes' bit planes."""
+    """Rows equal to ``value`` by tests of the codes' lowest ``planes`` bit planes, and of all planes above them together."""
     wanted = d.where(F.col("v") == value).select("page_id", F.col("ord").alias("want"))
     x = codes.join(wanted, "page_id")
-    test = F.lit(True)
+    test = F.shiftright("ord", planes) == F.shiftright("want", planes)
     for b in range(planes):
         test &= F.shiftright("ord", b).bitwiseAND(F.lit(1)) == F.shiftright("want", b).bitwiseAND(F.lit(1))
     return x.where(test).select("page_id", "pos")
@@ -152,15 +166,20 @@ def runend_lookup(runs: DataFrame, points: DataFrame) -> DataFrame:
 
 
 # -- sparse --------------------------------------------------------------------------------------------------------
+def _fills(p: DataFrame) -> DataFrame:
+    """``page_id, best, n``; of equally frequent values the one that reached the count first."""
+    per = p.groupBy("page_id", "v").agg(F.count(F.lit(1)).alias("cnt"), F.max("pos").alias("last_pos"))
+    return per.groupBy("page_id").agg(F.min(F.struct((-F.col("cnt")).alias("less"), "last_pos", "v")).alias("best"), F.sum("cnt").alias("n"))
+
+
 def sparse_fill(p: DataFrame) -> DataFrame:
-    """``page_id, fill, cnt``: the most frequent value; of equals, the one that reached the count first."""
-    order = Window.partitionBy("page_id").orderBy(F.desc("cnt"), "last_pos")
-    return p.groupBy("page_id", "v").agg(F.count(F.lit(1)).alias("cnt"), F.max("pos").alias("last_pos")).withColumn("r", F.row_number().over(order)).where("r = 1").select("page_id", F.col("v").alias("fill"), "cnt")
+    """``page_id, fill, cnt``: the most frequent value."""
+    return _fills(p).select("page_id", F.col("best.v").alias("fill"), (-F.col("best.less")).alias("cnt"))
 
 
 def sparse_encode(p: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Fills and page lengths ``page_id, fill, n``; exceptions ``page_id, pos, v``."""
-    fill = sparse_fill(p).join(p.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")), "page_id").select("page_id", "fill", "n")
+    fill = _fills(p).select("page_id", F.col("best.v").alias("fill"), "n")
     return fill, p.join(fill.select("page_id", "fill"), "page_id").where(~F.col("v").eqNullSafe(F.col("fill"))).select("page_id", "pos", "v")
 
 

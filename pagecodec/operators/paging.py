@@ -13,6 +13,11 @@ def by_page() -> Window:
     return Window.partitionBy("page_id").orderBy("pos")
 
 
+def by_page_value() -> Window:
+    """Equal values of a page."""
+    return Window.partitionBy("page_id", "v")
+
+
 def paged(df: DataFrame, value: Column | str, *, key: str, order_by: Sequence[str], page_keys: int = 1024) -> DataFrame:
     """``page_id, pos, v``: key-range pages, rows numbered from 0 in a total order. One exchange by page."""
     v = F.expr(value) if isinstance(value, str) else value

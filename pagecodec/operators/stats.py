@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import bit_length
-from .paging import by_page
+from ..functions import bit_length, wrapping_subtract
+from .paging import by_page, by_page_value
 
 #: Distinct values that a frequency map keeps; beyond it (or half the page) distinct counts as n.
 MAP_LIMIT, STRING_MAP_LIMIT = 256, 4096
@@ -28,7 +28,7 @@ def run_stats(p: DataFrame) -> DataFrame:
 
 def sequence_stats(p: DataFrame) -> DataFrame:
     """Whether a page is base + i * step with a step other than 0."""
-    d = F.col("v") - F.lag("v").over(by_page())
+    d = wrapping_subtract(F.col("v"), F.lag("v").over(by_page()))
     x = p.withColumn("d", d).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.min_by("v", "pos").alias("base"), F.min("d").alias("lo"), F.max("d").alias("hi"))
     ok = F.coalesce((F.col("lo") == F.col("hi")) & (F.col("lo") != 0), F.lit(False))
     return x.select("page_id", "n", ok.alias("is_sequence"), F.when(ok, F.col("base")).alias("base"), F.when(ok, F.col("lo")).alias("step"))
@@ -46,6 +46,21 @@ def dominance(p: DataFrame) -> DataFrame:
     return distinct_stats(p).select("page_id", "n", "most_frequent", ((F.col("n") > 0) & (F.least("most_frequent", "n") >= F.col("n") - F.floor(F.col("n") / 10))).alias("dominant"))
 
 
+def page_profile(p: DataFrame, limit: int = MAP_LIMIT) -> DataFrame:
+    """``page_id, n, min_v, max_v, runs, is_sequence, distinct_v, base, step``: what estimates of integer pages need, by two sorts of one exchange and one aggregation."""
+    before, own = F.lag("v").over(by_page()), by_page_value()
+    x = p.select("page_id", "pos", "v", before.alias("b"), (F.row_number().over(own.orderBy("pos")) == 1).alias("first"))
+    change = F.when((F.col("pos") > 0) & F.col("v").eqNullSafe(F.col("b")), 0).otherwise(1)
+    x = x.select("page_id", "pos", "v", "first", change.alias("change"), wrapping_subtract(F.col("v"), F.col("b")).alias("d"))
+    x = x.groupBy("page_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("min_v"), F.max("v").alias("max_v"), F.sum("change").cast("bigint").alias("runs"), F.count_if("first").alias("d"),
+        F.min("d").alias("lo"), F.max("d").alias("hi"), F.min_by("v", "pos").alias("base"),
+    )
+    over = F.col("d") > F.greatest(F.lit(1), F.least(F.lit(limit), F.floor(F.col("n") / 2)))
+    ok = F.coalesce((F.col("lo") == F.col("hi")) & (F.col("lo") != 0), F.lit(False))
+    return x.select("page_id", "n", "min_v", "max_v", "runs", ok.alias("is_sequence"), F.when(over, F.col("n")).otherwise(F.col("d")).cast("bigint").alias("distinct_v"), "base", F.col("lo").alias("step"))
+
+
 def null_count(p: DataFrame) -> DataFrame:
     return p.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("v").isNull()).cast("bigint").alias("nulls"))
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import bit_length, packed_bytes
+from ..functions import bit_length, packed_bytes, wrapping_subtract
 from ..operators import stats
 
 ARRAY, NODE = 20, 24
@@ -22,18 +22,17 @@ def raw_size(n, width: int):
 
 def encoded_size(p: DataFrame, width: int = 8) -> DataFrame:
     """``page_id, n, raw_bytes, for_bytes, sequence_bytes, runend_bytes`` of integer pages."""
-    x = stats.int_stats(p).join(stats.run_stats(p).select("page_id", "runs"), "page_id")
-    rw = bit_length(F.col("max_v") - F.col("min_v"))
+    x = stats.with_change(p).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("min_v"), F.max("v").alias("max_v"), F.sum("change").alias("runs"))
+    rw = bit_length(wrapping_subtract(F.col("max_v"), F.col("min_v")))
     return x.select(
         "page_id", "n", raw_size(F.col("n"), width).alias("raw_bytes"), (F.lit(2 * NODE + 1 + width) + packed_bytes(F.col("n"), rw)).cast("bigint").alias("for_bytes"),
         F.lit(NODE + 2 * width).cast("bigint").alias("sequence_bytes"), (NODE + 44 + F.col("runs") * width + 44 + (F.col("runs") - 1) * 4).cast("bigint").alias("runend_bytes"),
     )
 
 
-def scheme_estimates(p: DataFrame, width: int = 8, unsigned: bool = False) -> DataFrame:
-    """``page_id, cand_idx, codec, after_bytes`` of the immediate integer candidates that apply to each page."""
-    s = stats.int_stats(p).join(stats.sequence_stats(p).select("page_id", "is_sequence"), "page_id").join(stats.run_stats(p).select("page_id", "runs"), "page_id").join(stats.distinct_stats(p).select("page_id", "distinct_v"), "page_id")
-    rw = bit_length(F.col("max_v") - F.col("min_v"))
+def _candidates(width: int, unsigned: bool) -> Column:
+    """The immediate integer candidates of a page (``stats.page_profile``), as an array of cand_idx, codec, after_bytes."""
+    rw = bit_length(wrapping_subtract(F.col("max_v"), F.col("min_v")))
     cb = bit_length(F.col("distinct_v") - 1)
     frame = (rw > 0) & (rw < 8 * width)
     if unsigned:
@@ -50,13 +49,18 @@ def scheme_estimates(p: DataFrame, width: int = 8, unsigned: bool = False) -> Da
         packed = NODE + 1 + packed_bytes(F.col("n"), bit_length(F.col("max_v")))
         found.append((7, "bitpack", packed < raw_size(F.col("n"), width), packed))
     cells = [F.when(ok, F.struct(F.lit(i).alias("cand_idx"), F.lit(c).alias("codec"), size.cast("bigint").alias("after_bytes"))) for i, c, ok, size in found]
-    return s.select("page_id", F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull())).alias("x")).select("page_id", "x.*")
+    return F.filter(F.array(*cells), lambda x: x.isNotNull())
+
+
+def scheme_estimates(p: DataFrame, width: int = 8, unsigned: bool = False) -> DataFrame:
+    """``page_id, cand_idx, codec, after_bytes`` of the immediate integer candidates that apply to each page."""
+    return stats.page_profile(p).select("page_id", F.explode(_candidates(width, unsigned)).alias("x")).select("page_id", "x.*")
 
 
 def raw_fallback(p: DataFrame, width: int = 8) -> DataFrame:
     """The least immediate estimate of each page, or raw if none is below it."""
-    best = scheme_estimates(p, width).groupBy("page_id").agg(F.min(F.struct("after_bytes", "cand_idx", "codec")).alias("b"))
-    x = stats.int_stats(p).select("page_id", raw_size(F.col("n"), width).alias("raw_bytes")).join(best, "page_id", "left")
+    order = F.transform(_candidates(width, False), lambda x: F.struct(x["after_bytes"], x["cand_idx"], x["codec"]))
+    x = stats.page_profile(p).select("page_id", raw_size(F.col("n"), width).alias("raw_bytes"), F.array_min(order).alias("b"))
     won = F.coalesce(F.col("b.after_bytes") < F.col("raw_bytes"), F.lit(False))
     return x.select("page_id", F.when(won, F.col("b.codec")).otherwise("raw").alias("codec"), F.when(won, F.col("b.after_bytes")).otherwise(F.col("raw_bytes")).alias("bytes"))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import bit_length, packed_bytes
+from ..functions import MIX_LAST, MIX_STEPS, PTYPES, bit_length, mix64, packed_bytes, ptype_class, trailing_zeros
 from ..operators import codecs as c
 from ..operators import floats, paging, stats
 from . import estimates as est
@@ -49,7 +49,6 @@ def add(name: str, fn: Callable[[DataFrame], DataFrame], value: str, sql: str |
 
 BITS = lambda x: f"(case when {x} = 0 then 0 else length(bin({x})) end)"
 SAME = " select page_id, pos, v from p"
-ADD = lambda a, cut=0: f"{a}"
 
 # -- scans, slices, access -------------------------------------------------------------------------------------------
 add("scan_pages", lambda p: p.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.max("pos").alias("last_pos"), F.sum("v").cast("bigint").alias("total")), PART, " select page_id, count(*) as n, max(pos) as last_pos, sum(v)::bigint as total from p group by page_id")
@@ -68,6 +67,24 @@ select page_id, n, 44 + n * 8 as raw_bytes, (57 + (n * rw + 7) // 8)::bigint as
 add("bit_length", lambda p: p.select("page_id", "pos", bit_length(F.col("v")).cast("bigint").alias("bits")), PART, f" select page_id, pos, {BITS('v')}::bigint as bits from p")
 add("packed_bytes", lambda p: p.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.max(bit_length(F.col("v"))).alias("b")).select("page_id", packed_bytes(F.col("n"), F.col("b")).alias("bytes")), PART, f" select page_id, ((count(*) * max({BITS('v')}) + 7) // 8)::bigint as bytes from p group by page_id")
 
+add("bit_count", lambda p: p.select("page_id", "pos", F.bit_count("v").alias("ones")), SIGNED, " select page_id, pos, bit_count(v)::int as ones from p")
+add("trailing_zeros", lambda p: p.select("page_id", "pos", trailing_zeros(F.col("v")).alias("zeros")), SIGNED, " select page_id, pos, (case when v = 0 then 64 else bit_count((v & -v) - 1) end)::int as zeros from p")
+
+
+def _mix_sql() -> str:
+    """The finaliser on unsigned 128-bit numbers, reduced after each product."""
+    word, x = "18446744073709551616::hugeint", "(v::hugeint + case when v < 0 then 18446744073709551616::hugeint else 0::hugeint end)"
+    steps = [f"m0 as (select page_id, pos, {x} as x from p)"]
+    for i, (shift, by) in enumerate(MIX_STEPS):
+        # the factor in two halves, so that no product leaves 127 bits
+        y = f"xor(x, x // {1 << shift}::hugeint)"
+        steps.append(f"m{i + 1} as (select page_id, pos, ((({y} * {by >> 32}::hugeint) % {word}) * {1 << 32}::hugeint % {word} + {y} * {by & 0xFFFFFFFF}::hugeint) % {word} as x from m{i})")
+    last = f"xor(x, x // {1 << MIX_LAST}::hugeint)"
+    return ", " + ", ".join(steps) + f" select page_id, pos, ({last} - case when {last} >= 9223372036854775808::hugeint then {word} else 0::hugeint end)::bigint as mixed from m{len(MIX_STEPS)}"
+
+
+add("mix64", lambda p: p.select("page_id", "pos", mix64(F.col("v")).alias("mixed")), SIGNED, _mix_sql())
+
 # -- statistics ------------------------------------------------------------------------------------------------------
 RUNS = ", x as (select *, case when pos > 0 and v is not distinct from lag(v) over (partition by page_id order by pos) then 0 else 1 end as ch from p)"
 DISTINCT = ", f as (select page_id, v, count(*) as c from p group by page_id, v), g as (select page_id, sum(c)::bigint as n, count(*) as d, max(c) as most from f group by page_id), s as (select page_id, n, (case when d > greatest(1, least(256, n // 2)) then n else d end)::bigint as distinct_v, (case when d > greatest(1, least(256, n // 2)) then 0 else most end)::bigint as most_frequent from g)"
@@ -79,7 +96,7 @@ add("distinct_stats", stats.distinct_stats, LINENO, DISTINCT + " select * from s
 add("distinct_stats_overflow", stats.distinct_stats, PART, DISTINCT + " select * from s")
 add("dominance", stats.dominance, SPARSE, DISTINCT + " select page_id, n, most_frequent, least(most_frequent, n) >= n - n // 10 as dominant from s")
 add("float_distinct", lambda p: floats.with_bits(p).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("bits").alias("distinct_v")), "l_extendedprice", " select page_id, count(*) as n, count(distinct v) as distinct_v from p group by page_id")
-add("float_bits", lambda p: floats.with_bits(p).select("page_id", "pos", "bits"), "l_discount", None)
+add("float_bits", lambda p: floats.with_bits(p).select("page_id", "pos", "bits"), "l_discount", " select page_id, pos, case when v = 0 then 0 else ((floor(log2(v))::bigint + 1023) << 52) + ((v / pow(2.0, floor(log2(v))) - 1) * 4503599627370496)::bigint end as bits from p")
 add("string_stats", stats.string_stats, "l_returnflag", RUNS + " select page_id, count(*) as n, (case when count(distinct v) > 4096 then count(*) else count(distinct v) end)::bigint as distinct_v, sum(ch)::bigint as runs, sum(strlen(v))::bigint as total_bytes from x group by page_id")
 add("bitwidth_histogram", stats.bitwidth_histogram, PART, f" select page_id, {BITS('v')}::int as bit_width, count(*) as cnt from p group by all")
 
@@ -113,6 +130,11 @@ add("dict_filter_eq", lambda p: c.dict_filter(*c.dict_encode(p), F.col("v") == 3
 add("dict_filter_in", lambda p: c.dict_filter(*c.dict_encode(p), F.col("v").isin("A", "R")), "l_returnflag", " select page_id, pos from p where v in ('A', 'R')")
 add("dict_filter_ne", lambda p: c.dict_filter(*c.dict_encode(p), F.col("v") == 3, negate=True), LINENO, " select page_id, pos from p where v <> 3")
 add("bsi_equals", lambda p: c.bsi_equals(*c.dict_encode(p), F.lit(3), 3), LINENO, " select page_id, pos from p where v = 3")
+EXTREME = "case when l_linenumber = 1 then 9223372036854775807 when l_linenumber = 2 then -9223372036854775807 - 1 else l_partkey end"
+add("roundtrip_delta_extremes", lambda p: c.delta_decode(c.delta_encode(p)), EXTREME, SAME)
+add("roundtrip_for_extremes", lambda p: c.for_decode(c.for_encode(p)), EXTREME, SAME)
+add("roundtrip_zigzag_extremes", lambda p: c.zigzag_decode(c.zigzag_encode(p)), EXTREME, SAME)
+add("bsi_equals_many_values", lambda p: c.bsi_equals(*c.dict_encode(p), F.lit(103), 3), PART, " select page_id, pos from p where v = 103")
 BY_FLAG = ["l_returnflag", *ORDERS["lineitem"][1]]
 FLAG = "case l_returnflag when 'A' then 1 when 'N' then 2 else 3 end"
 ENC_RUNS = RUNS + ", y as (select *, sum(ch) over (partition by page_id order by pos) - 1 as run from x), r as (select page_id, run::bigint as run, min_by(v, pos) as v, min(pos) as run_start, max(pos) + 1 as run_end from y group by page_id, run)"
@@ -126,7 +148,9 @@ add("sparse_encode", lambda p: c.sparse_encode(p)[1], SPARSE, FILL + " select p.
 add("sparse_exceptions", lambda p: c.sparse_encode(p)[1].groupBy("page_id").agg(F.count(F.lit(1)).alias("num_values"), F.sum("v").cast("bigint").alias("total")), SPARSE, FILL + " select p.page_id, count(*) as num_values, sum(v)::bigint as total from p join fl using (page_id) where v <> fill group by p.page_id")
 add("roundtrip_sparse", lambda p: c.sparse_decode(*c.sparse_encode(p)), SPARSE, SAME)
 add("roundtrip_sparse_string", lambda p: c.sparse_decode(*c.sparse_encode(p)), "case when l_quantity = 50 then l_returnflag else 'fill' end", SAME)
-add("sparse_form_choice", c.sparse_form, SPARSE, None)
+add("sparse_form_choice", c.sparse_form, SPARSE, FILL + """, k as (select page_id, count(*)::bigint as n, count(*) filter (v <> fill) as k from p join fl using (page_id) group by page_id),
+b as (select page_id, n, k, (76 + 88 + k * (case when n <= 256 then 1 when n <= 65536 then 2 else 4 end) + k * 8)::bigint as index_bytes, (76 + (n + 7) // 8 + 44 + k * 8)::bigint as bitmap_bytes from k)
+select *, case when bitmap_bytes < index_bytes then 'bitmap' else 'index' end as form from b""")
 add("null_sparse", lambda p: c.null_sparse(p, F.lit(0).cast("bigint")), MANY_NULLS, " select page_id, pos, v from p where coalesce(v, 0) <> 0")
 add("nullable_split", lambda p: c.nullable_split(p, F.lit(0).cast("bigint")), NULLS, " select page_id, pos, coalesce(v, 0) as masked, case when v is null then 0 else 1 end as valid from p")
 add("roundtrip_nullable", lambda p: c.nullable_join(c.nullable_split(p, F.lit(0).cast("bigint"))), NULLS, SAME)
@@ -197,6 +221,7 @@ add("explain_selection", report.explain_selection, "l_extendedprice", None)
 add("sample_rows", report.sample_rows, PART, None)
 add("sampled_ratio", lambda p: report.explain_selection(p).where("kind = 'sample'").select("page_id", "codec", "bytes", "ratio"), "l_extendedprice", None)
 QUERIES["ptype_map"] = lambda spark, sf_dir: report.ptype_map(spark)
+ORACLES["ptype_map"] = "select * from (values " + ", ".join(f"({k}::int, '{n}', {w}::int, '{ptype_class(n)}')" for k, (n, w) in PTYPES.items()) + ") t(code, name, width, class)"
 QUERIES["compression_report"] = compression_report
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -81,7 +80,3 @@ def sample_rows(p: DataFrame) -> DataFrame:
 
 def ptype_map(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(c, n, w, ptype_class(n)) for c, (n, w) in PTYPES.items()], "code int, name string, width int, class string")
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
