@@ -192,7 +192,7 @@ from ..sources import pages as sealed  # noqa: E402
 from ..wire import nodes  # noqa: E402
 from . import report  # noqa: E402
 
-_PAGE_COUNTS = " select page_id, count(*) as n_rows, 44 + 8 * count(*) as raw_bytes from p group by page_id"
+RARE = "case when l_quantity = 50 and l_discount < 0.05 then l_partkey * 1000003 else 7 end"
 LINEITEM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
@@ -211,11 +211,21 @@ add("page_load", lambda p: sealed.load(sealed.seal(p), "int64", "bigint"), PART,
 add("page_load_nullable", lambda p: sealed.load(sealed.seal(p), "int64", "bigint"), MANY_NULLS, SAME)
 add("page_load_float", lambda p: sealed.load(sealed.seal(p), "float64", "double"), "l_extendedprice", SAME)
 add("page_load_string", lambda p: sealed.load(sealed.seal(p), "string", "string"), "props", SAME, "events")
+add("page_filter_eq", lambda p: sealed.filter_eq(sealed.seal(p), "int64", 3), LINENO, " select page_id, pos from p where v = 3")
+add("page_filter_eq_wide", lambda p: sealed.filter_eq(sealed.seal(p), "int64", 103), PART, " select page_id, pos from p where v = 103")
+add("page_filter_in", lambda p: sealed.filter_in(sealed.seal(p), "string", ["A", "R"]), "l_returnflag", " select page_id, pos from p where v in ('A', 'R')")
+add("page_filter_nullable", lambda p: sealed.filter_in(sealed.seal(p), "int64", [2, 5]), NULLS, " select page_id, pos from p where v in (2, 5)")
+add("page_filter_sparse", lambda p: sealed.filter_in(sealed.seal(p), "int64", [7, 11]), SPARSE, " select page_id, pos from p where v in (7, 11)")
+add("page_sparse_scan", lambda p: sealed.exceptions(sealed.seal(p, options=_only("sparse")), "int64", "bigint"), RARE, " select page_id, pos, v from p where v <> 7")
+add("page_value_at", lambda p: sealed.values_at(sealed.seal(p), "int64", "bigint", 100), MANY_NULLS, " select page_id, pos, v from p where pos = 100")
+add("page_value_at_sparse", lambda p: sealed.values_at(sealed.seal(p), "int64", "bigint", 33), SPARSE, " select page_id, pos, v from p where pos = 33")
+add("page_value_at_string", lambda p: sealed.values_at(sealed.seal(p), "string", "string", 5), "props", " select page_id, pos, v from p where pos = 5", "events")
+add("page_bounds", lambda p: sealed.seal(p).select("page_id", "ptype", "n_rows", "null_count", "min_v", "max_v"), NULLS, " select page_id, 'int64' as ptype, count(*) as n_rows, count(*) filter (v is null) as null_count, min(v) as min_v, max(v) as max_v from p group by page_id")
 add("page_header_scan", lambda p: sealed.headers(sealed.seal(p)).select("page_id", "version", "ptype", "n_rows"), PART, " select page_id, 1::bigint as version, 'int64' as ptype, count(*) as n_rows from p group by page_id")
 add("page_load_prefix", lambda p: sealed.load_prefixes(sealed.join_blobs(sealed.seal(p), sealed.seal(p)), ["int64", "int64"]).select("page_id", "part", "row_count"), PART, ", c as (select page_id, count(*) as row_count from p group by page_id) select page_id, part::bigint as part, row_count from c, (values (0), (1)) t(part)")
 add("read_limits", lambda p: sealed.check(sealed.seal(p), "int64", nodes.Limits(max_length=10)).select("page_id", F.col("error").isNotNull().alias("refused")), PART, " select page_id, count(*) > 10 as refused from p group by page_id")
 add("decoded_bytes", lambda p: sealed.seal(p).select("page_id", "decoded_bytes"), PART, None)
-add("roundtrip_fsst", lambda p: sealed.load(sealed.seal(p, options=_only_fsst()), "string", "string"), "text", SAME, "documents")
+add("roundtrip_fsst", lambda p: sealed.load(sealed.seal(p, options=_only("fsst")), "string", "string"), "text", SAME, "documents")
 add("choose_scheme", lambda p: sealed.seal(p).select("page_id", "root_codec", "tree", "encoded_bytes"), LINENO, None)
 add("explain_selection", report.explain_selection, "l_extendedprice", None)
 add("sample_rows", report.sample_rows, PART, None)
@@ -225,7 +235,8 @@ ORACLES["ptype_map"] = "select * from (values " + ", ".join(f"({k}::int, '{n}',
 QUERIES["compression_report"] = compression_report
 
 
-def _only_fsst():
+def _only(codec: str):
+    """Options that leave a root no choice but this codec (or a constant, or raw)."""
     from ..wire.planner import Options
 
-    return Options(exclude=frozenset({"dict", "runend", "sparse"}))
+    return Options(exclude=frozenset({"dict", "runend", "sparse", "for", "delta", "zigzag", "bitpack", "sequence"} - {codec}))

@@ -31,9 +31,9 @@ def compress(df: DataFrame, columns: Sequence[str], *, key: str, order_by: Seque
         for c in columns:
             values, valid = pages.to_arrays(group.column(c), ptypes[c])
             node = planner.compress(values, ptypes[c], valid, options)
-            rows.append((c, group.column("page_id")[0].as_py(), ptypes[c], node.n, 0 if valid is None else int((~valid).sum()), nodes.NAMES[node.codec], node.tree, planner.raw_size(values, ptypes[c]), node.size, node.decoded_bytes, node.to_bytes()))
+            rows.append((c, group.column("page_id")[0].as_py(), ptypes[c], node.n, 0 if valid is None else int((~valid).sum()), nodes.NAMES[node.codec], node.tree, planner.raw_size(values, ptypes[c]), node.size, node.decoded_bytes, *pages.bounds(values, valid, ptypes[c]), node.to_bytes()))
         names = ["column", *(x.split()[0] for x in pages.SEALED.split(", "))]
-        kinds_out = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        kinds_out = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds_out, strict=True)], names=names)
 
     shipping.ship(df.sparkSession)

@@ -1,13 +1,15 @@
 """A Python data source over stored pages: ``spark.read.format("pagecodec")``.
 
 Options: ``path`` (a folder of sealed pages in Parquet), ``ptype`` and ``spark_type`` of the column. Filters on
-``page_id`` (=, >, >=, <, <=, IN) are pushed to the scan, so refused pages are neither read nor decoded; each Parquet
-file is one partition.
+``page_id`` (=, >, >=, <, <=, IN) are pushed to the scan, so refused pages are neither read nor decoded. Those on ``v`` of
+integer columns refuse pages by their least and greatest value; Spark tests the rows of the others. Each Parquet file
+is one partition. ``max_length, max_bytes, max_decoded, max_depth, max_work`` set the limits of reading.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import fields
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,6 +29,8 @@ class PageReader(DataSourceReader):
     def __init__(self, options: dict, schema):
         self.path, self.ptype, self.schema = options["path"], options["ptype"], schema
         self.filters: list[tuple[str, object]] = []
+        self.bounds: list[tuple[str, object]] = []
+        self.limits = nodes.Limits(**{f.name: int(options[f.name]) for f in fields(nodes.Limits) if f.name in options})
 
     def pushFilters(self, filters):  # noqa: N802
         names = {EqualTo: "==", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<=", In: "in"}
@@ -34,6 +38,9 @@ class PageReader(DataSourceReader):
             if type(f) in names and f.attribute == ("page_id",):
                 self.filters.append((names[type(f)], list(f.value) if isinstance(f, In) else f.value))
             else:
+                value = getattr(f, "value", None)
+                if type(f) in names and f.attribute == ("v",) and all(isinstance(x, int) for x in (value if isinstance(f, In) else (value,))):
+                    self.bounds.append((names[type(f)], list(value) if isinstance(f, In) else value))
                 yield f
 
     def partitions(self):
@@ -47,9 +54,16 @@ class PageReader(DataSourceReader):
         wanted = None
         for op, v in self.filters:
             wanted = ops[op](v) if wanted is None else wanted & ops[op](v)
-        for b in ds.dataset(partition.value, format="parquet").to_batches(columns=["page_id", "blob"], filter=wanted):
+        data = ds.dataset(partition.value, format="parquet")
+        low, high = pc.field("min_v"), pc.field("max_v")
+        for op, v in self.bounds if "min_v" in data.schema.names else ():
+            most, least = (max(v), min(v)) if op == "in" else (v, v)
+            may = {"==": (low <= v) & (high >= v), ">": high > v, ">=": high >= v, "<": low < v, "<=": low <= v}[op] if op != "in" else (low <= most) & (high >= least)
+            may = low.is_null() | may
+            wanted = may if wanted is None else wanted & may
+        for b in data.to_batches(columns=["page_id", "blob"], filter=wanted):
             for page_id, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                values, valid = nodes.load(blob, self.ptype).decode()
+                values, valid = nodes.load(blob, self.ptype, self.limits).decode(self.limits)
                 yield pa.RecordBatch.from_arrays([pa.array([page_id] * len(values), pa.int64()), pa.array(range(len(values)), pa.int64()), to_arrow(values, valid, to_arrow_type(self.schema["v"].dataType))], names=["page_id", "pos", "v"])
 
 

@@ -6,7 +6,7 @@ Parquet's statistics on ``page_id``, ``n_rows`` and ``null_count`` prune them wi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from .. import shipping
 from ..functions import PTYPE_CODES, PTYPES, ptype_of
-from ..wire import kernels, nodes, planner
+from ..wire import kernels, nodes, planner, visits
 
-SEALED = "page_id long, ptype string, n_rows long, null_count long, root_codec string, tree string, raw_bytes long, encoded_bytes long, decoded_bytes long, blob binary"
+SEALED = "page_id long, ptype string, n_rows long, null_count long, root_codec string, tree string, raw_bytes long, encoded_bytes long, decoded_bytes long, min_v long, max_v long, blob binary"
 
 
 def to_arrays(column: pa.ChunkedArray | pa.Array, ptype: str) -> tuple:
@@ -38,6 +38,15 @@ def to_arrow(values, valid: np.ndarray | None, kind: pa.DataType) -> pa.Array:
     return pa.array(values, mask=mask).cast(kind)
 
 
+def bounds(values, valid: np.ndarray | None, ptype: str) -> tuple[int | None, int | None]:
+    """Least and greatest value of an integer page without its nulls; None where no long can tell."""
+    if ptype in ("string", "float32", "float64"):
+        return None, None
+    v = values if valid is None else values[valid]
+    low, high = (int(v.min()), int(v.max())) if len(v) else (None, None)
+    return (low, high) if high is None or high < 1 << 63 else (None, None)
+
+
 def seal(p: DataFrame, ptype: str | None = None, options: planner.Options = planner.Options()) -> DataFrame:
     """Each page of ``page_id, pos, v`` as one row of ``SEALED``."""
     kind = ptype or ptype_of(p.schema["v"].dataType)
@@ -46,9 +55,10 @@ def seal(p: DataFrame, ptype: str | None = None, options: planner.Options = plan
         group = group.sort_by("pos")
         values, valid = to_arrays(group.column("v"), kind)
         node = planner.compress(values, kind, valid, options)
+        low, high = bounds(values, valid, kind)
         return pa.table({
             "page_id": group.column("page_id")[:1], "ptype": [kind], "n_rows": pa.array([node.n]), "null_count": pa.array([0 if valid is None else int((~valid).sum())]), "root_codec": [nodes.NAMES[node.codec]], "tree": [node.tree],
-            "raw_bytes": pa.array([planner.raw_size(values, kind)]), "encoded_bytes": pa.array([node.size]), "decoded_bytes": pa.array([node.decoded_bytes]), "blob": pa.array([node.to_bytes()], pa.binary()),
+            "raw_bytes": pa.array([planner.raw_size(values, kind)]), "encoded_bytes": pa.array([node.size]), "decoded_bytes": pa.array([node.decoded_bytes]), "min_v": pa.array([low], pa.int64()), "max_v": pa.array([high], pa.int64()), "blob": pa.array([node.to_bytes()], pa.binary()),
         })
 
     shipping.ship(p.sparkSession)
@@ -77,6 +87,78 @@ def load(sealed: DataFrame, ptype: str, spark_type: str, limits: nodes.Limits =
     return sealed.select("page_id", "blob").mapInArrow(run, schema)
 
 
+def _rows(sealed: DataFrame, found, column: str, kind: str) -> DataFrame:
+    """``found(page, blob)`` gives rows ``pos`` and a cell each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        for b in batches:
+            for page, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                pos, cells = found(blob)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pos), page, np.int64)), pa.array(pos, pa.int64()), to_arrow(*cells, to_arrow_type(target))], names=["page_id", "pos", column])
+
+    schema = f"page_id long, pos long, {column} {kind}"
+    target = sealed.sparkSession.createDataFrame([], schema).schema[column].dataType
+    shipping.ship(sealed.sparkSession)
+    return sealed.select("page_id", "blob").mapInArrow(run, schema)
+
+
+def _wanted(values: Sequence, ptype: str) -> list:
+    return [v.encode() if isinstance(v, str) else v for v in values] if ptype == "string" else list(values)
+
+
+def filter_in(sealed: DataFrame, ptype: str, values: Sequence, limits: nodes.Limits = nodes.Limits()) -> DataFrame:
+    """``page_id, pos`` of the rows whose value is one of ``values``.
+
+    Integer pages whose bounds exclude all of them are left out by a filter on ``min_v`` and ``max_v``, which reaches the
+    Parquet scan; in the others the codec's dictionary, runs or exceptions are asked before any row is decoded.
+    """
+    wanted = _wanted(values, ptype)
+
+    def test(v) -> np.ndarray:
+        if isinstance(v, list):
+            return np.array([x in wanted for x in v], bool)
+        return np.isin(v, np.array(wanted, v.dtype))
+
+    def found(blob: bytes) -> tuple:
+        rows = visits.matching(nodes.load(blob, ptype, limits), test)
+        return rows, (np.zeros(len(rows), np.int64), None)
+
+    if wanted and "min_v" in sealed.columns and all(isinstance(v, int) for v in wanted):
+        sealed = sealed.where(F.col("min_v").isNull() | ((F.col("min_v") <= max(wanted)) & (F.col("max_v") >= min(wanted))))
+    return _rows(sealed, found, "hit", "bigint").select("page_id", "pos")
+
+
+def filter_eq(sealed: DataFrame, ptype: str, value, limits: nodes.Limits = nodes.Limits()) -> DataFrame:
+    return filter_in(sealed, ptype, [value], limits)
+
+
+def exceptions(sealed: DataFrame, ptype: str, spark_type: str) -> DataFrame:
+    """``page_id, pos, v`` of the exceptions of sparse pages; pages of other codecs give none."""
+
+    def found(blob: bytes) -> tuple:
+        x = nodes.load(blob, ptype)
+        x = x.children[0] if x.codec == nodes.NULLABLE else x
+        return (visits.places(x), (x.children[-1].values(), None)) if x.codec == nodes.SPARSE else ([], ([] if ptype == "string" else np.zeros(0, kernels.DTYPES[ptype]), None))
+
+    return _rows(sealed, found, "v", spark_type)
+
+
+def values_at(sealed: DataFrame, ptype: str, spark_type: str, pos: int) -> DataFrame:
+    """``page_id, pos, v`` at one place of each page that has it, without decoding the page where the codec allows it."""
+
+    def found(blob: bytes) -> tuple:
+        x = nodes.load(blob, ptype)
+        if pos >= x.n:
+            return [], ([] if ptype == "string" else np.zeros(0, kernels.DTYPES[ptype]), None)
+        v = visits.value_at(x, pos)
+        one = [b"" if v is None else v] if ptype == "string" else np.array([0 if v is None else v], kernels.DTYPES[ptype])
+        return [pos], (one, np.array([v is not None]))
+
+    return _rows(sealed.where(F.col("n_rows") > pos) if "n_rows" in sealed.columns else sealed, found, "v", spark_type)
+
+
 def check(sealed: DataFrame, ptype: str, limits: nodes.Limits = nodes.Limits()) -> DataFrame:
     """``page_id, error``: why a page is refused under the limits (null: it isn't)."""
 
@@ -134,4 +216,4 @@ def headers(sealed: DataFrame) -> DataFrame:
     )
 
 
-__all__ = ["PTYPE_CODES", "SEALED", "check", "headers", "join_blobs", "load", "load_prefixes", "seal"]
+__all__ = ["PTYPE_CODES", "SEALED", "check", "exceptions", "filter_eq", "filter_in", "headers", "join_blobs", "load", "load_prefixes", "seal", "values_at"]
