@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -32,11 +33,27 @@ class Context:
     sample: bool = False
     nulls: int = 0
     trace: list | None = field(default=None, compare=False)
+    max_bytes: int = 64 << 20
+    #: Builds a child in the planner's stead: of parent, place, values and type.
+    make: Callable | None = field(default=None, compare=False)
+
+    def build(self, parent: str, place: int, v, ptype: str) -> x.Node:
+        """A structural child, planned or made by a caller's builder, of the rows given and without nulls."""
+        within(v, ptype, self.max_bytes)
+        node = plan(v, ptype, self.child(parent, place)) if self.make is None else self.make(parent, place, v, ptype)
+        if not isinstance(node, x.Node) or node.n != len(v) or node.ptype != ptype or node.codec == x.NULLABLE:
+            raise ValueError(f"a child of {parent} must be a page of {len(v)} rows of {ptype} without nulls")
+        return node
 
     def child(self, parent: str, place: int) -> Context:
         return replace(self, depth=self.depth - 1, exclude=self.exclude | {parent, *EXCLUSIONS.get((parent, place), ())}, nulls=0, trace=None)
 
 
+def within(v, ptype: str, most: int) -> None:
+    if raw_size(v, ptype) > most:
+        raise MemoryError("a buffer of the page is larger than the build limit")
+
+
 class NotApplicable(Exception):
     """A scheme doesn't fit the page."""
 
@@ -97,13 +114,13 @@ def stats(v, ptype: str, nulls: int) -> Stats:
 def build_dict(v, ptype: str, ctx: Context) -> x.Node:
     first, codes = k.first_occurrence(k.keys_of(v))
     values, t = k.take(v, first.tolist() if isinstance(v, list) else first), k.uint_for(max(0, len(first) - 1))
-    return x.Node(x.DICT, ptype, len(v), b"", [plan(values, ptype, ctx.child("dict", 0)), plan(codes.astype(k.DTYPES[t]), t, ctx.child("dict", 1))])
+    return x.Node(x.DICT, ptype, len(v), b"", [ctx.build("dict", 0, values, ptype), ctx.build("dict", 1, codes.astype(k.DTYPES[t]), t)])
 
 
 def build_runend(v, ptype: str, ctx: Context) -> x.Node:
     starts = k.run_starts(k.keys_of(v))
     t = k.uint_for(max(0, len(v) - 1))
-    return x.Node(x.RUNEND, ptype, len(v), b"", [plan(k.take(v, starts.tolist() if isinstance(v, list) else starts), ptype, ctx.child("runend", 0)), plan(starts[1:].astype(k.DTYPES[t]), t, ctx.child("runend", 1))])
+    return x.Node(x.RUNEND, ptype, len(v), b"", [ctx.build("runend", 0, k.take(v, starts.tolist() if isinstance(v, list) else starts), ptype), ctx.build("runend", 1, starts[1:].astype(k.DTYPES[t]), t)])
 
 
 def build_sparse(v, ptype: str, ctx: Context, fill=None) -> x.Node:
@@ -122,8 +139,8 @@ def build_sparse(v, ptype: str, ctx: Context, fill=None) -> x.Node:
         return x.const(fill, len(v), ptype)
     t = k.uint_for(max(0, len(v) - 1))
     one = [fill] if ptype == "string" else np.array([fill], k.DTYPES[ptype])
-    head, values = plan(one, ptype, ctx.child("sparse", 0)), plan(k.take(v, at.tolist() if isinstance(v, list) else at), ptype, ctx.child("sparse", 2))
-    index = x.Node(x.SPARSE, ptype, len(v), b"", [head, plan(at.astype(k.DTYPES[t]), t, ctx.child("sparse", 1)), values])
+    head, values = ctx.build("sparse", 0, one, ptype), ctx.build("sparse", 2, k.take(v, at.tolist() if isinstance(v, list) else at), ptype)
+    index = x.Node(x.SPARSE, ptype, len(v), b"", [head, ctx.build("sparse", 1, at.astype(k.DTYPES[t]), t), values])
     bits = x.Node(x.SPARSE, ptype, len(v), x.bitmap(~same), [head, values], x.BITMAP)
     return bits if bits.size < index.size else index
 
@@ -132,7 +149,7 @@ def build_zigzag(v: np.ndarray, ptype: str, ctx: Context) -> x.Node:
     w = v.astype(np.int64)
     z = ((w << 1) ^ (w >> 63)).view(np.uint64)
     t = k.uint_for(int(z.max()) if len(z) else 0)
-    return x.Node(x.ZIGZAG, ptype, len(v), b"", [plan(z.astype(k.DTYPES[t]), t, ctx.child("zigzag", 0))])
+    return x.Node(x.ZIGZAG, ptype, len(v), b"", [ctx.build("zigzag", 0, z.astype(k.DTYPES[t]), t)])
 
 
 def build_for(v: np.ndarray, ptype: str, ctx: Context | None = None) -> x.Node:
@@ -147,7 +164,7 @@ def deltas(v: np.ndarray) -> np.ndarray:
 
 
 def build_delta(v: np.ndarray, ptype: str, ctx: Context) -> x.Node:
-    return x.Node(x.DELTA, ptype, len(v), v[:1].tobytes(), [plan(deltas(v), ptype, ctx.child("delta", 0))])
+    return x.Node(x.DELTA, ptype, len(v), v[:1].tobytes(), [ctx.build("delta", 0, deltas(v), ptype)])
 
 
 def build_alp(v: np.ndarray, ptype: str, ctx: Context) -> x.Node:
@@ -156,12 +173,12 @@ def build_alp(v: np.ndarray, ptype: str, ctx: Context) -> x.Node:
     wrong = np.flatnonzero(k.bits_of(k.alp_decode(enc, e, f, v.dtype)) != k.bits_of(v))
     if len(wrong) > len(v) // 2:
         raise NotApplicable
-    node = x.Node(x.ALP, ptype, len(v), bytes([e, f]), [plan(enc, "int32" if ptype == "float32" else "int64", ctx.child("alp", 0))])
+    node = x.Node(x.ALP, ptype, len(v), bytes([e, f]), [ctx.build("alp", 0, enc, "int32" if ptype == "float32" else "int64")])
     if len(wrong):
         t, over = k.uint_for(int(wrong[-1])), v[wrong]
         same = (k.bits_of(over) == k.bits_of(over)[0]).all()
         node.flags = x.PATCHED
-        node.parts += x.patches(0, plan(wrong.astype(k.DTYPES[t]), t, ctx.child("alp", 1)), x.const(over[0], len(over), ptype) if same else x.raw(over, ptype))
+        node.parts += x.patches(0, ctx.build("alp", 1, wrong.astype(k.DTYPES[t]), t), x.const(over[0], len(over), ptype) if same else x.raw(over, ptype))
     return node
 
 
@@ -182,7 +199,7 @@ def build_alprd(v: np.ndarray, ptype: str, ctx: Context) -> x.Node:
     if len(wrong):
         t = k.uint_for(int(wrong[-1]))
         node.flags = x.PATCHED
-        node.parts = x.patches(0, plan(wrong.astype(k.DTYPES[t]), t, ctx.child("alprd", 0)), x.raw(left[wrong], "uint16"))
+        node.parts = x.patches(0, ctx.build("alprd", 0, wrong.astype(k.DTYPES[t]), t), x.raw(left[wrong], "uint16"))
     return node
 
 
@@ -193,7 +210,7 @@ def build_fsst(v: list[bytes], ptype: str, ctx: Context) -> x.Node:
     a, b = k.uint_for(int(cuts[-1])), k.uint_for(int(lengths.max()) if len(lengths) else 0)
     packed, head = b"".join(codes), table.to_bytes()
     body = struct.pack("<I", len(head)) + head + struct.pack("<I", len(packed)) + packed
-    return x.Node(x.FSST, "string", len(v), body, [plan(cuts.astype(k.DTYPES[a]), a, ctx.child("fsst", 0)), plan(lengths.astype(k.DTYPES[b]), b, ctx.child("fsst", 1))])
+    return x.Node(x.FSST, "string", len(v), body, [ctx.build("fsst", 0, cuts.astype(k.DTYPES[a]), a), ctx.build("fsst", 1, lengths.astype(k.DTYPES[b]), b)])
 
 
 def build_bitpack(v: np.ndarray, ptype: str, ctx: Context) -> x.Node:
@@ -333,10 +350,9 @@ def plan(v, ptype: str, ctx: Context) -> x.Node:
 
 def compress(v, ptype: str, valid: np.ndarray | None = None, options: Options = Options(), trace: list | None = None) -> x.Node:
     """The tree of a page. Null rows hold zero or empty. ``trace`` collects (codec, kind, bytes, ratio) of candidates."""
-    ctx = Context(options.depth if options.depth > 0 else 3, options.exclude, trace=trace)
+    ctx = Context(options.depth if options.depth > 0 else 3, options.exclude, trace=trace, max_bytes=options.max_bytes)
     n = len(v)
-    if raw_size(v, ptype) > options.max_bytes:
-        raise MemoryError("the page is larger than the build limit")
+    within(v, ptype, options.max_bytes)
     if valid is None or valid.all():
         return plan(v, ptype, ctx)
     nulls = int(n - valid.sum())
