@@ -12,7 +12,8 @@ reached through Arrow's file systems.
 
 Cases: null html is an empty payload; of equal payloads of at least ``min_bytes`` bytes the least (page id, archive,
 place) is the response, null ids last, and the others revisit it; repeated rows are records of their own; null urls
-and line breaks in urls are made safe; an empty table gives an empty table. One record at a time is held in memory.
+and line breaks in urls are made safe; an empty table gives an empty table; a damaged archive fails the job, or with
+``salvage`` gives its whole leading records; headers that aren't UTF-8 are kept byte for byte. One record at a time is held in memory.
 """
 
 from __future__ import annotations
@@ -64,22 +65,31 @@ def _open(path: str):
 def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     """The bytes of one WARC record."""
     head = "".join(f"{k}: {v}\r\n" for k, v in [*headers, ("Content-Length", str(len(block)))])
-    return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
+    return b"WARC/1.1\r\n" + head.encode(errors="surrogateescape") + b"\r\n" + block + b"\r\n\r\n"
 
 
-def response(page_id: int | None, url: str | None, payload: bytes, sha: str, place: str) -> bytes:
+def record_id(archive: str, place: int) -> str:
+    """Of the record at a place of an archive, whose name is its own."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{archive.rpartition('/')[2]}#{place}')}>"
+
+
+def target(url: str | None) -> str:
+    return "".join(c if c > " " else f"%{ord(c):02X}" for c in url or "urn:unknown")
+
+
+def response(page_id: int | None, url: str | None, payload: bytes, sha: str, own_id: str) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     headers = [
-        ("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, place)}>"), ("WARC-Date", DATE),
-        ("WARC-Target-URI", "".join(c if c > " " else f"%{ord(c):02X}" for c in url or "urn:unknown")), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha1:{sha}"),
+        ("WARC-Type", "response"), ("WARC-Record-ID", own_id), ("WARC-Date", DATE),
+        ("WARC-Target-URI", target(url)), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha1:{sha}"),
     ]
     return record(headers + ([("X-Page-Id", str(page_id))] if page_id is not None else []), http + payload)
 
 
-def revisit(headers: list[tuple[str, str]], block: bytes, refers_to: int | None) -> bytes:
-    """A response record made a revisit: the HTTP header stays, with the full payload's length, the payload goes."""
+def revisit(headers: list[tuple[str, str]], block: bytes, refers_to: int | None, response_id: str, url: str | None) -> bytes:
+    """A response record made a revisit of another: the HTTP header stays, with the full payload's length, the payload goes."""
     gone = {"warc-type", "content-length"}
-    new = [("WARC-Type", "revisit"), ("WARC-Profile", PROFILE), *((k, v) for k, v in headers if k.lower() not in gone)]
+    new = [("WARC-Type", "revisit"), ("WARC-Profile", PROFILE), ("WARC-Refers-To", response_id), ("WARC-Refers-To-Target-URI", target(url)), ("WARC-Refers-To-Date", DATE), *((k, v) for k, v in headers if k.lower() not in gone)]
     return record(new + ([("X-Refers-To-Page-Id", str(refers_to))] if refers_to is not None else []), block[: block.index(b"\r\n\r\n") + 4])
 
 
@@ -102,7 +112,9 @@ class Inflater:
                 self.z = zlib.decompressobj(31)
                 data = self.z.decompress(rest, CHUNK)
             else:
-                data = self.z.decompress(self.z.unconsumed_tail or self.raw.read(CHUNK), CHUNK)
+                fed = self.z.unconsumed_tail or self.raw.read(CHUNK)
+                self.begun |= bool(fed)
+                data = self.z.decompress(fed, CHUNK)
                 if not data and not self.z.unconsumed_tail and not self.z.eof:
                     tail = self.raw.read(CHUNK)
                     if not tail and not self.begun:  # an empty file has no records
@@ -140,21 +152,32 @@ class Inflater:
         return out
 
 
-def records(raw: BinaryIO) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
-    """Headers and block of each record of a gzip WARC file."""
+def records(raw: BinaryIO, *, salvage: bool = False) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
+    """Headers and block of each record of a gzip WARC file. A damaged file fails; with ``salvage`` it gives its whole leading records."""
     src = Inflater(raw)
-    while (head := src.until(b"\r\n\r\n")) is not None:
-        lines = head.decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError("not a WARC record")
-        headers = [(k, v.strip()) for k, _, v in (x.partition(":") for x in lines[1:] if x)]
-        block = src.take(int(next(v for k, v in headers if k.lower() == "content-length")))
-        if src.take(4) != b"\r\n\r\n":
-            raise ValueError("a record's block has another length than its header says")
+    while True:
+        try:
+            head = src.until(b"\r\n\r\n")
+            if head is None:
+                return
+            lines = head.decode(errors="surrogateescape").split("\r\n")
+            if not lines[0].startswith("WARC/"):
+                raise ValueError("not a WARC record")
+            headers = [(k, v.strip()) for k, _, v in (x.partition(":") for x in lines[1:] if x)]
+            length = next((v for k, v in headers if k.lower() == "content-length"), None)
+            if length is None:
+                raise ValueError("a record has no length")
+            block = src.take(int(length))
+            if src.take(4) != b"\r\n\r\n":
+                raise ValueError("a record's block has another length than its header says")
+        except (ValueError, zlib.error) as e:
+            if salvage:
+                return
+            raise ValueError(str(e)) from e
         yield headers, block
 
 
-_MANIFEST = "archive string, place long, page_id long, payload_digest string, payload_bytes long"
+_MANIFEST = "archive string, place long, page_id long, payload_digest string, payload_bytes long, url string"
 
 
 def write_monolithic(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", level: int = LEVEL) -> DataFrame:
@@ -170,15 +193,15 @@ def write_monolithic(pages: DataFrame, folder: str, *, id_col: str = "page_id",
                     z, size, place = zlib.compressobj(level, wbits=31), 0, 0
                 payload = (html or "").encode()
                 sha = digest(payload)
-                data = response(page_id, url, payload, sha, f"{page_id}/{place}/{sha}")
+                data = response(page_id, url, payload, sha, record_id(path, place))
                 out.write(z.compress(data))
-                rows.append((path, place, page_id, sha, len(payload)))
+                rows.append((path, place, page_id, sha, len(payload), url))
                 size, place = size + len(data), place + 1
                 if size >= ARCHIVE_BYTES:
                     out.write(z.flush())
                     out.close()
                     out = None
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()), strict=True)], names=["archive", "place", "page_id", "payload_digest", "payload_bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()), strict=True)], names=["archive", "place", "page_id", "payload_digest", "payload_bytes", "url"])
         if out is not None:
             out.write(z.flush())
             out.close()
@@ -189,35 +212,37 @@ def write_monolithic(pages: DataFrame, folder: str, *, id_col: str = "page_id",
 
 def revisits(manifest: DataFrame, min_bytes: int = 0) -> DataFrame:
     """The manifest with ``refers_to`` and whether the record ``is_revisit``."""
-    order = F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("page"), F.col("archive").alias("a"), F.col("place").alias("p"))
+    order = F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("page"), F.col("archive").alias("a"), F.col("place").alias("p"), F.col("url").alias("u"))
     firsts = manifest.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("payload_digest", "first")
     marked = manifest.join(firsts, "payload_digest", "left")
     again = F.col("first").isNotNull() & (F.col("payload_bytes") >= min_bytes) & ~((F.col("first.a") == F.col("archive")) & (F.col("first.p") == F.col("place")))
-    return marked.select("archive", "place", again.alias("is_revisit"), F.when(again, F.col("first.page")).alias("refers_to"))
+    return marked.select("archive", "place", again.alias("is_revisit"), F.when(again, F.col("first.page")).alias("refers_to"), *(F.when(again, F.col(f"first.{c}")).alias(n) for c, n in (("a", "first_archive"), ("p", "first_place"), ("u", "first_url"))))
 
 
-def normalise(roles: DataFrame, folder: str, *, level: int = LEVEL) -> DataFrame:
+def normalise(roles: DataFrame, folder: str, *, level: int = LEVEL, salvage: bool = False) -> DataFrame:
     """Rewrite each archive named in ``roles`` record by record; a row per new archive: ``archive, sidecar, records``.
 
-    A group is the roles of one archive, bounded by the archive's size.
+    A group is the roles of one archive, bounded by the archive's size. A damaged archive fails the job; with ``salvage``
+    its whole leading records are rewritten.
     """
+    cells = ("place", "is_revisit", "refers_to", "first_archive", "first_place", "first_url")
 
     def run(group: pa.Table) -> pa.Table:
         source = group.column("archive")[0].as_py()
-        again = {p: r for p, v, r in zip(*(group.column(c).to_pylist() for c in ("place", "is_revisit", "refers_to")), strict=True) if v}
+        again = {p: (r, record_id(a, f), u) for p, v, r, a, f, u in zip(*(group.column(c).to_pylist() for c in cells), strict=True) if v}
         name = f"member-{uuid.uuid4().hex}.warc.gz"
         path, out = _create(folder, name)
         sidecar, index = _create(folder, f"{name}.idx")
         offset = n = 0
         with _open(source) as raw:
-            for place, (headers, block) in enumerate(records(raw)):
-                data = revisit(headers, block, again[place]) if place in again else record([h for h in headers if h[0].lower() != "content-length"], block)
+            for place, (headers, block) in enumerate(records(raw, salvage=salvage)):
+                data = revisit(headers, block, *again[place]) if place in again else record([h for h in headers if h[0].lower() != "content-length"], block)
                 z = zlib.compressobj(level, wbits=31)
                 member = z.compress(data) + z.flush()
                 out.write(member)
                 index.write((json.dumps({"offset": offset, "length": len(member)}) + "\n").encode())
                 offset, n = offset + len(member), n + 1
-        if n != group.num_rows:
+        if n != group.num_rows and not salvage:
             raise ValueError(f"{source} holds {n} records, its manifest {group.num_rows}")
         out.close()
         index.close()
@@ -232,7 +257,7 @@ def read_record(raw: BinaryIO, offset: int, length: int) -> tuple[dict[str, str]
     raw.seek(offset)
     data = zlib.decompress(raw.read(length), 31)
     head, _, rest = data.partition(b"\r\n\r\n")
-    headers = {k: v.strip() for k, _, v in (x.partition(":") for x in head.decode().split("\r\n")[1:])}
+    headers = {k: v.strip() for k, _, v in (x.partition(":") for x in head.decode(errors="surrogateescape").split("\r\n")[1:])}
     return headers, rest[: int(headers["Content-Length"])]
 
 

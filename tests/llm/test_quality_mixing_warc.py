@@ -178,3 +178,37 @@ def test_odd_pages(spark):
     assert sorted(by[None]) == [(0, "revisit", 2), (4, "revisit", 1)]
     assert {r.record_type for r in warc.normalised_pages(pages, min_bytes=5).where("payload_bytes < 5").collect()} == {"response"}
     assert warc.normalised_pages(pages.where("false")).count() == 0
+
+
+def test_damaged_archives_give_their_leading_records():
+    one = [warc.response(i, f"http://x/{i}", b"body %d " % i * 2000, "S" * 32, warc.record_id("a", i)) for i in range(6)]
+    data = gzip.compress(b"".join(one))
+    for cut in (len(data) - 3, len(data) // 2, 40, 3):
+        with pytest.raises(ValueError):
+            list(warc.records(io.BytesIO(data[:cut])))
+        got = [b for _, b in warc.records(io.BytesIO(data[:cut]), salvage=True)]
+        assert got == [x[x.index(b"\r\n\r\n") + 4 : -4] for x in one[: len(got)]] and len(got) < 6 + (cut == len(data) - 3)
+    odd = b"WARC/1.1\r\nX-Odd: \xff\xfe\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
+    headers, block = next(warc.records(io.BytesIO(gzip.compress(odd))))
+    assert warc.record([h for h in headers if h[0] != "Content-Length"], block) == odd
+    with pytest.raises(ValueError):
+        list(warc.records(io.BytesIO(gzip.compress(b"WARC/1.1\r\nX: 1\r\n\r\nhi\r\n\r\n"))))
+
+
+def test_revisits_name_their_response(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", "same" if i % 2 else f"own {i}") for i in range(12)] + [(3, "http://h/3", "same")] * 2, "page_id long, url string, html string").repartition(3)
+    raw, new = f"file://{tmp_path}/raw", f"file://{tmp_path}/new"
+    manifest = common.table(warc.write_monolithic(pages, raw), "t-manifest")
+    done = common.table(warc.normalise(warc.revisits(manifest), new), "t-archives").collect()
+    ids, revisits = {}, []
+    for r in done:
+        with open(r.archive.removeprefix("file://"), "rb") as f:
+            for headers, _ in warc.records(f):
+                h = dict(headers)
+                assert h["WARC-Record-ID"] not in ids
+                ids[h["WARC-Record-ID"]] = h
+                revisits += [h] * (h["WARC-Type"] == "revisit")
+    assert len(ids) == 14 and len(revisits) == 7
+    for h in revisits:
+        first = ids[h["WARC-Refers-To"]]
+        assert first["WARC-Type"] == "response" and first["X-Page-Id"] == h["X-Refers-To-Page-Id"] == "1" and h["WARC-Refers-To-Target-URI"] == first["WARC-Target-URI"]
