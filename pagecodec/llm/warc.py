@@ -249,7 +249,9 @@ def normalise(roles: DataFrame, folder: str, *, level: int = LEVEL, salvage: boo
         return pa.table({"archive": [path], "sidecar": [sidecar], "records": pa.array([n], pa.int64())})
 
     common.ship(roles.sparkSession)
-    return roles.groupBy("archive").applyInArrow(run, "archive string, sidecar string, records long")
+    # roles are small and archives aren't, so their partitions mustn't be put together by size
+    parts = int(roles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return roles.repartition(parts, "archive").groupBy("archive").applyInArrow(run, "archive string, sidecar string, records long")
 
 
 def read_record(raw: BinaryIO, offset: int, length: int) -> tuple[dict[str, str], bytes]:
