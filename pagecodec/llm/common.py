@@ -114,6 +114,8 @@ def broadcast_if(df: DataFrame, most: int) -> DataFrame:
 
 
 KEYS_TO_BROADCAST = 250_000
+#: Copies of a row that one task emits together.
+COPIES_AT_ONCE = 10_000
 
 
 def keyed(df: DataFrame, id_col: str) -> DataFrame:
@@ -127,7 +129,8 @@ def emit(rows: DataFrame, decisions: DataFrame) -> DataFrame:
     """Emit keyed ``rows`` as often as ``decisions`` say: ``key_id, key_hash, n`` (equal rows) and ``copies`` (of all n).
 
     Decisions that change nothing aren't joined; the others are broadcast only if few enough. Each key's decision is
-    one row, and equal rows (n over 1), if there are any, are reduced to one before they are repeated.
+    one row, and equal rows (n over 1), if there are any, are reduced to one before they are repeated, ``COPIES_AT_ONCE``
+    at a time over all partitions.
     """
     cells = [c for c in rows.columns if c not in ("key_id", "key_hash")]
     changed = table(decisions.where("copies <> 1 or n <> 1").select(F.col("key_id").alias("i"), F.col("key_hash").alias("h"), "n", "copies"), "decisions")
@@ -137,7 +140,9 @@ def emit(rows: DataFrame, decisions: DataFrame) -> DataFrame:
     several = changed.where("n > 1 and copies > 0")
     if several.limit(1).count():
         again = rows.join(broadcast_if(several, KEYS_TO_BROADCAST), rows["key_id"].eqNullSafe(several["i"]) & (rows["key_hash"] == several["h"]))
-        out = out.unionByName(again.dropDuplicates(["key_id", "key_hash"]).select(*out.columns))
+        blocks = again.dropDuplicates(["key_id", "key_hash"]).select(*out.columns).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("copies") - 1) / COPIES_AT_ONCE))))
+        dealt = blocks.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key_id", "key_hash", "block")
+        out = out.unionByName(dealt.withColumn("copies", F.least(F.lit(COPIES_AT_ONCE).cast("bigint"), F.col("copies") - F.col("block") * COPIES_AT_ONCE)).drop("block"))
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*cells)
 
 
