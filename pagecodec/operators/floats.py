@@ -55,28 +55,36 @@ def with_bits(p: DataFrame) -> DataFrame:
     return p.withColumn("bits", float_bits("v"))
 
 
-def alprd_costs(p: DataFrame) -> DataFrame:
-    """``page_id, cut, exceptions, cost``: cost in bits per value of each cut of 1 to 16 left bits."""
+def _alprd_lefts(p: DataFrame) -> DataFrame:
+    """``page_id, cut, left_part, c, r``: left parts of the page's sample by rank, for each cut of 1 to 16 left bits."""
     n = F.count(F.lit(1)).over(Window.partitionBy("page_id"))
     stride = F.when(F.col("n") > 1024, F.floor(F.col("n") / 1024)).otherwise(F.lit(1))
     s = with_bits(p.withColumn("n", n).where(F.col("pos") % stride == 0)).select("page_id", "bits")
     x = s.select("page_id", "bits", F.explode(F.sequence(F.lit(1), F.lit(16))).alias("cut")).withColumn("left_part", F.expr("shiftrightunsigned(bits, 64 - cut)"))
     g = x.groupBy("page_id", "cut", "left_part").agg(F.count(F.lit(1)).alias("c"))
-    order = Window.partitionBy("page_id", "cut").orderBy(F.desc("c"), "left_part")
-    g = g.withColumn("r", F.row_number().over(order))
-    y = g.groupBy("page_id", "cut").agg(F.sum("c").alias("samples"), F.sum(F.when(F.col("r") <= 8, F.col("c")).otherwise(0)).alias("kept"), F.least(F.max("r"), F.lit(8)).alias("k"))
+    return g.withColumn("r", F.row_number().over(Window.partitionBy("page_id", "cut").orderBy(F.desc("c"), "left_part")))
+
+
+def _alprd_cost(lefts: DataFrame) -> DataFrame:
+    y = lefts.groupBy("page_id", "cut").agg(F.sum("c").alias("samples"), F.sum(F.when(F.col("r") <= 8, F.col("c")).otherwise(0)).alias("kept"), F.least(F.max("r"), F.lit(8)).alias("k"), F.filter(F.collect_list(F.when(F.col("r") <= 8, F.struct("r", "left_part"))), lambda w: w.isNotNull()).alias("words"))
     left = F.greatest(F.lit(1), bit_length(F.col("k") - 1))
-    return y.select("page_id", "cut", (F.col("samples") - F.col("kept")).alias("exceptions"), (64 - F.col("cut") + left + 32 * (F.col("samples") - F.col("kept")) / F.col("samples")).alias("cost"))
+    return y.select("page_id", "cut", (F.col("samples") - F.col("kept")).alias("exceptions"), (64 - F.col("cut") + left + 32 * (F.col("samples") - F.col("kept")) / F.col("samples")).alias("cost"), "words")
+
+
+def alprd_costs(p: DataFrame) -> DataFrame:
+    """``page_id, cut, exceptions, cost``: cost in bits per value of each cut of 1 to 16 left bits."""
+    return _alprd_cost(_alprd_lefts(p)).drop("words")
 
 
 def alprd_encode(p: DataFrame) -> DataFrame:
-    """``page_id, pos, cut, code, left_part, right_part``: code is null at exceptions, which carry their left part."""
-    best = Window.partitionBy("page_id").orderBy("cost", "cut")
-    cuts = alprd_costs(p).withColumn("r", F.row_number().over(best)).where("r = 1").select("page_id", "cut")
-    x = with_bits(p).join(cuts, "page_id").select("page_id", "pos", "cut", F.expr("shiftrightunsigned(bits, 64 - cut)").alias("left_part"), F.expr("bits & (shiftleft(1L, 64 - cut) - 1)").alias("right_part"))
-    order = Window.partitionBy("page_id").orderBy(F.desc("c"), "left_part")
-    top = x.groupBy("page_id", "left_part").agg(F.count(F.lit(1)).alias("c")).withColumn("code", F.row_number().over(order) - 1).where("code < 8").select("page_id", "left_part", "code")
-    return x.join(top, ["page_id", "left_part"], "left").select("page_id", "pos", "cut", "code", "left_part", "right_part")
+    """``page_id, pos, cut, code, left_part, right_part``: code is null at exceptions, which carry their left part.
+
+    Cut and the eight left parts come from the page's sample, as in the binary pages; they are one row a page.
+    """
+    cuts = _alprd_cost(_alprd_lefts(p)).groupBy("page_id").agg(F.min_by(F.struct("cut", "words"), F.struct("cost", "cut")).alias("b")).select("page_id", "b.*")
+    x = with_bits(p).join(cuts, "page_id").select("page_id", "pos", "cut", "words", F.expr("shiftrightunsigned(bits, 64 - cut)").alias("left_part"), F.expr("bits & (shiftleft(1L, 64 - cut) - 1)").alias("right_part"))
+    hit = F.filter("words", lambda w: w["left_part"] == F.col("left_part"))
+    return x.select("page_id", "pos", "cut", (F.get(hit, F.lit(0))["r"] - 1).alias("code"), "left_part", "right_part")
 
 
 def alprd_decode(enc: DataFrame) -> DataFrame:

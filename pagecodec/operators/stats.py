@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import bit_length, wrapping_subtract
+from ..functions import bit_length, float_bits, wrapping_subtract
 from .paging import by_page, by_page_value
 
 #: Distinct values that a frequency map keeps; beyond it (or half the page) distinct counts as n.
@@ -46,19 +46,38 @@ def dominance(p: DataFrame) -> DataFrame:
     return distinct_stats(p).select("page_id", "n", "most_frequent", ((F.col("n") > 0) & (F.least("most_frequent", "n") >= F.col("n") - F.floor(F.col("n") / 10))).alias("dominant"))
 
 
-def page_profile(p: DataFrame, limit: int = MAP_LIMIT) -> DataFrame:
-    """``page_id, n, min_v, max_v, runs, is_sequence, distinct_v, base, step``: what estimates of integer pages need, by two sorts of one exchange and one aggregation."""
+def _profile(p: DataFrame, numbers: bool = True) -> DataFrame:
+    """One row per page by two sorts of one exchange and one aggregation; ``lo`` and ``hi``: the ends of the deltas."""
     before, own = F.lag("v").over(by_page()), by_page_value()
-    x = p.select("page_id", "pos", "v", before.alias("b"), (F.row_number().over(own.orderBy("pos")) == 1).alias("first"))
+    x = p.select("page_id", "pos", "v", before.alias("b"), F.row_number().over(own.orderBy("pos")).alias("nth"))
     change = F.when((F.col("pos") > 0) & F.col("v").eqNullSafe(F.col("b")), 0).otherwise(1)
-    x = x.select("page_id", "pos", "v", "first", change.alias("change"), wrapping_subtract(F.col("v"), F.col("b")).alias("d"))
-    x = x.groupBy("page_id").agg(
-        F.count(F.lit(1)).alias("n"), F.min("v").alias("min_v"), F.max("v").alias("max_v"), F.sum("change").cast("bigint").alias("runs"), F.count_if("first").alias("d"),
-        F.min("d").alias("lo"), F.max("d").alias("hi"), F.min_by("v", "pos").alias("base"),
+    d = wrapping_subtract(F.col("v"), F.col("b")) if numbers else F.lit(None).cast("bigint")
+    return x.select("page_id", "pos", "v", "nth", change.alias("change"), d.alias("d")).groupBy("page_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("min_v"), F.max("v").alias("max_v"), F.sum("change").cast("bigint").alias("runs"), F.count_if(F.col("nth") == 1).alias("d"),
+        F.max("nth").cast("bigint").alias("most"), F.min("d").alias("lo"), F.max("d").alias("hi"), F.min_by("v", "pos").alias("base"), F.sum(F.octet_length(F.col("v").cast("string"))).cast("bigint").alias("total_bytes"),
     )
+
+
+def page_profile(p: DataFrame, limit: int = MAP_LIMIT) -> DataFrame:
+    """``page_id, n, min_v, max_v, runs, is_sequence, distinct_v, most_frequent, base, step, d_min, d_max``: what estimates of integer pages need."""
     over = F.col("d") > F.greatest(F.lit(1), F.least(F.lit(limit), F.floor(F.col("n") / 2)))
     ok = F.coalesce((F.col("lo") == F.col("hi")) & (F.col("lo") != 0), F.lit(False))
-    return x.select("page_id", "n", "min_v", "max_v", "runs", ok.alias("is_sequence"), F.when(over, F.col("n")).otherwise(F.col("d")).cast("bigint").alias("distinct_v"), "base", F.col("lo").alias("step"))
+    return _profile(p).select(
+        "page_id", "n", "min_v", "max_v", "runs", ok.alias("is_sequence"), F.when(over, F.col("n")).otherwise(F.col("d")).cast("bigint").alias("distinct_v"),
+        F.when(over, 0).otherwise(F.col("most")).cast("bigint").alias("most_frequent"), "base", F.col("lo").alias("step"), F.col("lo").alias("d_min"), F.col("hi").alias("d_max"),
+    )
+
+
+def float_profile(p: DataFrame) -> DataFrame:
+    """``page_id, n, runs, distinct_v, most_frequent`` of a page of doubles, by their bits; no frequency beyond the map's limit."""
+    x = _profile(p.withColumn("v", float_bits("v")))
+    return x.select("page_id", "n", "runs", F.col("d").alias("distinct_v"), F.when(F.col("d") > MAP_LIMIT, 0).otherwise(F.col("most")).cast("bigint").alias("most_frequent"))
+
+
+def string_profile(p: DataFrame) -> DataFrame:
+    """``page_id, n, runs, distinct_v, most_frequent, total_bytes`` of a page of strings; n and 0 beyond the map's limit."""
+    over = F.col("d") > STRING_MAP_LIMIT
+    return _profile(p, numbers=False).select("page_id", "n", "runs", F.when(over, F.col("n")).otherwise(F.col("d")).alias("distinct_v"), F.when(over, 0).otherwise(F.col("most")).cast("bigint").alias("most_frequent"), "total_bytes")
 
 
 def null_count(p: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from ..functions import bit_length, packed_bytes, wrapping_subtract
 from ..operators import stats
 
 ARRAY, NODE = 20, 24
+#: The least page worth a sample, the least length and bytes of deltas and symbol tables, the dictionary's limit of doubles, delta's penalty and least ratio.
+MIN_RAW, LONG, FLOAT_DICT_LIMIT, DELTA_WORTH, DELTA_LEAST = 256, 1024, 8192, 0.95, 1.25
 #: Parent codec and child place to the codecs that the child may not use (besides the parent's own).
 EXCLUSIONS = {
     ("dict", 0): ("runend", "sparse"), ("dict", 1): ("for", "sequence", "zigzag", "delta"), ("runend", 1): ("dict", "sparse"), ("zigzag", 0): ("dict", "runend", "sparse"),
@@ -57,6 +59,76 @@ def scheme_estimates(p: DataFrame, width: int = 8, unsigned: bool = False) -> Da
     return stats.page_profile(p).select("page_id", F.explode(_candidates(width, unsigned)).alias("x")).select("page_id", "x.*")
 
 
+def string_raw_size(n: Column, total: Column) -> Column:
+    """Offsets of the narrowest width that holds the total, and the bytes."""
+    width = F.when(total <= 0xFF, 1).when(total <= 0xFFFF, 2).otherwise(4)
+    return (NODE + 24 + (n + 1) * width + total).cast("bigint")
+
+
+def _verdicts(profile: DataFrame, cells: list[tuple[str, str, Column]]) -> DataFrame:
+    found = [F.when(ok, F.struct(F.lit(codec).alias("codec"), F.lit(how).alias("verdict"))) for codec, how, ok in cells]
+    return profile.select("page_id", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("x")).select("page_id", "x.*")
+
+
+def _shared_cells(raw: Column) -> tuple[Column, list[tuple[str, str, Column]]]:
+    """Whether a page is worth a sample, and the candidates that every type has."""
+    n = F.col("n")
+    worth = raw >= MIN_RAW
+    return worth, [("runend", "sample", worth & (n >= 4 * F.col("runs"))), ("sparse", "sample", worth & (n > 0) & (F.least("most_frequent", "n") >= n - F.floor(n / 10)))]
+
+
+def integer_verdicts(p: DataFrame, width: int = 8, unsigned: bool = False) -> DataFrame:
+    """``page_id, codec, verdict`` of the candidates that need more than statistics: encode the page's sample, or scan its deltas.
+
+    Delta is deferred where even residuals of one bit would be worth its slower decoding.
+    """
+    worth, cells = _shared_cells(raw_size(F.col("n"), width))
+    if not unsigned:
+        cells.append(("zigzag", "sample", worth & (F.col("min_v") < 0)))
+    best = DELTA_WORTH * raw_size(F.col("n"), width) / _delta_bytes(F.lit(1), width, F.lit(not unsigned))
+    cells += [("dict", "sample", worth & (F.col("most_frequent") == 0)), ("delta", "deferred", (F.col("n") >= LONG) & ~F.col("is_sequence") & (best > DELTA_LEAST))]
+    return _verdicts(stats.page_profile(p), cells)
+
+
+def _delta_bytes(bits: Column, width: int, framed: Column) -> Column:
+    return F.lit(NODE + width + NODE + 1) + packed_bytes(F.col("n") - 1, bits) + F.when(framed, NODE + width).otherwise(0)
+
+
+def delta_estimate(p: DataFrame, width: int = 8, unsigned: bool = False) -> DataFrame:
+    """``page_id, after_bytes, ratio`` of the pages whose deltas, framed and packed, are worth it: a ratio over 1.25 after a penalty of a twentieth."""
+    bits = bit_length(wrapping_subtract(F.col("d_max"), F.col("d_min")))
+    after = _delta_bytes(bits, width, F.lit(True) if not unsigned else F.col("d_min") != 0)
+    x = stats.page_profile(p).where((F.col("n") >= LONG) & (F.col("d_min") != F.col("d_max"))).select("page_id", raw_size(F.col("n"), width).alias("raw_bytes"), after.cast("bigint").alias("after_bytes"))
+    return x.select("page_id", "after_bytes", (F.col("raw_bytes") / F.col("after_bytes") * DELTA_WORTH).alias("ratio")).where(F.col("ratio") > DELTA_LEAST)
+
+
+def float_verdicts(p: DataFrame) -> DataFrame:
+    """``page_id, codec, verdict`` of pages of doubles; both decimal and split-bits codecs are skipped where few values repeat often."""
+    n, d = F.col("n"), F.col("distinct_v")
+    worth, cells = _shared_cells(raw_size(n, 8))
+    scaled = worth & (F.col("runs") > 1) & ~((d >= 2) & (d <= FLOAT_DICT_LIMIT) & (16 * d <= n))
+    deferred = (d > 1) & (d <= FLOAT_DICT_LIMIT) & (d <= F.floor(n / 2)) & (_float_dict_bits() < 64 * n)
+    return _verdicts(stats.float_profile(p), [*cells, ("alp", "sample", scaled), ("alprd", "sample", scaled), ("dict", "deferred", deferred)])
+
+
+def _float_dict_bits() -> Column:
+    return 64 * F.col("distinct_v") + bit_length(F.col("distinct_v") - 1) * F.col("n")
+
+
+def float_dict_estimate(p: DataFrame) -> DataFrame:
+    """``page_id, after_bits, ratio`` of the pages of doubles for which a dictionary is smaller than the values."""
+    d, n = F.col("distinct_v"), F.col("n")
+    ok = (d > 1) & (d <= FLOAT_DICT_LIMIT) & (d <= F.floor(n / 2)) & (_float_dict_bits() < 64 * n)
+    return stats.float_profile(p).where(ok).select("page_id", _float_dict_bits().cast("bigint").alias("after_bits"), (64 * n / _float_dict_bits()).alias("ratio"))
+
+
+def string_verdicts(p: DataFrame) -> DataFrame:
+    """``page_id, codec, verdict`` of pages of strings: all by sample; a symbol table only for long pages."""
+    n, total = F.col("n"), F.col("total_bytes")
+    worth, cells = _shared_cells(string_raw_size(n, total))
+    return _verdicts(stats.string_profile(p), [*cells, ("dict", "sample", worth & (F.col("distinct_v") <= F.floor(n / 2))), ("fsst", "sample", worth & (n >= LONG) & (total >= LONG))])
+
+
 def raw_fallback(p: DataFrame, width: int = 8) -> DataFrame:
     """The least immediate estimate of each page, or raw if none is below it."""
     order = F.transform(_candidates(width, False), lambda x: F.struct(x["after_bytes"], x["cand_idx"], x["codec"]))

@@ -135,6 +135,7 @@ add("roundtrip_delta_extremes", lambda p: c.delta_decode(c.delta_encode(p)), EXT
 add("roundtrip_for_extremes", lambda p: c.for_decode(c.for_encode(p)), EXTREME, SAME)
 add("roundtrip_zigzag_extremes", lambda p: c.zigzag_decode(c.zigzag_encode(p)), EXTREME, SAME)
 add("bsi_equals_many_values", lambda p: c.bsi_equals(*c.dict_encode(p), F.lit(103), 3), PART, " select page_id, pos from p where v = 103")
+RARE_PART = "case when l_quantity = 50 and l_discount < 0.05 then l_partkey % 200 else 7 end"
 BY_FLAG = ["l_returnflag", *ORDERS["lineitem"][1]]
 FLAG = "case l_returnflag when 'A' then 1 when 'N' then 2 else 3 end"
 ENC_RUNS = RUNS + ", y as (select *, sum(ch) over (partition by page_id order by pos) - 1 as run from x), r as (select page_id, run::bigint as run, min_by(v, pos) as v, min(pos) as run_start, max(pos) + 1 as run_end from y group by page_id, run)"
@@ -169,8 +170,16 @@ add("alp_exponents", floats.alp_exponents, "l_extendedprice", _ALP + " select pa
 add("alp_encode", lambda p: floats.alp_encode(p).select("page_id", "pos", "e", "f", "enc"), "l_extendedprice", _ALP + _ALP_ROWS + " select page_id, pos, e, f, enc from z")
 add("alp_exceptions", lambda p: floats.alp_encode(p).where("patch is not null").select("page_id", "pos", F.col("patch").alias("v")), "l_tax", _ALP + _ALP_ROWS + " select page_id, pos, v from z where coalesce(enc::double * ne * pf <> v, true)")
 add("roundtrip_alp", lambda p: floats.alp_decode(floats.alp_encode(p)), "l_discount", SAME)
-add("alprd_cut_cost", floats.alprd_costs, "l_extendedprice * 1.000000001", None)
-add("alprd_encode", floats.alprd_encode, "l_extendedprice * 1.000000001", None)
+_RD = """, w as (select page_id, pos, v::bit::varchar as bits, count(*) over (partition by page_id) as n from p), c as (select unnest(range(1, 17)) as cut),
+t as (select page_id, cut, substr(bits, 1, cut::bigint) as l, count(*) as c from w, c where pos % (case when n > 1024 then n // 1024 else 1 end) = 0 group by all),
+r as (select *, row_number() over (partition by page_id, cut order by c desc, l) as r from t),
+k as (select page_id, cut, sum(c) as samples, sum(c) filter (r <= 8) as kept, least(max(r), 8) as k from r group by all),
+costs as (select page_id, cut::int as cut, (samples - kept)::bigint as exceptions, 64 - cut + (case when k <= 2 then 1 when k <= 4 then 2 else 3 end) + (32 * (samples - kept))::double / samples::double as cost from k)"""
+_RD_ROWS = """, b as (select page_id, cut from costs qualify row_number() over (partition by page_id order by cost, cut) = 1)
+select w.page_id, pos, b.cut, (r - 1)::int as code, lpad(substr(bits, 1, b.cut), 64, '0')::bit::bigint as left_part, lpad(substr(bits, b.cut + 1), 64, '0')::bit::bigint as right_part
+from w join b using (page_id) left join r on r.page_id = w.page_id and r.cut = b.cut and r.l = substr(bits, 1, b.cut) and r.r <= 8"""
+add("alprd_cut_cost", floats.alprd_costs, "l_extendedprice * 1.000000001", _RD + " select * from costs")
+add("alprd_encode", floats.alprd_encode, "l_extendedprice * 1.000000001", _RD + _RD_ROWS)
 add("roundtrip_alprd", lambda p: floats.alprd_decode(floats.alprd_encode(p)), "l_extendedprice", SAME)
 
 # -- planner ---------------------------------------------------------------------------------------------------------
@@ -184,12 +193,38 @@ union all select page_id, 2, 'for', 57 + (n * rw + 7) // 8 from e where rw > 0 a
 union all select page_id, 4, 'dict', case when 44 + 8 * n < 256 then 24 + least(40, 44 + d * 8) + 25 + (n * cb + 7) // 8 else (64 * d + (case when n >= 4 * runs then least(cb * n, (cb + 32) * runs) else cb * n end) + 7) // 8 end from e where d > 1 and d <= n // 2)"""
 add("scheme_estimates", est.scheme_estimates, LINENO, _EST + " select page_id, cand_idx, codec, after_bytes::bigint as after_bytes from cand")
 add("raw_fallback", est.raw_fallback, LINENO, _EST + ", b as (select * from cand qualify row_number() over (partition by page_id order by after_bytes, cand_idx, codec) = 1) select i.page_id, case when after_bytes < 44 + 8 * n then codec else 'raw' end as codec, (case when after_bytes < 44 + 8 * n then after_bytes else 44 + 8 * n end)::bigint as bytes from i left join b using (page_id)")
+_UNSIGNED = DISTINCT + SEQ + RUNS + f""", i as (select page_id, count(*) as n, {BITS('(max(v) - min(v))')} as rw, {BITS('max(v)')} as bl, min(v) as low, sum(ch) as runs from x group by page_id),
+e as (select i.page_id, i.n, rw, bl, low, runs, coalesce(lo = hi and lo <> 0, false) as sq, distinct_v as d, {BITS('(distinct_v - 1)')} as cb from i join s using (page_id) join q using (page_id)),
+cand as (select page_id, 0 as cand_idx, 'const' as codec, 48::bigint as after_bytes from e where runs = 1
+union all select page_id, 1, 'sequence', 32 from e where sq
+union all select page_id, 2, 'for', 53 + (n * rw + 7) // 8 from e where rw > 0 and rw < 32 and low <> 0 and rw < bl
+union all select page_id, 4, 'dict', case when 44 + 4 * n < 256 then 24 + least(32, 44 + d * 4) + 25 + (n * cb + 7) // 8 else (32 * d + (case when n >= 4 * runs then least(cb * n, (cb + 32) * runs) else cb * n end) + 7) // 8 end from e where d > 1 and d <= n // 2
+union all select page_id, 7, 'bitpack', 25 + (n * bl + 7) // 8 from e where 25 + (n * bl + 7) // 8 < 44 + 4 * n)"""
+add("scheme_estimates_uint32", lambda p: est.scheme_estimates(p, 4, unsigned=True), "l_orderkey", _UNSIGNED + " select page_id, cand_idx, codec, after_bytes::bigint as after_bytes from cand")
+_INT_FACTS = DISTINCT + SEQ + RUNS + ", i as (select page_id, sum(ch) as runs, min(v) as low from x group by page_id), e as (select page_id, s.n, 44 + 8 * s.n as raw, runs, most_frequent as most, low, coalesce(lo = hi and lo <> 0, false) as sq, lo, hi from s join i using (page_id) join q using (page_id))"
+_SHARED_VERDICTS = "select page_id, 'runend' as codec, 'sample' as verdict from e where raw >= 256 and n >= 4 * runs union all select page_id, 'sparse', 'sample' from e where raw >= 256 and least(most, n) >= n - n // 10"
+_INT_VERDICTS = _INT_FACTS + f" {_SHARED_VERDICTS} union all select page_id, 'zigzag', 'sample' from e where raw >= 256 and low < 0 union all select page_id, 'dict', 'sample' from e where raw >= 256 and most = 0 union all select page_id, 'delta', 'deferred' from e where n >= 1024 and not sq and 0.95::double * raw / (89 + (n - 1 + 7) // 8) > 1.25"
+add("estimate_verdicts_int", est.integer_verdicts, SIGNED, _INT_VERDICTS)
+add("estimate_verdicts_sparse", est.integer_verdicts, RARE_PART, _INT_VERDICTS)
+add("estimate_verdicts_runs", est.integer_verdicts, f"cast({FLAG} as bigint)", _INT_VERDICTS, order=BY_FLAG)
+add("delta_estimate", est.delta_estimate, "l_orderkey", _INT_FACTS + f", w as (select page_id, raw, (89 + ((n - 1) * {BITS('(hi - lo)')} + 7) // 8)::bigint as after_bytes from e where n >= 1024 and lo <> hi) select page_id, after_bytes, raw::double / after_bytes::double * 0.95::double as ratio from w where raw::double / after_bytes::double * 0.95::double > 1.25::double")
+_FLOAT_FACTS = ", g as (select page_id, v, count(*) as c from p group by page_id, v), d as (select page_id, sum(c)::bigint as n, count(*) as d, max(c) as most from g group by page_id)" + RUNS + f", i as (select page_id, sum(ch) as runs from x group by page_id), e as (select page_id, n, 44 + 8 * n as raw, runs, d, case when d > 256 then 0 else most end as most, (64 * d + {BITS('(d - 1)')} * n)::bigint as after_bits from d join i using (page_id))"
+_FLOAT_DICT = "d > 1 and d <= 8192 and d <= n // 2 and after_bits < 64 * n"
+_FLOAT_VERDICTS = _FLOAT_FACTS + f" {_SHARED_VERDICTS} union all select page_id, unnest(['alp', 'alprd']), 'sample' from e where raw >= 256 and runs > 1 and not (d >= 2 and d <= 8192 and 16 * d <= n) union all select page_id, 'dict', 'deferred' from e where {_FLOAT_DICT}"
+add("estimate_verdicts_float", est.float_verdicts, "l_extendedprice", _FLOAT_VERDICTS)
+add("estimate_verdicts_float_few", est.float_verdicts, "l_discount", _FLOAT_VERDICTS)
+add("float_dict_estimate", est.float_dict_estimate, "l_discount", _FLOAT_FACTS + f" select page_id, after_bits, (64 * n)::double / after_bits::double as ratio from e where {_FLOAT_DICT}")
+_STRING_FACTS = RUNS + ", g as (select page_id, v, count(*) as c from p group by page_id, v), d as (select page_id, sum(c)::bigint as n, count(*) as d, max(c) as most from g group by page_id), i as (select page_id, sum(ch) as runs, sum(strlen(v)) as total from x group by page_id), e as (select page_id, n, runs, total, 48 + (n + 1) * (case when total <= 255 then 1 when total <= 65535 then 2 else 4 end) + total as raw, case when d > 4096 then n else d end as d, case when d > 4096 then 0 else most end as most from d join i using (page_id))"
+_STRING_VERDICTS = _STRING_FACTS + f" {_SHARED_VERDICTS} union all select page_id, 'dict', 'sample' from e where raw >= 256 and d <= n // 2 union all select page_id, 'fsst', 'sample' from e where raw >= 256 and n >= 1024 and total >= 1024"
+add("estimate_verdicts_string", est.string_verdicts, "l_returnflag", _STRING_VERDICTS)
+add("estimate_verdicts_props", est.string_verdicts, "props", _STRING_VERDICTS, "events")
+add("raw_size_string", lambda p: stats.string_profile(p).select("page_id", est.string_raw_size(F.col("n"), F.col("total_bytes")).alias("raw_bytes")), "props", _STRING_FACTS + " select page_id, raw::bigint as raw_bytes from e", "events")
 QUERIES["exclusions"] = lambda spark, sf_dir: est.exclusions(spark)
 ORACLES["exclusions"] = "select * from (values " + ", ".join(f"('{p}', {i}::int, '{x}')" for (p, i), xs in est.EXCLUSIONS.items() for x in xs) + ") t(parent, child_idx, excluded)"
 
 # -- binary pages ----------------------------------------------------------------------------------------------------
 from ..sources import pages as sealed  # noqa: E402
-from ..wire import nodes  # noqa: E402
+from ..wire import nodes, planner  # noqa: E402
 from . import report  # noqa: E402
 
 RARE = "case when l_quantity = 50 and l_discount < 0.05 then l_partkey * 1000003 else 7 end"
@@ -206,7 +241,21 @@ def compression_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.compression_report(compressed(spark, sf_dir))
 
 
-add("page_write", lambda p: sealed.seal(p).drop("blob"), PART, None)
+#: What a page of part keys or line numbers becomes: a frame around packed bits, as no estimate is above its ratio.
+_FRAME = f", s as (select page_id, count(*) as n, min(v) as low, max(v) as high, {BITS('(max(v) - min(v))')} as rw from p group by page_id)"
+add("page_write", lambda p: sealed.seal(p).drop("blob"), PART, _FRAME + " select page_id, 'int64' as ptype, n as n_rows, 0::bigint as null_count, 'for' as root_codec, 'for(bitpack)' as tree, 44 + 8 * n as raw_bytes, (57 + (n * rw + 7) // 8)::bigint as encoded_bytes, 16 * n as decoded_bytes, low as min_v, high as max_v from s")
+
+
+def _offsets(windows: int = planner.MIN_WINDOWS) -> str:
+    """The generator's first numbers, of which each window takes one: pages of up to 100,000 rows have 16."""
+    state, out = planner.SEED, []
+    for i in range(windows):
+        state = (state * planner.MUL + planner.INC) % 2**64
+        out.append(f"({i}, {state >> 33}::bigint)")
+    return ", ".join(out)
+
+
+_OFFSETS = _offsets()
 add("page_load", lambda p: sealed.load(sealed.seal(p), "int64", "bigint"), PART, SAME)
 add("page_load_nullable", lambda p: sealed.load(sealed.seal(p), "int64", "bigint"), MANY_NULLS, SAME)
 add("page_load_float", lambda p: sealed.load(sealed.seal(p), "float64", "double"), "l_extendedprice", SAME)
@@ -224,11 +273,14 @@ add("page_bounds", lambda p: sealed.seal(p).select("page_id", "ptype", "n_rows",
 add("page_header_scan", lambda p: sealed.headers(sealed.seal(p)).select("page_id", "version", "ptype", "n_rows"), PART, " select page_id, 1::bigint as version, 'int64' as ptype, count(*) as n_rows from p group by page_id")
 add("page_load_prefix", lambda p: sealed.load_prefixes(sealed.join_blobs(sealed.seal(p), sealed.seal(p)), ["int64", "int64"]).select("page_id", "part", "row_count"), PART, ", c as (select page_id, count(*) as row_count from p group by page_id) select page_id, part::bigint as part, row_count from c, (values (0), (1)) t(part)")
 add("read_limits", lambda p: sealed.check(sealed.seal(p), "int64", nodes.Limits(max_length=10)).select("page_id", F.col("error").isNotNull().alias("refused")), PART, " select page_id, count(*) > 10 as refused from p group by page_id")
-add("decoded_bytes", lambda p: sealed.seal(p).select("page_id", "decoded_bytes"), PART, None)
+add("decoded_bytes", lambda p: sealed.seal(p).select("page_id", "decoded_bytes"), PART, " select page_id, 16 * count(*) as decoded_bytes from p group by page_id")
 add("roundtrip_fsst", lambda p: sealed.load(sealed.seal(p, options=_only("fsst")), "string", "string"), "text", SAME, "documents")
-add("choose_scheme", lambda p: sealed.seal(p).select("page_id", "root_codec", "tree", "encoded_bytes"), LINENO, None)
+add("choose_scheme", lambda p: sealed.seal(p).select("page_id", "root_codec", "tree", "encoded_bytes"), LINENO, _FRAME + " select page_id, 'for' as root_codec, 'for(bitpack)' as tree, (57 + (n * rw + 7) // 8)::bigint as encoded_bytes from s")
 add("explain_selection", report.explain_selection, "l_extendedprice", None)
-add("sample_rows", report.sample_rows, PART, None)
+add("sample_rows", report.sample_rows, PART, f""", st(i, r) as (values {_OFFSETS}), w as (select *, count(*) over (partition by page_id) as n from p),
+l as (select distinct page_id, n from w), o as (select page_id, n, i * (n // 16) + least(i, n % 16) as low, n // 16 + (case when i < n % 16 then 1 else 0 end) as size, r from l, st),
+x as (select page_id, low + r % (size - least(size, 64) + 1) as s, least(size, 64) as take from o where n > 1024)
+select page_id, pos, v from w where n <= 1024 union all select w.page_id, pos, v from w join x on w.page_id = x.page_id and pos >= s and pos < s + take""")
 add("sampled_ratio", lambda p: report.explain_selection(p).where("kind = 'sample'").select("page_id", "codec", "bytes", "ratio"), "l_extendedprice", None)
 QUERIES["ptype_map"] = lambda spark, sf_dir: report.ptype_map(spark)
 ORACLES["ptype_map"] = "select * from (values " + ", ".join(f"({k}::int, '{n}', {w}::int, '{ptype_class(n)}')" for k, (n, w) in PTYPES.items()) + ") t(code, name, width, class)"
