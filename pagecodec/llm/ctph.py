@@ -174,14 +174,24 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield page(rows)
 
 
-def edited_neighbours(df: DataFrame, *, ranges_per_task: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints of each document and of its text edited with the next one's, and their likeness."""
+#: UTF-8 bytes of text that a range is meant to hold; the most ranges that bytes ask for, beyond which ranges grow; the
+#: ranks that the search for cuts keeps at most.
+RANGE_BYTES, MOST_RANGES, MOST_RANKS = 32 << 20, 65_536, 1_000_000
+
+
+def edited_neighbours(df: DataFrame, *, ranges_per_task: int = 4, range_bytes: int = RANGE_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Fingerprints of each document and of its text edited with the next one's, and their likeness.
+
+    There are at least ``ranges_per_task`` ranges for each of the session's shuffle partitions, and more where the
+    texts would fill them with over ``range_bytes`` on average (up to ``MOST_RANGES``); a task gets about
+    ``ranges_per_task`` of them, so up to 2 TB of texts what it reads doesn't grow with the table.
+    """
     src = common.pick(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    ids = src.select("doc_id").where("doc_id is not null")
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-total // (range_bytes * ranges_per_task)), MOST_RANGES // ranges_per_task))
     n = parts * ranges_per_task
-    # the cuts are ids of the table, one per range: their number follows the partitions, not the rows
-    found = ids.agg(F.max("doc_id").alias("top"), F.percentile_approx("doc_id", [k / n for k in range(1, n)], 50 * n).alias("cuts")).first()
+    # the cuts are ids of the table, one per range
+    found = src.where("doc_id is not null").agg(F.max("doc_id").alias("top"), F.percentile_approx("doc_id", [k / n for k in range(1, n)], min(50 * n, MOST_RANKS)).alias("cuts")).first()
     cuts = [c for c in sorted(set(found.cuts or [])) if c != found.top]
     top = found.top
 

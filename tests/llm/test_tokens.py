@@ -244,3 +244,12 @@ def test_fingerprints_of_odd_documents(spark, odd, none):
     want = brute_neighbours([(r.doc_id, r.text) for r in ids.collect()])
     rounded = lambda rows: sorted((*r[:5], round(r[5], 9), round(r[6], 9)) for r in rows)
     assert rounded(ctph.edited_neighbours(ids).collect()) == rounded(want)
+    assert rounded(ctph.edited_neighbours(ids, range_bytes=10).collect()) == rounded(want)
+
+
+def test_ranges_follow_the_bytes(spark):
+    ids = spark.createDataFrame([(i, "word " * 40) for i in range(300)], "doc_id long, text string")
+    few = ctph.edited_neighbours(ids).rdd.getNumPartitions()
+    many = ctph.edited_neighbours(ids, range_bytes=500)
+    assert many.rdd.getNumPartitions() == 300 * 200 // (500 * 4) > few
+    assert many.count() == 300
