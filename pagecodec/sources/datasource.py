@@ -1,24 +1,34 @@
-"""A Python data source over stored pages: ``spark.read.format("pagecodec")``.
+"""A Python data source over stored pages: ``spark.read.format("pagecodec")`` and ``df.write.format("pagecodec")``.
 
 Options: ``path`` (a folder of sealed pages in Parquet), ``ptype`` and ``spark_type`` of the column. Filters on
 ``page_id`` (=, >, >=, <, <=, IN) are pushed to the scan, so refused pages are neither read nor decoded. Those on ``v`` of
 integer columns refuse pages by their least and greatest value; Spark tests the rows of the others. Each Parquet file
 is one partition. ``max_length, max_bytes, max_decoded, max_depth, max_work`` set the limits of reading.
+
+Writing takes ``page_id, pos, v`` as ``pages.in_order`` gives them: each page whole in one task, rows in order from 0.
+Anything else is refused, for a page over two tasks would be two pages. A task seals a page as soon as the next
+one begins, so it holds one page. Files get their names when the whole write is committed; those of failed attempts
+begin with an underscore, which readers leave out.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from dataclasses import fields
+from dataclasses import dataclass, fields
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.dataset as ds
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
+from ..functions import ptype_of
 from ..wire import nodes
-from .pages import to_arrow
+from .pages import seal_page, to_arrow
 
 
 class File(InputPartition):
@@ -67,6 +77,78 @@ class PageReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([pa.array([page_id] * len(values), pa.int64()), pa.array(range(len(values)), pa.int64()), to_arrow(values, valid, to_arrow_type(self.schema["v"].dataType))], names=["page_id", "pos", "v"])
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    """The file of a task; None if it had no rows."""
+
+    name: str | None
+
+
+def _place(path: str) -> tuple[fs.FileSystem, str]:
+    found, inner = fs.FileSystem.from_uri(path)
+    return found, inner.rstrip("/")
+
+
+def whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.ChunkedArray]]:
+    """Pages of a task's rows; refuses rows out of order and pages that begin or go on elsewhere."""
+    current, held, n = None, [], 0
+    for b in batches:
+        if b.column("page_id").null_count or b.column("pos").null_count:
+            raise ValueError("page_id and pos must not be null")
+        ids, pos = b.column("page_id").to_numpy(), b.column("pos").to_numpy()
+        cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)] if len(ids) else [0]
+        for a, e in zip(cuts, cuts[1:], strict=False):
+            page = int(ids[a])
+            if page != current:
+                if current is not None and page < current:
+                    raise ValueError("pages must be in order; see pages.in_order")
+                if held:
+                    yield current, pa.chunked_array(held)
+                current, held, n = page, [], 0
+            if (pos[a:e] != np.arange(n, n + e - a)).any():
+                raise ValueError(f"rows of page {page} must be whole in one task and in order; see pages.in_order")
+            held.append(b.column("v").slice(a, e - a))
+            n += e - a
+    if held:
+        yield current, pa.chunked_array(held)
+
+
+class PageWriter(DataSourceArrowWriter):
+    def __init__(self, options: dict, schema, overwrite: bool):
+        self.path, self.overwrite, self.ptype = options["path"], overwrite, options.get("ptype") or ptype_of(schema["v"].dataType)
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        store, folder = _place(self.path)
+        name, out = uuid.uuid4().hex + ".parquet", None
+        try:
+            for page_id, column in whole_pages(iterator):
+                row = seal_page(page_id, column, self.ptype)
+                if out is None:
+                    store.create_dir(folder, recursive=True)
+                    out = pq.ParquetWriter(f"{folder}/_{name}", row.schema, filesystem=store)
+                out.write_table(row)
+        finally:
+            if out is not None:
+                out.close()
+        return Written(name if out is not None else None)
+
+    def commit(self, messages: list) -> None:
+        store, folder = _place(self.path)
+        store.create_dir(folder, recursive=True)
+        old = [f.path for f in store.get_file_info(fs.FileSelector(folder)) if f.base_name.endswith(".parquet") and not f.base_name.startswith("_")] if self.overwrite else []
+        for m in messages:
+            if m is not None and m.name:
+                store.move(f"{folder}/_{m.name}", f"{folder}/{m.name}")
+        for f in old:
+            store.delete_file(f)
+
+    def abort(self, messages: list) -> None:
+        store, folder = _place(self.path)
+        for m in messages:
+            if m is not None and m.name:
+                store.delete_file(f"{folder}/_{m.name}")
+
+
 class PageSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -78,6 +160,9 @@ class PageSource(DataSource):
     def reader(self, schema) -> PageReader:
         return PageReader(self.options, schema)
 
+    def writer(self, schema, overwrite: bool) -> PageWriter:
+        return PageWriter(self.options, schema, overwrite)
+
 
 def register(spark: SparkSession) -> None:
     """Make the format known to the session, with filter push-down."""

@@ -47,24 +47,33 @@ def bounds(values, valid: np.ndarray | None, ptype: str) -> tuple[int | None, in
     return (low, high) if high is None or high < 1 << 63 else (None, None)
 
 
+def seal_page(page_id: int, column: pa.ChunkedArray | pa.Array, kind: str, options: planner.Options = planner.Options()) -> pa.Table:
+    """One page, its rows in order, as a row of ``SEALED``."""
+    values, valid = to_arrays(column, kind)
+    node = planner.compress(values, kind, valid, options)
+    low, high = bounds(values, valid, kind)
+    return pa.table({
+        "page_id": pa.array([page_id], pa.int64()), "ptype": [kind], "n_rows": pa.array([node.n]), "null_count": pa.array([0 if valid is None else int((~valid).sum())]), "root_codec": [nodes.NAMES[node.codec]], "tree": [node.tree],
+        "raw_bytes": pa.array([planner.raw_size(values, kind)]), "encoded_bytes": pa.array([node.size]), "decoded_bytes": pa.array([node.decoded_bytes]), "min_v": pa.array([low], pa.int64()), "max_v": pa.array([high], pa.int64()), "blob": pa.array([node.to_bytes()], pa.binary()),
+    })
+
+
 def seal(p: DataFrame, ptype: str | None = None, options: planner.Options = planner.Options()) -> DataFrame:
     """Each page of ``page_id, pos, v`` as one row of ``SEALED``."""
     kind = ptype or ptype_of(p.schema["v"].dataType)
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("pos")
-        values, valid = to_arrays(group.column("v"), kind)
-        node = planner.compress(values, kind, valid, options)
-        low, high = bounds(values, valid, kind)
-        return pa.table({
-            "page_id": group.column("page_id")[:1], "ptype": [kind], "n_rows": pa.array([node.n]), "null_count": pa.array([0 if valid is None else int((~valid).sum())]), "root_codec": [nodes.NAMES[node.codec]], "tree": [node.tree],
-            "raw_bytes": pa.array([planner.raw_size(values, kind)]), "encoded_bytes": pa.array([node.size]), "decoded_bytes": pa.array([node.decoded_bytes]), "min_v": pa.array([low], pa.int64()), "max_v": pa.array([high], pa.int64()), "blob": pa.array([node.to_bytes()], pa.binary()),
-        })
+        return seal_page(group.column("page_id")[0].as_py(), group.sort_by("pos").column("v"), kind, options)
 
     shipping.ship(p.sparkSession)
     return p.groupBy("page_id").applyInArrow(run, SEALED)
 
 
+def in_order(p: DataFrame) -> DataFrame:
+    """Pages dealt whole to tasks and sorted, as the data source writes them."""
+    return p.repartition("page_id").sortWithinPartitions("page_id", "pos")
+
+
 def load(sealed: DataFrame, ptype: str, spark_type: str, limits: nodes.Limits = nodes.Limits(), *, on_error: str = "fail") -> DataFrame:
     """``page_id, pos, v`` of sealed pages. Bad pages fail the job, or give no rows with ``on_error='skip'``."""
     schema = f"page_id long, pos long, v {spark_type}"
