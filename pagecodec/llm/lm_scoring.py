@@ -25,8 +25,8 @@ is hot. The driver and the workers hold 24 bytes per word of the vocabulary, whi
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
-from itertools import chain, repeat
+from collections.abc import Iterable, Iterator
+from itertools import batched, chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -48,9 +48,9 @@ MIN_COUNT = 5
 #: Most frequent pairs that are sent to the workers; all others are joined.
 OFTEN = 1_000_000
 #: Words whose numbers a worker remembers.
-MEMO = 400_000
+MEMO = 150_000
 #: Pairs that a task adds up together.
-_TOGETHER = 2_000_000
+_TOGETHER = 1_000_000
 #: Rows of an Arrow batch of numbers.
 _PAGE = 100_000
 SCHEMA = "doc_id long, n_tokens long, target_loss double, background_loss double, difference double"
@@ -299,13 +299,18 @@ def column_bytes(v: np.ndarray) -> bytes:
     return bytes((width | (4 if rising else 0),)) + base.to_bytes(8, "little", signed=True) + rest.astype(_WIDTHS[width]).tobytes()
 
 
-def packed(part: np.ndarray, cells: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
-    """Each part's share of int64 columns, as one binary: rows, then the columns. Moved so, pairs cost no row each."""
-    order = np.argsort(part.astype(np.uint16) if len(part) and part.max() < 1 << 16 else part, kind="stable")
-    part, cells = part[order], [c[order] for c in cells]
+def packed(part: np.ndarray, cells: list[np.ndarray], order: np.ndarray | None = None) -> Iterator[tuple[int, bytes]]:
+    """Each part's share of columns, as one binary: rows, then the columns. Moved so, pairs cost no row each.
+
+    ``order`` is that of the rows inside a part. Columns are put in order a part at a time, so no second copy of them is held.
+    """
+    part = part if order is None else part[order]
+    by = np.argsort(part.astype(np.uint16) if len(part) and part.max() < 1 << 16 else part, kind="stable")
+    part, order = part[by], by if order is None else order[by]
+    del by
     at = np.flatnonzero(np.concatenate((np.ones(min(len(part), 1), bool), part[1:] != part[:-1])))
     for i, j in zip(at.tolist(), np.append(at, len(part))[1:].tolist(), strict=True):
-        yield int(part[i]), pack([c[i:j] for c in cells])
+        yield int(part[i]), pack([c[order[i:j]].astype(np.int64, copy=False) for c in cells])
 
 
 def pack(cells: list[np.ndarray]) -> bytes:
@@ -329,17 +334,31 @@ def _part_of(key: np.ndarray, parts: int) -> np.ndarray:
         return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % parts
 
 
-def _blobs(found: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(found), 64):
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found[i : i + 64]], pa.int32()), pa.array([x for _, x in found[i : i + 64]], pa.binary())], names=["part", "blob"])
+def _blobs(found: Iterable[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    for some in batched(found, 64):
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in some], pa.int32()), pa.array([x for _, x in some], pa.binary())], names=["part", "blob"])
+
 
+def _joined(held: Iterable[list[np.ndarray]]) -> Iterator[np.ndarray]:
+    """Each column's pieces as one array; the pieces are let go before the next column is put together."""
+    for pieces in held:
+        column = np.concatenate(pieces) if pieces else np.zeros(0, np.int64)
+        pieces.clear()
+        yield column
 
-def _added(key: np.ndarray, *counts: np.ndarray) -> list[np.ndarray]:
-    """Distinct keys and the sums of their counts."""
+
+def _added(columns: Iterable[np.ndarray]) -> list[np.ndarray]:
+    """Distinct keys (the first column) and the sums of their counts; columns are taken one at a time."""
+    columns = iter(columns)
+    key = next(columns)
     order = np.argsort(key)
     key = key[order]
     at = np.flatnonzero(np.concatenate((np.ones(min(len(key), 1), bool), key[1:] != key[:-1])))
-    return [key[at], *(np.add.reduceat(c[order], at) if len(at) else c for c in counts)]
+    out = [key[at]]
+    del key
+    for c in columns:
+        out.append(np.add.reduceat(c[order], at) if len(at) else c)
+    return out
 
 
 def pair_counts(marked: DataFrame, shared, parts: int) -> DataFrame:
@@ -349,7 +368,10 @@ def pair_counts(marked: DataFrame, shared, parts: int) -> DataFrame:
         words, held, n_held = shared.value, [], 0
 
         def page() -> Iterator[pa.RecordBatch]:
-            key, n = runs(np.sort(np.concatenate(held)))
+            (every,) = _joined([held])
+            every.sort()
+            key, n = runs(every)
+            del every
             hit, key = key & 1, key >> 1
             both = np.flatnonzero(key[1:] == key[:-1])  # of a pair in either kind of text, the target's count comes second
             t = n * hit
@@ -357,7 +379,9 @@ def pair_counts(marked: DataFrame, shared, parts: int) -> DataFrame:
             first = np.ones(len(key), bool)
             first[both + 1] = False
             key = key[first]
-            yield from _blobs(list(packed(_part_of(key, parts), [key, t[first], n[first]])))
+            t, n = t[first], n[first]
+            del hit, both, first
+            yield from _blobs(packed(_part_of(key, parts), [key, t, n]))
 
         for b in common.slices(batches):
             lengths, key = words.pairs(b.column(1).to_pylist())
@@ -365,20 +389,22 @@ def pair_counts(marked: DataFrame, shared, parts: int) -> DataFrame:
             n_held += len(key)
             if n_held > _TOGETHER:
                 yield from page()
-                held, n_held = [], 0
+                n_held = 0
         if n_held:
             yield from page()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held, n_held = 0, [], 0
+        part, held, n_held = 0, ([], [], []), 0
         for b in batches:
             for part, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):  # noqa: B007  one part a partition
-                held.append(unpacked(blob, 3))
-                n_held += len(held[-1][0])
+                cells = unpacked(blob, 3)
+                n_held += len(cells[0])
+                for pieces, c in zip(held, cells, strict=True):
+                    pieces.append(c)
                 if n_held > 2 * _TOGETHER:
-                    held, n_held = [_added(*(np.concatenate(x) for x in zip(*held, strict=True)))], 0
-        if held:
-            key, t, b = _added(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held, n_held = tuple([c] for c in _added(_joined(held))), 0
+        if held[0]:
+            key, t, b = _added(_joined(held))
             yield from _blobs([(part, pack([c[b > 1] for c in (key, t, b)]))])
 
     dealt = common.map_arrow(marked, run, "part int, blob binary").repartitionById(parts, F.col("part"))
@@ -440,15 +466,12 @@ def score(
         words, (keys, near, back) = shared.value, most.value
         row = TaskContext.get().partitionId() << 33
         pairs = np.int64(words.size) ** 2
-        held, n_held = [], 0
+        held, n_held = ([], [], []), 0
 
         def page() -> Iterator[pa.RecordBatch]:
-            cells = [np.concatenate(x) for x in zip(*held, strict=True)]
-            order = np.argsort(cells[0])
-            cells = [x[order] for x in cells]
-            blobs = list(packed(_part_of(cells[0], parts), cells))
-            for i in range(0, len(blobs), 64):
-                yield _mixed(1, [p for p, _ in blobs[i : i + 64]], [x for _, x in blobs[i : i + 64]])
+            cells = list(_joined(held))
+            for some in batched(packed(_part_of(cells[0], parts), cells, np.argsort(cells[0])), 64):
+                yield _mixed(1, [p for p, _ in some], [x for _, x in some])
 
         for b in common.slices(batches):
             lengths, key = words.pairs(b.column(1).to_pylist())
@@ -469,11 +492,12 @@ def score(
             rest = ~hot
             if rest.any():
                 # a target document's counts are negative
-                held.append([key[rest], rows[doc[rest]], np.where(own > 0, -n, n)[rest]])
-                n_held += len(held[-1][0])
+                for pieces, c in zip(held, (key[rest], rows[doc[rest]], np.where(own > 0, -n, n)[rest]), strict=True):
+                    pieces.append(c)
+                n_held += len(held[0][-1])
             if n_held > _TOGETHER:
                 yield from page()
-                held, n_held = [], 0
+                n_held = 0
             row += len(lengths)
         if n_held:
             yield from page()
@@ -486,33 +510,41 @@ def score(
 
     def correct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents as they are; of pairs what other documents' counts change, for the part of the document's rows."""
-        words, held = shared.value, {k: [[np.zeros(0, np.int64)] * 3] for k in (1, 2)}
+        words, blobs, counted = shared.value, [], ([], [], [])
         for b in batches:
             kind = b.column(1).to_numpy()
             if (kind == 0).any():
                 mine = b.filter(pa.array(kind == 0))
                 yield _mixed(0, ((mine.column(3).to_numpy() >> 33) % parts).astype(np.int32), cells=mine.columns[3:])
             for k, blob in zip(kind.tolist(), b.column(2).to_pylist(), strict=True):
-                if k:
-                    held[k].append(unpacked(blob, 3))
-        (key, row, c), (known, t, back) = ([np.concatenate(x) for x in zip(*held[k], strict=True)] for k in (1, 2))
-        held.clear()
+                if k == 1:
+                    blobs.append(blob)
+                elif k:
+                    for pieces, c in zip(counted, unpacked(blob, 3), strict=True):
+                        pieces.append(c)
+        known, t, back = _joined(counted)
         order = np.argsort(known)
         known, t, back = known[order], t[order], back[order]
+        del order
         if not len(known):
             return
-        at = np.minimum(np.searchsorted(known, key), len(known) - 1)
-        hit = np.flatnonzero(known[at] == key)
-        at, row, c, w = at[hit], row[hit], c[hit], key[hit] % words.size
+        # pairs stay packed until it is known which of them other documents hold
+        hits = ([], [], [], [])
+        while blobs:
+            key, row, c = unpacked(blobs.pop(), 3)
+            at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+            hit = np.flatnonzero(known[at] == key)
+            for pieces, x in zip(hits, (at[hit], row[hit], c[hit], key[hit] % words.size), strict=True):
+                pieces.append(x)
+        at, row, c, w = _joined(hits)
         n = np.abs(c)
         row, place = np.unique(row, return_inverse=True)
         sums = []
         for k, (mine, every) in enumerate(((np.where(c < 0, n, 0), t[at]), (n, back[at]))):
             own = words.own[k, w]
             sums.append(np.bincount(place, n * (np.log(mine + own) - np.log(every + own)), len(row)).view(np.int64))
-        blobs = list(packed((row >> 33) % parts, [row, *sums]))
-        for i in range(0, len(blobs), 64):
-            yield _mixed(1, [p for p, _ in blobs[i : i + 64]], [x for _, x in blobs[i : i + 64]])
+        for some in batched(packed((row >> 33) % parts, [row, *sums]), 64):
+            yield _mixed(1, [p for p, _ in some], [x for _, x in some])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, held = [], [[np.zeros(0, np.int64)] * 3]

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -279,6 +280,18 @@ def test_packed_columns_come_back():
         assert all((lm_scoring.unpacked(x, 5)[1] == cells[1][part == k]).all() for k, x in got.items()) and sorted(got) == sorted(set(part.tolist()))
 
 
+def test_packing_holds_no_second_copy():
+    """Columns are put in order a part at a time; sums are made a column at a time."""
+    r = np.random.default_rng(6)
+    cells, part = [r.integers(0, 1 << 40, 400_000) for _ in range(3)], r.integers(0, 50, 400_000)
+    want = dict(lm_scoring.packed(part, cells))
+    tracemalloc.start()
+    for k, blob in lm_scoring.packed(part, cells):
+        assert blob == want[k]
+    assert tracemalloc.get_traced_memory()[1] < 2.8 * cells[0].nbytes
+    tracemalloc.stop()
+
+
 def test_vocabulary_has_no_largest_size(spark):
     """Every word of enough occurrences is known, past the 50,000th too."""
     words = [f"v{i}" for i in range(60_000)]
