@@ -1,7 +1,7 @@
 """Connected components of a large edge table by alternating large-star and small-star rounds.
 
-Each round is two combinable aggregations and two plain equi-joins (AQE splits hot nodes), written to the shared
-folder, so neither edges nor components ever reach the driver; only a count and a checksum per round do.
+Each round is two combinable aggregations and two merge joins (AQE splits hot nodes), written to the shared folder, so
+neither edges nor components ever reach the driver, not as a broadcast either; only a count and a checksum per round do.
 """
 
 from __future__ import annotations
@@ -26,9 +26,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(lowest.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        small = large.join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         e = common.table(small, "edges")
         after = _digest(e)
         if after == before:

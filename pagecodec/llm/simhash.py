@@ -14,6 +14,8 @@ block (then both agree on the other two). Only words emitted by nodes of differe
 rest are dropped by a combinable min/max aggregation. For the remaining ones (word, block) is matched with
 (word, block with one bit flipped) by an equi-join, and all-in-one-block pairs by balls of radius 1 and 2 inside the
 block, checked by their bit count. No step makes pairs of all members of a group, and none caps anything.
+Joins merge, so that no table passes through the driver but a list of at most ``WORDS_TO_BROADCAST`` words, and each kind
+of link of each block is written on its own, so that the plans which the driver keeps stay short.
 
 Emitting the balls of radius 1 and 2 of whole words instead would be 2146 rows, some 34 kB, per document.
 
@@ -124,23 +126,25 @@ def _odd_links(nodes: DataFrame) -> DataFrame:
     emitted = _wild_words(nodes, 0).unionByName(_wild_words(nodes, 1)).unionByName(_wild_words(nodes, 2))
     shared = emitted.groupBy("block", "word").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("block", "word")
     shared = common.table(shared, "op10-shared")
-    members = common.table(emitted.join(common.broadcast_if(shared, WORDS_TO_BROADCAST), ["block", "word"], "left_semi"), "op10-members")
+    few = common.small_enough(shared, WORDS_TO_BROADCAST)
+    members = common.table(emitted.join(F.broadcast(shared) if few else shared.hint("merge"), ["block", "word"], "left_semi"), "op10-members")
     # members with equal rest are within 2 bits, hence of one component
-    inside = members.groupBy("block", "word", "rest").agg(F.min("comp").alias("comp"))
+    inside = common.table(members.groupBy("block", "word", "rest").agg(F.min("comp").alias("comp")), "op10-inside")
     links = None
     for block, (lo, hi) in enumerate(BLOCKS):
         flips = F.array(*(F.lit(signed(1 << b)) for b in range(lo, hi)))
         own = inside.where(F.col("block") == block)
         moved = own.select("word", F.col("comp").alias("u"), F.explode(flips).alias("flip"), "rest").select("word", _xor("rest", "flip").alias("rest"), "u")
-        found = moved.join(own.select("word", "rest", F.col("comp").alias("v")), ["word", "rest"]).where("u > v").select("u", "v")
+        found = moved.join(own.select("word", "rest", F.col("comp").alias("v")).hint("merge"), ["word", "rest"]).where("u > v").select("u", "v").distinct()
         centres = members.where((F.col("block") == block) & F.col("centre"))
         several = centres.groupBy("word").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("word")
-        centres = centres.join(several, "word", "left_semi").select("word", "rest", "fp", "comp")
+        centres = common.table(centres.join(several.hint("merge"), "word", "left_semi").select("word", "rest", "fp", "comp"), "op10-centres")
         pairs = [(1 << i) | (1 << j) for i in range(lo, hi) for j in range(lo, i)]
         far = F.array(F.lit(0).cast("long"), *(F.lit(signed(m)) for m in [*(1 << b for b in range(lo, hi)), *pairs]))
         ball = lambda flips, fp, comp: centres.select("word", "rest", F.explode(flips).alias("flip"), F.col("fp").alias(fp), F.col("comp").alias(comp)).select("word", _xor("rest", "flip").alias("rest"), fp, comp)  # noqa: B023, E731
         one, two = ball(_flips(list(range(lo, hi))), "f", "u"), ball(far, "g", "v")
-        across = one.join(two, ["word", "rest"]).where((F.col("u") != F.col("v")) & (F.bit_count(_xor("f", "g")) <= 3)).select("u", "v")
+        across = one.join(two.hint("merge"), ["word", "rest"]).where((F.col("u") != F.col("v")) & (F.bit_count(_xor("f", "g")) <= 3)).select("u", "v").distinct()
+        found, across = common.table(found, "op10-found"), common.table(across, "op10-across")
         links = found.unionByName(across) if links is None else links.unionByName(found).unionByName(across)
     return links.distinct()
 
@@ -151,11 +155,11 @@ def fingerprint_components(nodes: DataFrame, radius: int = 3) -> DataFrame:
         raise ValueError("radius must be 2 or 3")
     nodes = common.table(nodes.select("fp").distinct(), "op10-nodes")
     near = components(_near_links(nodes)).withColumnRenamed("u", "fp").withColumnRenamed("v", "root")
-    placed = nodes.join(near, "fp", "left").select("fp", F.coalesce("root", "fp").alias("comp"))
+    placed = nodes.join(near.hint("merge"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("comp"))
     if radius == 3:
         placed = common.table(placed, "op10-placed")
         odd = components(_odd_links(placed)).withColumnRenamed("u", "comp").withColumnRenamed("v", "top")
-        placed = placed.join(odd, "comp", "left").select("fp", F.coalesce("top", "comp").alias("comp"))
+        placed = placed.join(odd.hint("merge"), "comp", "left").select("fp", F.coalesce("top", "comp").alias("comp"))
     return common.table(placed, "op10-comps")
 
 
@@ -163,9 +167,9 @@ def near_duplicates(df: DataFrame, *, radius: int = 3, width: int = 3, seed: int
     """``doc_id, fingerprint, component_id`` of each row."""
     docs = common.table(fingerprints(df, width=width, seed=seed, id_col=id_col, text_col=text_col), "op10-docs")
     placed = fingerprint_components(docs, radius)
-    lows = docs.groupBy("fp").agg(F.min("doc_id").alias("low")).join(placed, "fp").groupBy("comp").agg(F.min("low").alias("component_id"))
-    named = common.table(placed.join(lows, "comp").select("fp", "component_id"), "op10-named")
-    return docs.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    lows = docs.groupBy("fp").agg(F.min("doc_id").alias("low")).join(placed.hint("merge"), "fp").groupBy("comp").agg(F.min("low").alias("component_id"))
+    named = common.table(placed.join(lows.hint("merge"), "comp").select("fp", "component_id"), "op10-named")
+    return docs.join(named.hint("merge"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def least_rows(df: DataFrame, keyed: DataFrame, placed: DataFrame) -> DataFrame:

@@ -61,6 +61,17 @@ def test_components_of_close_fingerprints(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, found.values()))
 
 
+def test_no_table_passes_through_the_driver(spark, odd, monkeypatch):
+    """Neither components nor links are broadcast, however small; only a list of words of bounded length may be."""
+    monkeypatch.setattr(simhash, "WORDS_TO_BROADCAST", -1)
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    assert simhash.near_duplicates(odd).count() == 13
+    done = store.executionsList(before, 10_000)
+    plans = [done.apply(i).physicalPlanDescription() for i in range(done.size())]
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastExchange" in p for p in plans)
+
+
 def test_radius_of_two(spark):
     nodes = spark.createDataFrame([(0,), (3,), (7 << 20,), (15 << 40,)], "fp long")
     got = {q.fp: q.comp for q in simhash.fingerprint_components(nodes, radius=2).collect()}
