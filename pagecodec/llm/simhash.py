@@ -19,8 +19,8 @@ of link of each block is written on its own, so that the plans which the driver
 
 Emitting the balls of radius 1 and 2 of whole words instead would be 2146 rows, some 34 kB, per document.
 
-The pipeline's stage, which has to link at a similarity of 0.8 of five-word shingles, is in ``similar``: a pair at 0.8
-differs in 4 to 14 of 64 bits, beyond any ball hashing.
+The pipeline's stage, which has to link at a similarity of 0.8 of five-word shingles, is in ``similar``: it takes these
+components as candidates and finds by minimum hashes those beyond, as a pair at 0.8 differs in 4 to 14 of 64 bits.
 
 Cases: null or blank text has fingerprint 0 and links like any other; fewer words than a shingle make one shingle;
 null ids keep their row (a component's id is its least non-null id); repeated rows give repeated rows.
@@ -59,13 +59,13 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
         return 0
     joined = b" ".join(tokens)
     if len(tokens) <= width:
-        return _bits_of([xxhash.xxh64_intdigest(joined, seed)])
+        return bits_of([xxhash.xxh64_intdigest(joined, seed)])
     at = list(accumulate((len(t) + 1 for t in tokens), initial=0))
     digest = xxhash.xxh64_intdigest
-    return _bits_of(digest(joined[a : b - 1], seed) for a, b in zip(at, at[width:], strict=False))
+    return bits_of(digest(joined[a : b - 1], seed) for a, b in zip(at, at[width:], strict=False))
 
 
-def _bits_of(hashes: Iterable[int]) -> int:
+def bits_of(hashes: Iterable[int]) -> int:
     """The bits set in more than half of the hashes, which are counted ``STRETCH`` at a time."""
     n, histogram, source = 0, np.zeros((8, 256), np.int64), iter(hashes)
     while len(h := np.fromiter(islice(source, STRETCH), np.uint64)):

@@ -1,10 +1,12 @@
 """Groups of texts whose word shingles have a Jaccard similarity of ``similarity`` (0.8) or more, five words a shingle.
 
-A pair at 0.8 differs in 4 to 14 of 64 fingerprint bits, which no ball hashing bears, so candidates are found by bands
-of minimum hashes: 20 bands of four, one of which a pair at 0.8 shares but for 3 in 100,000, and every link is verified by
-the exact similarity of the two sets of shingles. Texts with equal sets are one node.
+Texts with equal sets of shingles are one node. Each node has a SimHash fingerprint of its shingles, and operator 10's ball
+hashing puts fingerprints within 3 bits, and chains of them, into one component: a bucket of candidates. A pair at 0.8
+differs in 4 to 14 of 64 bits, which no ball hashing bears, so for the rest there are buckets by bands of minimum hashes: 20
+bands of four, one of which a pair at 0.8 shares but for 3 in 100,000. Every link, from either kind of bucket, is verified
+by the exact similarity of the two sets.
 
-In each band's bucket the most central node, the one that meets most others over all its buckets, is the pivot. First
+In each bucket the most central node, the one that meets most others over all its buckets, is the pivot. First
 every node is compared with its pivots: one comparison a node and bucket. Then, for each pivot, the nodes that it has not
 joined (outsiders) are compared with all its other nodes, those of one component left out. That is done inside cells: the
 nodes of a pivot are hashed into blocks of bounded size, a cell holds two blocks, and its overlaps are counted by one matrix
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
-from .simhash import least_rows, signed
+from .simhash import bits_of, fingerprint_components, least_rows, signed
 
 #: Bands, and minimum hashes of each; odd multipliers that give the hashes.
 BANDS, ROWS = 20, 4
@@ -69,6 +71,18 @@ def bands(of: np.ndarray) -> list[int]:
     return [signed(xxhash.xxh3_64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i)) for i in range(BANDS)]
 
 
+def fingerprint(of: np.ndarray) -> int:
+    """The SimHash fingerprint of a set of shingles, as a signed long."""
+    return signed(bits_of(of)) if len(of) else 0
+
+
+def with_balls(nodes: DataFrame, radius: int = 3) -> DataFrame:
+    """``node, n, bands`` of nodes with their fingerprint ``sim``: the component of fingerprints is one more bucket."""
+    placed = fingerprint_components(nodes.select(F.col("sim").alias("fp")), radius)
+    joined = nodes.join(placed.select(F.col("fp").alias("sim"), "comp").hint("merge"), "sim")
+    return joined.select("node", "n", F.concat("bands", F.array(F.xxhash64("comp", F.lit(BANDS)))).alias("bands"))
+
+
 def alike(a: int, b: int, both: int, similarity: float) -> bool:
     return both >= similarity * (a + b - both)
 
@@ -181,12 +195,13 @@ def one_of_each(df: DataFrame, *, similarity: float = 0.8, width: int = 5, id_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches):
             found = [shingles(t, width) for t in b.column(2).to_pylist()]
-            cells = [pa.array([set_hash(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int32()), pa.array([bands(x) for x in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cells], names=["key_id", "key_hash", "fp", "n", "bands"])
+            cells = [pa.array([set_hash(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int32()), pa.array([fingerprint(x) for x in found], pa.int64()), pa.array([bands(x) for x in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cells], names=["key_id", "key_hash", "fp", "n", "sim", "bands"])
 
-    docs = common.table(common.map_arrow(keyed.select("key_id", "key_hash", text), run, f"key_id {kinds['key_id']}, key_hash long, fp long, n int, bands array<bigint>"), "similar-keys")
-    # equal sets have equal bands
-    nodes = common.table(docs.groupBy("fp").agg(F.first("n").alias("n"), F.first("bands").alias("bands")).select(F.col("fp").alias("node"), "n", "bands"), "similar-nodes")
+    docs = common.table(common.map_arrow(keyed.select("key_id", "key_hash", text), run, f"key_id {kinds['key_id']}, key_hash long, fp long, n int, sim long, bands array<bigint>"), "similar-keys")
+    # equal sets have equal bands and fingerprints
+    nodes = docs.groupBy("fp").agg(*(F.first(c).alias(c) for c in ("n", "sim", "bands"))).withColumnRenamed("fp", "node")
+    nodes = common.table(with_balls(common.table(nodes, "similar-sims")), "similar-nodes")
 
     def sets(wanted: DataFrame) -> DataFrame:
         """The shingles of wanted nodes, from one row of each."""

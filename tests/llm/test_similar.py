@@ -46,6 +46,16 @@ def test_groups_are_brute_force(spark, monkeypatch, block):
     assert sorted(r.doc_id for r in similar.one_of_each(df).collect()) == sorted(set(roots))
 
 
+def test_fingerprints_find_what_no_band_shares(spark):
+    """No two nodes share a band: only the ball hashing of fingerprints brings them together, and similarity still decides."""
+    sets = [np.arange(100, dtype=np.uint64), np.arange(1, 101, dtype=np.uint64), np.arange(500, 600, dtype=np.uint64), np.arange(2, 102, dtype=np.uint64)]
+    sims = [0, 7, 1, (1 << 40) - 1]  # the third is near by its fingerprint but unlike, the last alike but far
+    nodes = spark.createDataFrame([(k, 100, f, [100 * k + i for i in range(similar.BANDS)]) for k, f in enumerate(sims)], "node long, n int, sim long, bands array<bigint>")
+    held = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(sets)], "node long, shingles binary")
+    got = {r.node: r.comp for r in similar.similar_components(similar.with_balls(nodes), lambda wanted: held, 0.8).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3}
+
+
 def test_cells_give_every_link():
     r = np.random.default_rng(4)
     rows = [np.unique(r.integers(0, 90, r.integers(1, 80)).astype(np.uint64)) for _ in range(60)]
