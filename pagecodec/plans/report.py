@@ -64,18 +64,24 @@ def explain_selection(p: DataFrame, options: planner.Options = planner.Options()
 
 
 def sample_rows(p: DataFrame) -> DataFrame:
-    """The rows of each page's sample windows: windows follow from the page's length alone, then an interval join."""
+    """The rows of each page's sample windows, which follow from the page's length alone.
+
+    A page's windows are one row, so the join holds and sends a row a page, never one a sampled place. Windows lie in equal
+    parts of the page (the first ones longer by a row), so a row's part says which one to ask. ``p`` keeps its exchange by page.
+    """
     lengths = p.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(page, a, e) for page, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for a, e in planner.sample_windows(n)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 3, names=["page_id", "s", "e"])
+            found = [planner.sample_windows(n) for n in b.column(1).to_pylist()]
+            sides = [pa.array([[w[i] for w in x] for x in found], pa.list_(pa.int64())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), *sides], names=["page_id", "n", "s", "e"])
 
     shipping.ship(p.sparkSession)
-    windows = lengths.mapInArrow(run, "page_id long, s long, e long")
-    picked = windows.select("page_id", F.explode(F.expr("sequence(s, e - 1)")).alias("pos"))
-    return p.join(picked, ["page_id", "pos"], "left_semi").select("page_id", "pos", "v")
+    windows = lengths.mapInArrow(run, "page_id long, n long, s array<long>, e array<long>")
+    windows = windows.withColumns({"short": F.expr("n div size(s)"), "extra": F.expr("n % size(s)")})
+    part = F.expr("cast(if(pos < extra * (short + 1), pos div (short + 1), extra + (pos - extra * (short + 1)) div short) as int)")
+    return p.join(windows, "page_id").where((F.col("pos") >= F.get("s", part)) & (F.col("pos") < F.get("e", part))).select("page_id", "pos", "v")
 
 
 def ptype_map(spark: SparkSession) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 from pagecodec import functions
 from pagecodec.operators import codecs, stats
 from pagecodec.plans import queries as q
+from pagecodec.plans import report
+from pagecodec.wire import planner
 
 SF = "/root/testdata/sf0.001"
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
@@ -84,3 +86,23 @@ def test_finaliser_and_trailing_zeros(spark):
         return x ^ x >> 31
 
     assert all(r.m % (1 << 64) == mix(r.v) for r in got)
+
+
+def test_sample_rows_sends_a_row_a_page(spark):
+    """The windows of a page are one row of the join: no row a sampled place is made, sent or held, and rows are dealt by page alone."""
+    df = q.QUERIES["sample_rows"](spark, SF)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"Exchange hashpartitioning\(([^)]*?), \d+\)", plan)
+    assert "Generate" not in plan and dealt and all(re.fullmatch(r"page_id#\d+L", x) for x in dealt), plan
+
+
+@pytest.mark.parametrize("lengths", [[1, 2, 1023], [1024, 1025, 1039, 1040], [4096, 4100], [108_800, 250_001]])
+def test_sample_rows_are_the_planners_windows(spark, lengths):
+    """Also of pages with more than 16 windows, with rows that are equal and with places beyond the page's length."""
+    p = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "page_id long, n long").selectExpr("page_id", "explode(sequence(0L, n - 1)) as pos").selectExpr("page_id", "pos", "pos * 3 as v")
+    want = {(i, x, 3 * x) for i, n in enumerate(lengths) for a, e in planner.sample_windows(n) for x in range(a, e)}
+    got = report.sample_rows(p).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    odd = spark.createDataFrame([(0, 0, 1), (0, 0, 2), (0, 9, 3), (0, None, 4), (0, -1, 5), (None, 0, 6)], "page_id long, pos long, v long")
+    assert sorted(r.v for r in report.sample_rows(odd).collect()) == [1, 2]
